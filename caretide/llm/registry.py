@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import byte_bpe
+from caretide.llm import byte_bpe, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_store": token_store.query,
     "op3_byte_bpe": byte_bpe.query,
 }
 
