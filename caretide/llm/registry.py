@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import byte_bpe, token_store
+from caretide.llm import byte_bpe, simhash, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": token_store.query,
     "op3_byte_bpe": byte_bpe.query,
+    "op7_simhash": simhash.query,
 }
 
 ORACLES: dict[str, str] = {}
