@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import byte_bpe, simhash, token_store
+from caretide.llm import byte_bpe, simhash, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": token_store.query,
     "op3_byte_bpe": byte_bpe.query,
     "op7_simhash": simhash.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLES: dict[str, str] = {}
