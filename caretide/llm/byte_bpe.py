@@ -244,7 +244,7 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] =
                 mine, at = coded[at : at + len(texts)], at + len(texts)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_columns(enc, mine, outputs)], [f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return storage.map_arrow(source, run, T.StructType(fields))
 
 
 def _columns(enc: BlockEncoder, coded: list[bytes], outputs: tuple[str, ...]) -> list[pa.Array]:
@@ -275,7 +275,7 @@ def decode(docs: DataFrame, path: str, tokens: str = "tokens", into: str = "deco
             data = pa.array([None if i is None else b"".join(map(piece_of, i)) for i in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, data], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return storage.map_arrow(source, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

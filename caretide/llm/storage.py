@@ -65,6 +65,13 @@ def utf8_bytes(column: str = "text"):
     return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any name: a name with a dot would be taken for a field of a struct."""
+    names = df.columns
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])
+    return plain.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+
+
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

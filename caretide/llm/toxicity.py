@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
             found = pa.array([scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], schema.names)
 
-    return source.mapInArrow(run, schema)
+    return storage.map_arrow(source, run, schema)
 
 
 def passages(docs: DataFrame, model: Model, max_expected: float = 1e-3) -> DataFrame:
