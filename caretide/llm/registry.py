@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import byte_bpe, simhash, token_store, toxicity
+from caretide.llm import byte_bpe, sharding, simhash, token_store, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": token_store.query,
     "op3_byte_bpe": byte_bpe.query,
+    "op5_sharding": sharding.query,
     "op7_simhash": simhash.query,
+    "op8_url_rules": url_rules.query,
     "op9_toxicity": toxicity.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_rules": url_rules.ORACLE_SQL,
+}
