@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import byte_bpe, sharding, simhash, token_store, toxicity, url_rules
+from caretide.llm import audio, byte_bpe, sharding, simhash, token_store, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": token_store.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": simhash.query,
     "op8_url_rules": url_rules.query,
     "op9_toxicity": toxicity.query,
+    "op10_audio": audio.query,
 }
 
 ORACLES: dict[str, str] = {
