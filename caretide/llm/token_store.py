@@ -6,13 +6,15 @@ document within its file and any metadata columns.  Row groups and pages have se
 column and offset indexes, so a reader fetches only the row groups and pages of the columns and ids that it asks for.
 A place over all files is the file's base plus the place within it; bases come from the counts alone.
 
-Defined cases: a null or empty text holds the end id only.  Null ids come first; rows of one id are ordered by a hash
-of the text, then by their place in the input.  A metadata column named like a column of the format is left out.
+Defined cases: a null or empty text holds the end id only.  Null ids come first; rows of one id keep the order of
+the input.  A metadata column named like a column of the format is left out.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -29,43 +31,86 @@ CACHE_WORDS = 500_000
 FORMAT = ("part", "place", "doc_id", "n_tokens", "tokens")
 
 
+#: A word whose tail of ASCII marks is a piece of its own; an apostrophe could begin a contraction.
+TAILED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-^`{-~]+)").fullmatch
+
+
 class WordEncoder:
     """Ids of texts under a tokenizer that drops white space, by way of a bounded cache of words.
 
-    White space separates the pieces of such a tokenizer, so a text has the ids of its words in turn.  A full stop or
-    comma at a word's end is a piece of its own too.
+    White space separates the pieces of such a tokenizer, so a text has the ids of its words in turn.  A tail of marks
+    at a word's end is a piece of its own too.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for lower-case letters in normal form, the normalizer and the pattern of the pieces have nothing to do
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limit = cache_words
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(f.ids, ID).tobytes() for f in found]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Adds unknown words.  Words of letters alone are one piece each: many go through in one text, told apart by
+        their word ends."""
+        known, normal = self.known, unicodedata.is_normalized
+        kinds: tuple[set, set, set] = set(), set(), set()
+        tailed = []
+
+        def sort(text: str) -> None:
+            kinds[2 if not text.isalpha() else 0 if text == text.lower() and normal("NFC", text) else 1].add(text)
+
+        for word in words:
+            text = word.decode()
+            if not text.isalpha() and (parts := TAILED(text)) and parts[1].lower().isalpha():
+                tailed.append((word, parts[1].encode(), parts[2].encode()))
+                for part in parts.groups():
+                    if part.encode() not in known:
+                        sort(part)
+            else:
+                sort(text)
+        for tokenizer, group in ((self.plain, kinds[0]), (self.tokenizer, kinds[1])):
+            self._joined(tokenizer, list(group))
+        self._one_by_one(list(kinds[2]))
+        for word, stem, tail in tailed:
+            known[word] = known[stem] + known[tail]
+
+    def _joined(self, tokenizer, words: list[str]) -> None:
+        chunks = [words[lo : lo + 128] for lo in range(0, len(words), 128)]
+        for chunk, encoding in zip(chunks, tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(encoding.ids, ID)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(chunk):  # each word has one end at least, so equal numbers mean one each
+                self._one_by_one(chunk)
+                continue
+            data, lo = ids.tobytes(), 0
+            for word, hi in zip(chunk, (stops * 4).tolist()):
+                self.known[word.encode()] = data[lo:hi]
+                lo = hi
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[word.encode()] = np.array(found.ids, ID).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, parts, missing = self.known, [], set()
+        parts = []
         for text in texts:
             data = (text or "").encode()
             if b"<|" not in data:  # special tokens are told by their case; all else is lower-cased anyway
                 data = data.lower()
-            words = data.split()
-            parts.append(words)
-            missing.update(w for w in set(words) if w not in known)
-        stems = {w[:-1] if w[-1:] in b".," and w[-2:-1].isalpha() else w for w in missing}
-        fresh = [w for w in stems if w not in known] + [w for w in (b".", b",") if w not in known and w not in stems]
-        known.update(zip(fresh, self._encode(fresh)))
-        for word in missing:
-            if word not in known:
-                known[word] = known[word[:-1]] + known[word[-1:]]
-        out = [b"".join(map(known.__getitem__, words)) for words in parts]
-        if len(known) > self.limit:
-            self.known = {}
+            parts.append(data.split())
+        seen = set().union(*parts)
+        missing = seen.difference(self.known)
+        self._learn(missing)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in parts]
+        if len(self.known) > self.limit:  # what an earlier block brought and this one used is worth keeping
+            self.known = {w: self.known[w] for w in seen.difference(missing)}
         return out
 
 
@@ -79,8 +124,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, metadata:
     spark = docs.sparkSession
     storage.small_batches(spark)
     kept = [c for c in metadata if c not in FORMAT]
-    rows = docs.select("doc_id", F.xxhash64(text).alias("__hash"), F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(f"m_{c}") for c in kept])
-    ordered = rows.repartitionByRange(files or storage.shuffle_partitions(spark), "doc_id", "__hash", "__row").sortWithinPartitions("doc_id", "__hash", "__row")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(f"m_{c}") for c in kept])
+    ordered = rows.repartitionByRange(files or storage.shuffle_partitions(spark), "doc_id", "__row").sortWithinPartitions("doc_id", "__row")
     source = ordered.select(F.spark_partition_id().alias("part"), "doc_id", *[f"m_{c}" for c in kept], "__text")
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType),
