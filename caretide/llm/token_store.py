@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from caretide.llm import storage
 
 ID = np.dtype("<u4")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 FORMAT = ("part", "place", "doc_id", "n_tokens", "tokens")
 
 
@@ -98,19 +98,17 @@ class WordEncoder:
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self.known[word.encode()] = np.array(found.ids, ID).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = []
-        for text in texts:
-            data = (text or "").encode()
-            if b"<|" not in data:  # special tokens are told by their case; all else is lower-cased anyway
-                data = data.lower()
-            parts.append(data.split())
-        seen = set().union(*parts)
-        missing = seen.difference(self.known)
-        self._learn(missing)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in parts]
-        if len(self.known) > self.limit:  # what an earlier block brought and this one used is worth keeping
-            self.known = {w: self.known[w] for w in seen.difference(missing)}
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of UTF-8 texts.  Some hundred at a time, so that their words are still in the processor's cache."""
+        out = []
+        for lo in range(0, len(texts), 128):
+            # special tokens are told by their case; all else is lower-cased anyway
+            parts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts[lo : lo + 128]]
+            self._learn(set().union(*parts).difference(self.known))
+            known = self.known.__getitem__
+            out += [b"".join(map(known, words)) for words in parts]
+            if len(self.known) > self.limit:
+                self.known = {}
         return out
 
 
@@ -136,7 +134,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, metadata:
     def run(batches):
         enc, at = word_encoder(tokenizer), 0
         for batch in batches:
-            coded = [c + end for c in enc.encode(batch.column(batch.num_columns - 1).to_pylist())]
+            coded = [c + end for c in enc.encode(batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist())]
             counts = np.array([len(c) // 4 for c in coded], np.int64)
             ends = np.cumsum(counts)
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), "<i4")))
