@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import audio, byte_bpe, html_text, sharding, simhash, token_store, toxicity, url_rules
+from caretide.llm import audio, byte_bpe, html_text, pii, sharding, simhash, token_store, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": token_store.query,
     "op3_byte_bpe": byte_bpe.query,
     "op4_html_text": html_text.query,
     "op5_sharding": sharding.query,
+    "op6_pii": pii.query,
     "op7_simhash": simhash.query,
     "op8_url_rules": url_rules.query,
     "op9_toxicity": toxicity.query,
