@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import audio, byte_bpe, html_text, pii, sharding, simhash, token_store, toxicity, url_rules
+from caretide.llm import audio, byte_bpe, decontaminate, html_text, pii, sharding, simhash, token_store, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.query,
     "op2_token_store": token_store.query,
     "op3_byte_bpe": byte_bpe.query,
     "op4_html_text": html_text.query,
