@@ -219,6 +219,22 @@ def groups(docs: DataFrame, text: str = "text", shingle_words: int = 4) -> DataF
     return fps.join(labels, fps["fp"] == labels["__fp"]).select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, text: str = "text", shingle_words: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group: that of the smallest id, and of equal ids that of the smallest text hash.
+
+    A row without an id comes before all others.  Of rows equal in id and text one stays.
+    """
+    text_hash = F.xxhash64(f"`{text}`")
+    keyed = docs.select(F.struct(F.col("doc_id").alias("id"), text_hash.alias("hash")).alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    first = groups(keyed, "text", shingle_words).where(F.col("doc_id") == F.col("component_id"))
+    kept = storage.materialize(first.groupBy(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash")).agg(F.count("*").alias("__rows")), "kept", compression="zstd")
+    hashed = docs.withColumn("__own_hash", text_hash)
+    found = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")), "left_semi")
+    if not kept.where("__rows > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "__own_hash"])
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and groups of all ``documents``."""
     found = groups(storage.table(spark, sf_dir, "documents").select("doc_id", "text"))
