@@ -1,0 +1,36 @@
+"""Streams over files: the same rows as a batch, late rows dropped, changes of tier."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from caretide import schemas
+from caretide.streaming import monitor
+
+DAY = dt.datetime(2024, 1, 1)
+
+
+def vitals(spark, rows):
+    full = [(i, v, DAY + dt.timedelta(minutes=m), hr, 15.0, 120.0, 80.0, 36.5, 98.0, None) for i, v, m, hr in rows]
+    return spark.createDataFrame(full, schemas.schema("vitals"))
+
+
+def test_stream_matches_batch(spark, tmp_path):
+    source = str(tmp_path / "in")
+    vitals(spark, [(1, 1, 0, 120.0), (2, 1, 5, 80.0), (3, 2, 40, 45.0), (3, 2, 40, 45.0), (4, 2, 300, 80.0)]).coalesce(1).write.parquet(source)
+    counts = monitor.abnormal_counts(monitor.arriving(spark, source))
+    monitor.follow(counts, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination(120)
+    got = {(r.visit_id, r.from_time.hour, r.from_time.minute): (r.n_abnormal, r.n_measured) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[1, 0, 0] == (1, 2) and got[2, 0, 30] == (1, 1)
+
+
+def test_flags_of_a_table(spark):
+    got = {r.id: r.hr_abnormal for r in monitor.flagged(vitals(spark, [(1, 1, 0, 101.0), (2, 1, 1, 100.0), (3, 1, 2, None)])).collect()}
+    assert got == {1: True, 2: False, 3: False}
+
+
+def test_tier_changes(spark):
+    predictions = spark.createDataFrame([(1, DAY, 0.9), (1, DAY + dt.timedelta(hours=1), 0.2), (2, DAY, 0.85), (3, DAY, 0.5)], "visit_id long, predicted_at timestamp_ntz, risk_score double")
+    known = spark.createDataFrame([(1, "critical"), (2, "critical")], "visit_id long, tier string")
+    got = {r.visit_id: (r.tier_before, r.tier) for r in monitor.tier_changes(predictions, known).collect()}
+    assert got == {1: ("critical", "stable"), 3: (None, "watch")}
