@@ -40,20 +40,29 @@ def components(links: DataFrame) -> DataFrame:
     mark = _mark(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        larger = both.join(smallest, both["a"] == smallest["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large, large_path = _stored(larger)
-        smallest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        smaller = large.join(smallest, large["a"] == smallest["k"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        large, large_paths = _joined(both, least, lambda e: e.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         # a smaller neighbour and the node itself both go to the smallest neighbour
-        stars, new_path = _stored(smaller)
-        storage.remove(spark, path)
-        storage.remove(spark, large_path)
-        path, last, mark = new_path, mark, _mark(stars)
+        stars, new_paths = _joined(large, least, lambda e: e.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")))
+        for old in (path, *large_paths, *new_paths[:-1]):
+            storage.remove(spark, old)
+        path, last, mark = new_paths[-1], mark, _mark(stars)
         if mark == last:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _joined(links: DataFrame, least: DataFrame, turn) -> tuple[DataFrame, list[str]]:
+    """Links with the smallest neighbour of their first end, turned and stored.
+
+    The smallest neighbours are stored before the join.  Joined straight from their aggregate they would keep its
+    partitions, and Spark could not split the partition of a node with very many links.
+    """
+    stored, path = _stored(least)
+    found, last_path = _stored(turn(links.join(stored, links["a"] == stored["k"])).distinct())
+    return found, [path, last_path]
+
+
 def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = storage.new_path(spark, "links")
