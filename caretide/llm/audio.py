@@ -79,8 +79,11 @@ def _phases() -> list[tuple[int, np.ndarray]]:
 
 
 def resample(samples: np.ndarray) -> np.ndarray:
-    """UP/DOWN times as many samples; of each phase only the outputs that are kept are computed."""
-    windows = sliding_window_view(np.concatenate((np.zeros(TAPS - 1), samples)), TAPS)
+    """UP/DOWN times as many samples; of each phase only the outputs that are kept are computed.
+
+    Before the first sample its value is taken to hold, so that a level other than 0 does not begin with a click.
+    """
+    windows = sliding_window_view(np.concatenate((np.full(TAPS - 1, samples[0]), samples)), TAPS)
     out = np.empty(len(samples) // DOWN * UP)
     for k, (first, taps) in enumerate(_phases()):
         out[k::UP] = windows[first::DOWN][: len(samples) // DOWN] @ taps
@@ -104,7 +107,7 @@ def log_mel(payload: bytes, rate: int = RATE) -> np.ndarray:
     """One row of MELS log energies for each unit of the payload, half overlapped."""
     samples = (np.frombuffer(payload, np.uint8) - 128.0) / 128
     samples = resample(samples - samples.mean())
-    windows = sliding_window_view(np.concatenate((samples, np.zeros(WINDOW - HOP))), WINDOW)[::HOP]
+    windows = sliding_window_view(np.concatenate((samples, np.full(WINDOW - HOP, samples[-1]))), WINDOW)[::HOP]
     out = np.empty((len(windows), MELS))
     bank = _mel_bank(rate * UP / DOWN)
     for lo in range(0, len(windows), 1024):
@@ -138,7 +141,7 @@ def features(payload: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[f
 
 def store(docs: DataFrame, path: str, text: str = "text", metadata: tuple[str, ...] = ("doc_id",)) -> None:
     """Write the columns of ``metadata`` (but for those named like a column of the format), n_bytes and media."""
-    storage.small_batches(docs.sparkSession, 2048)
+    storage.small_batches(docs.sparkSession)
     kept = [docs.schema[c] for c in metadata if c not in ("n_bytes", "media")]
     schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("__text"))
@@ -153,7 +156,7 @@ def store(docs: DataFrame, path: str, text: str = "text", metadata: tuple[str, .
 
 def analyse(stored: DataFrame) -> DataFrame:
     """Adds digests of the stored bytes and of the samples, ``tensor`` (flat, of ``SHAPE``), ``spans`` and ``feature``."""
-    storage.small_batches(stored.sparkSession, 2048)
+    storage.small_batches(stored.sparkSession)
     span = T.ArrayType(T.StructType([T.StructField("begin_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))
     kept = [f for f in stored.schema.fields if f.name != "media"]
     added = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("tensor", T.ArrayType(T.FloatType())), ("spans", span)]

@@ -208,7 +208,7 @@ OUTPUTS = {
 }
 
 
-def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("tokens", "n_tokens"), text: str = "text", keep: tuple[str, ...] | None = None, block_chars: int = 24_000_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("tokens", "n_tokens"), text: str = "text", keep: tuple[str, ...] | None = None, block_chars: int = 6_000_000) -> DataFrame:
     """Columns of ``docs`` named in ``keep`` (all by default) with the token columns of ``outputs``.
 
     A column of ``docs`` with the name of an output gives way to it.  ``ids_sha256`` is taken over the decimal ids

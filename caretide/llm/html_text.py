@@ -115,7 +115,7 @@ def runs(page: str) -> list[tuple[str, str, int]]:
             continue
         at = found.end()
         closing, name, attributes = found[1], found[2].lower(), found[3]
-        if name not in INLINE:
+        if name not in INLINE and name not in RAW:
             block += 1
         if not (bad and main):  # what is left out inside the article is no edge of it
             out.append(("<tag>", name, block))
@@ -256,7 +256,7 @@ def learned() -> dict[str, float]:
 
 def extract(pages: DataFrame, page: str = "html", into: str = "text") -> DataFrame:
     """The other columns of ``pages`` with ``into`` and ``n_chars``, its code points; columns of those names give way."""
-    storage.small_batches(pages.sparkSession, 2048)
+    storage.small_batches(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name not in (into, "n_chars", page)]
     schema = T.StructType([*kept, T.StructField(into, T.StringType()), T.StructField("n_chars", T.LongType())])
     source = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{page}`").alias("__page"))

@@ -53,7 +53,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 4096) -> None:
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of at most ``rows`` rows, so a batch of long texts fits a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
