@@ -110,7 +110,7 @@ def groups_of(piece: str) -> str:
 def _shape(piece: str, kind: str) -> tuple[str, ...]:
     digits, out = digits_of(piece), []
     if kind in ("phone", "card", "national_id"):
-        out += [f"{kind} digits {len(digits)}", f"{kind} groups {groups_of(piece)}"]
+        out += [f"{kind} digits {len(digits)}", f"{kind} groups {groups_of(piece)}", f"{kind} in {groups_of(piece).count('-') + 1}"]
         if re.fullmatch(r"\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}", piece):
             out.append(f"{kind} area number")
         if piece[0] == "(" and ")" in piece:
@@ -151,7 +151,7 @@ def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, i
             piece = text[start:end]
             if (first.isdigit() or first == "(") and DIGIT_SPAN(piece):
                 n = len(digits_of(piece))
-                kinds = [k for k, fits in (("phone", 7 <= n <= 15), ("card", 12 <= n <= 19), ("national_id", n == 9)) if fits]
+                kinds = [k for k, fits in (("phone", 7 <= n <= 15), ("card", 12 <= n <= 19), ("national_id", n == 9 and groups_of(piece) == "3-2-4")) if fits]
             elif first.isupper() and IBAN_SPAN(piece):
                 kinds = ["iban"]
             elif j - i >= 4 and first.isalnum() and SPELT(piece):
@@ -233,7 +233,7 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     nothing = [
         lambda: f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", lambda: f"1{d(1)}.0{rng.randint(1, 9)}.20{d(2)}", lambda: d(rng.randint(7, 14)), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(1)}.{d(7)}",
         lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"20{d(2)}-1{d(1)}-0{rng.randint(1, 9)} 1{d(1)} 2{d(1)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"19{d(2)}-20{d(2)}", lambda: f"978-{d(1)}-{d(3)}-{d(5)}-{d(1)}",
-        lambda: f"{d(5)}-{d(5)}", lambda: f"{d(3)}/{d(4)}/{d(3)}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"AB{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(2)}-{d(2)}-{d(4)}-{d(3)}", lambda: f"{d(1)}-{d(3)}-{d(3)}",
+        lambda: f"{d(5)}-{d(5)}", lambda: f"{d(3)}/{d(4)}/{d(3)}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"AB{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(2)}-{d(2)}-{d(4)}-{d(3)}", lambda: f"{d(1)}-{d(3)}-{d(3)}", lambda: ".".join(d(rng.randint(1, 4)) for _ in range(rng.randint(3, 5))), lambda: "-".join(d(rng.randint(2, 5)) for _ in range(4)),
     ]
     make = {"phone": lambda: rng.choice(phones)(), "card": card, "iban": account, "email": address, "national_id": lambda: f"{d(3)}-{d(2)}-{d(4)}"}
     for _ in range(n):

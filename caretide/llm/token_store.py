@@ -124,7 +124,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, metadata:
     kept = [c for c in metadata if c not in FORMAT]
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(f"m_{c}") for c in kept])
     ordered = rows.repartitionByRange(files or storage.shuffle_partitions(spark), "doc_id", "__row").sortWithinPartitions("doc_id", "__row")
-    source = ordered.select(F.spark_partition_id().alias("part"), "doc_id", *[f"m_{c}" for c in kept], "__text")
+    source = ordered.select(F.spark_partition_id().alias("part"), "doc_id", *[f"`m_{c}`" for c in kept], "__text")
     schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("doc_id", docs.schema["doc_id"].dataType),
         T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType(), False)), *[T.StructField(c, docs.schema[c].dataType) for c in kept],
@@ -142,7 +142,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, metadata:
             at += int(ends[-1]) if len(ends) else 0
 
     options = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows)}
-    source.mapInArrow(run, schema).write.options(**options).parquet(path)
+    storage.map_arrow(source, run, schema).write.options(**options).parquet(path)
 
 
 def read(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "tokens"), ids: tuple[int, int] | None = None) -> DataFrame:

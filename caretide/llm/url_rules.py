@@ -90,7 +90,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     kept = [f for f in urls.schema.fields if f.name not in OUTPUTS]
     source = urls.select(*[F.col(f"`{f.name}`") for f in kept], host_of(url).alias("__host"), path_of(url).alias("__path"), F.xxhash64(F.monotonically_increasing_id()).alias("__salt"))
     keyed = source.withColumn("__key", key_of(F.col("__host")))
-    sample = keyed.select("__key", "__salt").orderBy("__salt").limit(min(SAMPLE_LIMIT, SAMPLE_PER_PARTITION * n)).collect()
+    # picked by a hash of the salt, as the salts themselves are to be a fair sample too
+    sample = keyed.select("__key", "__salt").orderBy(F.xxhash64("__salt"), "__salt").limit(min(SAMPLE_LIMIT, SAMPLE_PER_PARTITION * n)).collect()
     sample = sorted((r[0], r[1]) for r in sample)
     splits = [sample[len(sample) * k // n] for k in range(1, n)] if sample else []
 

@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     settings = toxicity.Settings()
     model = toxicity.train(docs, storage.table(spark, sf_dir, "labels"), settings)
     scored = toxicity.score(docs, model, into="__toxicity")
-    return scored.where(F.col("__toxicity") < settings.threshold).select(docs.columns)
+    return scored.where(F.col("__toxicity") < settings.threshold).drop("__toxicity")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

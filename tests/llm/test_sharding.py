@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from caretide.llm import sharding, storage
+from caretide.llm.sharding import SlotMap
+
+
+def test_query(spark, small, texts):
+    rows = sharding.query(spark, small).collect()
+    assert len(rows) == len(texts)
+    load, slots = Counter(), defaultdict(list)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert set(load) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(load.values()) - min(load.values()) <= max(r.size for r in rows)
+
+
+def test_rebalancing_moves_little_and_keeps_versions(spark):
+    rng = random.Random(1)
+    sizes = [rng.randint(500, 1500) for _ in range(sharding.SLOTS)]
+    first = SlotMap.balanced(sizes, 8)
+    grown = first.rebalanced(sizes, 9)
+    moved = [k for k in range(len(sizes)) if first.shard_of[k] != grown.shard_of[k]]
+    assert all(grown.shard_of[k] == 8 for k in moved)
+    load = Counter()
+    for k, s in enumerate(grown.shard_of):
+        load[s] += sizes[k]
+    mean = sum(sizes) / 9
+    assert max(load.values()) < 1.01 * mean and min(load.values()) > 0.99 * mean
+    shrunk = grown.rebalanced(sizes, 8)
+    assert set(shrunk.shard_of) == set(range(8)) and all(shrunk.shard_of[k] == grown.shard_of[k] for k in range(len(sizes)) if grown.shard_of[k] < 8)
+    path = storage.new_path(spark, "maps")
+    for m in (first, grown, shrunk):
+        m.save(spark, path)
+    assert SlotMap.load(spark, path) == shrunk and SlotMap.load(spark, path, 1) == first and SlotMap.load(spark, path, 2) == grown
+
+
+def test_hot_slot_stays_alone():
+    sizes = [1_000_000] + [100] * 999
+    load = Counter()
+    for k, s in enumerate(SlotMap.balanced(sizes, 4).shard_of):
+        load[s] += sizes[k]
+    assert sorted(load.values())[:3] == [33_300] * 3
+
+
+def test_edge_rows(edge, empty):
+    rows = sharding.records(edge.withColumn("size", F.lit("clash")).withColumn("shard", F.lit(1)))
+    by = rows.collect()
+    assert len(by) == 9 and len({(r.doc_id, r.virtual_slot) for r in by}) == 7
+    assert all(r.size == 1 and r.text_crc32 == 0 for r in by if r.doc_id in (2, 3))
+    sizes, counts = sharding.slot_sums(rows)
+    placed = sharding.place(rows, SlotMap.balanced(sizes, 3), counts)
+    slots = defaultdict(list)
+    for r in placed.collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == 9 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    none = sharding.records(empty)
+    assert sharding.slot_sums(none)[0] == [0] * sharding.SLOTS and sharding.place(none, SlotMap.balanced([0] * sharding.SLOTS, 3), [0] * sharding.SLOTS).count() == 0
