@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +40,7 @@ class Settings:
     prefixes: tuple[int, ...] = (4, 5, 6)
     min_words: int = 4  #: different words that a beginning must have in toxic texts
     prior_share: float = 0.1
-    min_z: float = 4.0
+    min_z: float = 3.0
     drift: float = 0.25
     threshold: float = 0.7
 
@@ -134,11 +135,41 @@ def labelled_fold(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
 
+#: Odd multipliers, each of which orders shingles in another way.
+ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _without_near_copies(sample: DataFrame) -> DataFrame:
+    """The sample less texts that share the least of their five-word shingles, in one of four orders, with another.
+
+    A word that only copies of one toxic text have in common would look toxic by itself.  Of such texts the one with
+    the smallest hash stays.  Only hashes are grouped, and no more of them than the sample has rows.
+    """
+    names = [f"m{k}" for k in range(len(ORDERS))]
+
+    def mark(batches):
+        for batch in batches:
+            least = []
+            for text in batch.column(0).to_pylist():
+                words = WORDS(text.lower())
+                shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+                hashes = np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64)
+                least.append((hashes[:, None] * ORDERS).min(axis=0).view(np.int64))
+            marks = np.array(least).reshape(-1, len(ORDERS))
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *[pa.array(marks[:, k]) for k in range(len(ORDERS))]], ["hash", "toxic", *names])
+
+    hashed = storage.materialize(sample.withColumn("hash", F.xxhash64("text")).dropDuplicates(["hash", "toxic"]), "toxicity-texts", compression="zstd")
+    kept = hashed.mapInArrow(mark, "hash long, toxic boolean, " + ", ".join(f"{n} long" for n in names))
+    for name in names:
+        kept = kept.groupBy("toxic", name).agg(F.min_by(F.struct("hash", *names), "hash").alias("first")).select("toxic", "first.*")
+    return hashed.join(F.broadcast(kept.select("hash", "toxic")), ["hash", "toxic"], "left_semi").select("text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     spark = docs.sparkSession
     storage.small_batches(spark)
     model = Model(drift=settings.drift, prefixes=settings.prefixes)
-    sample = storage.materialize(labelled_fold(docs, labels, settings).withColumn("__hash", F.xxhash64("text")).dropDuplicates(["__hash", "toxic"]).drop("__hash"), "toxicity-sample", compression="zstd")
+    sample = storage.materialize(_without_near_copies(labelled_fold(docs, labels, settings)), "toxicity-sample", compression="zstd")
 
     def count(batches):
         for batch in batches:
