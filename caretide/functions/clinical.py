@@ -94,6 +94,16 @@ def stamp(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd HH:mm:ss")
 
 
+def or_now(timestamp: Column, now: Column) -> Column:
+    """A server's default: the moment given, else now, without a zone."""
+    return F.coalesce(timestamp, now).cast("timestamp_ntz")
+
+
+def step_state(step: Column, current: Column) -> Column:
+    """How a step of the workflow shows while another is current."""
+    return F.when(step < current, "done").when(step == current, "active").otherwise("pending")
+
+
 def confirmed_at(confirmed: Column, now: Column) -> Column:
     """Set by true; cleared by false and by null."""
     return F.when(known(confirmed), now)

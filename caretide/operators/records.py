@@ -51,6 +51,22 @@ def may_go(step: Column, target: Column) -> Column:
     return target < step
 
 
+def drafted(turns: DataFrame, cues: dict[str, str], denials: str, doubts: str, exam: tuple[str, ...] = ()) -> DataFrame:
+    """A draft from a dialogue, by rule: what is said stands, denied is none, doubtful needs confirming, unasked is absent.
+
+    ``turns(rec_id, turn, role, text)``; ``cues`` has a pattern for each field.  Fields of ``exam`` are taken from
+    clinicians alone.  The last turn that speaks of a field decides.
+    """
+    said = None
+    for field, cue in cues.items():
+        speaks = F.col("text").rlike(cue) & (F.lit(field not in exam) | (F.col("role") == "clinician"))
+        value = F.when(F.col("text").rlike(denials), "none").when(F.col("text").rlike(doubts), clinical.NEEDS_CONFIRMATION).otherwise(F.col("text"))
+        item = F.when(speaks, F.struct(F.lit(field).alias("field"), value.alias("value")))
+        said = [item] if said is None else [*said, item]
+    items = turns.select("rec_id", "turn", F.explode(F.array_compact(F.array(*said))).alias("x"))
+    return items.groupBy("rec_id", F.col("x.field").alias("field")).agg(F.max_by(F.col("x.value"), F.col("turn")).alias("value"), F.max("turn").alias("turn"))
+
+
 def current_values(edits: DataFrame, drafts: DataFrame) -> DataFrame:
     """Field values after edits and regenerated drafts: a draft overwrites every earlier edit.
 

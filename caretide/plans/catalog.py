@@ -379,6 +379,36 @@ def draft_refusals(spark, sf):
     return ids.join(talks, "rec_id", "left_anti").withColumn("code", F.lit(400))
 
 
+DRAFT_CUES = {"complaint": "(?i)the", "history": "(?i)que", "exam": "(?i)und"}
+
+
+@query("""WITH turns AS (SELECT conv_id AS rec_id, turn, CASE role WHEN 'user' THEN 'patient' WHEN 'assistant' THEN 'clinician' ELSE 'other' END AS role, text FROM conversations),
+said AS (SELECT rec_id, turn, 'complaint' AS field, text FROM turns WHERE regexp_matches(text, '(?i)the') UNION ALL SELECT rec_id, turn, 'history', text FROM turns WHERE regexp_matches(text, '(?i)que')
+UNION ALL SELECT rec_id, turn, 'exam', text FROM turns WHERE regexp_matches(text, '(?i)und') AND role = 'clinician')
+SELECT rec_id, field, max(turn) AS turn, arg_max(CASE WHEN regexp_matches(text, 'nicht') THEN 'none' WHEN regexp_matches(text, 'peut|ment') THEN 'doubt' ELSE 'said' END, turn) AS kind FROM said GROUP BY 1, 2""")
+def dialogue_drafts(spark, sf):
+    role = clinical.mapped(F.col("role"), {"user": "patient", "assistant": "clinician"}, "other")
+    turns = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("rec_id"), "turn", role.alias("role"), "text")
+    drafts = records.drafted(turns, DRAFT_CUES, "nicht", "peut|ment", exam=("exam",))
+    kind = F.when(F.col("value") == "none", "none").when(F.col("value") == clinical.NEEDS_CONFIRMATION, "doubt").otherwise("said")
+    return drafts.select("rec_id", "field", "turn", kind.alias("kind"))
+
+
+@query("""SELECT conv_id AS rec_id, CAST(s AS INTEGER) AS step, CASE WHEN s < conv_id % 5 + 1 THEN 'done' WHEN s = conv_id % 5 + 1 THEN 'active' ELSE 'pending' END AS state, s < conv_id % 5 + 1 AS may_go
+FROM (SELECT DISTINCT conv_id FROM conversations), range(1, 6) r(s)""")
+def step_states(spark, sf):
+    ids = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("rec_id")).distinct()
+    current = F.col("rec_id") % 5 + 1
+    steps = ids.select("rec_id", F.explode(F.sequence(F.lit(1), F.lit(len(records.STEPS)))).alias("step"))
+    return steps.select("rec_id", "step", clinical.step_state(F.col("step"), current).alias("state"), records.may_go(current, F.col("step")).alias("may_go"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 4 > 0 THEN ts ELSE TIMESTAMP '2024-06-01 08:00:00' END AS created_at FROM events")
+def server_defaults(spark, sf):
+    given = F.when(F.col("event_id") % 4 > 0, F.col("ts"))
+    return tables.table(spark, sf, "events").select(F.col("event_id").alias("id"), clinical.or_now(given, F.lit("2024-06-01 08:00:00").cast("timestamp_ntz")).alias("created_at"))
+
+
 # Codes ----------------------------------------------------------------------------------------------------------------
 
 
