@@ -52,15 +52,32 @@ LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul details figure".split())
 
 
-def _boilerplate(name: str, attributes: str, in_main: bool) -> bool:
+MAIN_TAG = re.compile(r"<(?:article|main)\b([^>]*)>", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I).search
+#: First words of an article element's class that make it a reader's comment or a teaser.
+NOT_MAIN = ("comment", "reply", "replies", "respon", "related", "recommend", "teaser", "promo", "sponsor", "advert", "ad-")
+
+
+def _names(attributes: str) -> list[str]:
+    return [name for found in NAMES.finditer(attributes) for name in (found[1] or found[2] or found[3] or "").lower().split()]
+
+
+def _main(name: str, attributes: str) -> bool:
+    return name in MAIN and not any(n == "ad" or n.startswith(NOT_MAIN) for n in _names(attributes))
+
+
+def _boilerplate(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element opens boilerplate, and whether its name alone says so."""
     if name in BOILERPLATE and not (name == "header" and in_main):
-        return True
-    if name in INLINE and name != "span" or name in ("html", "body") or name in MAIN:
-        return False
-    for found in NAMES.finditer(attributes):
-        if not MARKS.isdisjoint(p.lower() for p in PARTS(found[1] or found[2] or found[3] or "")):
-            return True
-    return "aria-hidden" in attributes and "true" in attributes
+        return True, True
+    if name in MAIN:
+        return not _main(name, attributes), True
+    if name in INLINE and name != "span" or name in ("html", "body") or not attributes:
+        return False, False
+    parts = {p for n in _names(attributes) for p in PARTS(n)} & MARKS
+    if in_main:
+        parts -= {"header", "masthead"}  # an article's own head has its title
+    return bool(parts) or HIDDEN(attributes) is not None, False
 
 
 def runs(page: str) -> list[tuple[str, str, int]]:
@@ -70,18 +87,19 @@ def runs(page: str) -> list[tuple[str, str, int]]:
     lower = page.lower() if "<" in page else page
     if len(lower) != len(page):  # a letter may grow when lower-cased
         lower = page
-    stack: list[tuple[str, bool]] = []  # name, whether it opens boilerplate
+    stack: list[tuple[str, bool, bool]] = []  # name, whether it opens boilerplate, whether its name alone says so
     bad = heading = link = main = block = 0
-    has_main = "<article" in lower or "<main" in lower
+    has_main = any(_main("main", m[1]) for m in MAIN_TAG.finditer(page))
+    begun = False  # the article or its title has been seen
     at, tag = 0, TAG
 
     def pop() -> None:
         nonlocal bad, heading, link, main
-        name, marked = stack.pop()
+        name, marked, _ = stack.pop()
         bad -= marked
         heading -= name in HEADINGS
         link -= name == "a"
-        main -= name in MAIN
+        main -= name in MAIN and not marked
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
@@ -120,7 +138,7 @@ def runs(page: str) -> list[tuple[str, str, int]]:
         if not (bad and main):  # what is left out inside the article is no edge of it
             out.append(("<tag>", name, block))
         if closing:
-            if any(n == name for n, _ in stack):
+            if any(n == name for n, *_ in stack):
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -130,13 +148,19 @@ def runs(page: str) -> list[tuple[str, str, int]]:
         if name in RAW and not attributes.endswith("/"):
             end = lower.find(f"</{name}", at)
             at = len(page) if end < 0 else end
-            stack.append((name, False))
+            stack.append((name, False, False))
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        if name in MAIN or name == "h1":  # what was never closed ends where the article begins
-            while any(marked and f"</{n}" not in lower[at:] for n, marked in stack):
+        if not begun and (_main(name, attributes) or name == "h1"):
+            begun = True
+            # what was never closed ends where the article begins, and a class such as "with-sidebar" was a wrapper's
+            while any(marked and lower.find(f"</{n}", at) < 0 for n, marked, _ in stack):
                 pop()
+            for k, (n, marked, sure) in enumerate(stack):
+                if marked and not sure:
+                    stack[k] = (n, False, False)
+                    bad -= 1
         closes = CLOSES.get(name, {"p"} if name in CLOSE_P else None)
         if closes:
             limits = LIMITS.get(name, BOILERPLATE | MAIN | {"div", "section", "td", "th", "li", "dd"})
@@ -147,12 +171,12 @@ def runs(page: str) -> list[tuple[str, str, int]]:
                     break
                 if stack[depth][0] in limits:
                     break
-        marked = _boilerplate(name, attributes, main > 0)
-        stack.append((name, marked))
+        marked, sure = _boilerplate(name, attributes, main > 0)
+        stack.append((name, marked, sure))
         bad += marked
         heading += name in HEADINGS
         link += name == "a"
-        main += name in MAIN
+        main += name in MAIN and not marked
     return out
 
 

@@ -22,6 +22,10 @@ from caretide.llm import html_text
         ("<article>a<script>if (a < b) document.write('<p>no</p>')</script><style>p{}</style><!-- <p>no</p> -->b</article>", "ab"),
         ("<article><p>one</p><div class=notice>cookies!</div><section class='comment-list'><p>me too</p></section><p>two &#169; &lt;x&gt;</p></article>", "one\n\ntwo © <x>"),
         ("<nav>menu <article><p>never closed menu</p></article>", "never closed menu"),
+        ("<div class='layout with-sidebar'><div id='sidebar'><p>archive of posts</p></div><article class='post has-comments'><p>The story.</p></article></div>", "The story."),
+        ("<div class='story'><h1>Title</h1><p>Told in a plain box.</p></div><div class='thread'><article class='comment-body'><p>first!</p></article></div>", "Title\n\nTold in a plain box."),
+        ("<main><p>Shown.</p><p hidden>not</p><p style='display: none'>nor this</p><button>Like</button><figure><figcaption>A caption.</figcaption></figure></main>", "Shown.\n\nA caption."),
+        ("<div class='page-header'>Site</div><article><div class='entry-header'><h1>Title</h1></div><div style='overflow: hidden'><p>Text.</p></div></article>", "Title\n\nText."),
         ("<script>var x='</p>'", ""), ("<a href=\"foo>bar", ""),
     ],
 )
