@@ -44,9 +44,9 @@ def constraint_checks(table: str, columns: list[str]) -> list[tuple[Column, int]
 
 def with_ids(state: DataFrame, accepted: DataFrame, seq: str = "seq", cell_rows: int = 4096) -> DataFrame:
     """New ids after the largest one, in the order of the commands."""
-    top = state.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    top = state.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     numbered = positioned(accepted, F.floor(F.col(seq) / cell_rows), [F.col(seq)], "__place")
-    return numbered.join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__place")).drop("__top", "__place")
+    return numbered.withColumn("id", top + F.col("__place")).drop("__place")
 
 
 def fold(log: DataFrame, fields: list[str], key: str = "id", seq: str = "seq") -> DataFrame:

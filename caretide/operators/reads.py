@@ -24,9 +24,10 @@ def children(parents: DataFrame, kids: DataFrame, key, foreign: str, primary: st
 
     A parent without children gives no rows, which is another answer than a missing parent.
     """
-    parent = by_key(parents, **{primary: key}).select(F.lit(True).alias("found")).limit(1)
-    own = by_key(kids, **{foreign: key}).join(parent)
-    missing = kids.sparkSession.range(1).select(F.lit(False).alias("found")).join(parent.withColumnRenamed("found", "there"), F.lit(True), "left_anti")
+    parent = by_key(parents, **{primary: key}).select(F.col(primary).alias("__key"))
+    own = by_key(kids, **{foreign: key}).join(parent, F.col(foreign) == F.col("__key"), "left_semi").withColumn("found", F.lit(True))
+    asked = kids.sparkSession.range(1).select(F.lit(key).alias("__asked"))
+    missing = asked.join(parent, F.col("__asked") == F.col("__key"), "left_anti").select(F.lit(False).alias("found"))
     return own.unionByName(missing, allowMissingColumns=True)
 
 

@@ -544,10 +544,9 @@ def kpi_summary(spark, sf):
     v = roles.visits(spark, sf).select("id")
     risk = clinical.tier(F.col("percent"))
     counted = v.join(highest, v["id"] == highest["visit_id"]).agg(F.count("*").alias("total"), F.count_if(risk == "critical").alias("critical"), F.count_if(risk == "rising").alias("rising"))
-    incomplete = roles.records(spark, sf).agg(F.count_if(F.col("confirmed_at").isNull()).alias("incomplete"))
-    alerts = tables.table(spark, sf, "events").where(F.col("event_type") == "error").agg(F.count("*").alias("alerts"))
-    # three frames of one row each
-    return counted.withColumn("at_risk", F.col("critical") + F.col("rising")).join(F.broadcast(incomplete)).join(F.broadcast(alerts))
+    incomplete = roles.records(spark, sf).agg(F.count_if(F.col("confirmed_at").isNull())).scalar()
+    alerts = tables.table(spark, sf, "events").where(F.col("event_type") == "error").agg(F.count("*")).scalar()
+    return counted.select("total", "critical", "rising", (F.col("critical") + F.col("rising")).alias("at_risk"), incomplete.alias("incomplete"), alerts.alias("alerts"))
 
 
 @query(with_roles("visits") + """SELECT id, triage_level, arrival_time, arrival_time + INTERVAL 1 HOUR * triage_level AS due, row_number() OVER (PARTITION BY triage_level, CAST(arrival_time AS DATE) ORDER BY arrival_time, id) AS position
