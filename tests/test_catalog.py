@@ -58,3 +58,19 @@ def test_score_bounds_and_gates(spark, small):
     for r in catalog.record_completeness(spark, small).collect():
         assert r.n_missing + r.n_review + r.n_complete == 8 and 0 <= r.score <= 100
         assert r.gate_open == (r.n_required_missing == 0) == (r.missing_fields == "")
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_plan_stays_in_the_engine(spark, small, name):
+    """No Python, no cartesian product, and every aggregate sums before it shuffles."""
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+    if "HashAggregate" in plan and "Exchange hashpartitioning" in plan:
+        assert "partial_" in plan or "functions=[]" in plan
+
+
+def test_scans_read_only_what_they_need(spark, small):
+    plan = catalog.risk_tier_counts(spark, small)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<l_discount:double>" in plan
+    plan = catalog.kpi_summary(spark, small)._jdf.queryExecution().toString()
+    assert "text:string" not in plan.split("Physical Plan")[-1]
