@@ -43,12 +43,13 @@ def positioned(df: DataFrame, cell: Column, order: list[Column], into: str = "po
     ``cell`` is a coarse long that grows along the order; rows are numbered within cells, and the sums of earlier cells
     are added.  Only the counts of cells meet in one place, so the caller picks cells of some thousand rows.
     """
-    keyed = df.withColumn("__cell", cell.cast("long"))
+    # a cell is never null, so the join asks for the very partitions that the numbering has made
+    keyed = df.withColumn("__cell", F.coalesce(cell.cast("long"), F.lit(-(2**63))))
     counts = keyed.groupBy("__cell").agg(F.count("*").alias("__n"))
-    before = counts.select("__cell", (F.sum("__n").over(Window.orderBy(F.asc_nulls_first("__cell"))) - F.col("__n")).alias("__before"))
+    before = counts.select(F.col("__cell").alias("__at"), (F.sum("__n").over(Window.orderBy("__cell")) - F.col("__n")).alias("__before"))
     numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)))
-    same = numbered["__cell"].eqNullSafe(before["__cell"])
-    return numbered.join(before, same).withColumn(into, (F.col("__before") + F.col("__nth")).cast("long")).drop("__cell", "__nth", "__before")
+    placed = numbered.join(before, F.col("__cell") == F.col("__at"))
+    return placed.withColumn(into, (F.col("__before") + F.col("__nth")).cast("long")).drop("__cell", "__nth", "__at", "__before")
 
 
 def ranked_within(df: DataFrame, group: list[str], order: list[Column], into: str = "position") -> DataFrame:
