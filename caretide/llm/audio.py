@@ -141,7 +141,7 @@ def features(payload: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[f
 
 def store(docs: DataFrame, path: str, text: str = "text", metadata: tuple[str, ...] = ("doc_id",)) -> None:
     """Write the columns of ``metadata`` (but for those named like a column of the format), n_bytes and media."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare(docs.sparkSession)
     kept = [docs.schema[c] for c in metadata if c not in ("n_bytes", "media")]
     schema = T.StructType([*kept, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("__text"))
@@ -156,7 +156,7 @@ def store(docs: DataFrame, path: str, text: str = "text", metadata: tuple[str, .
 
 def analyse(stored: DataFrame) -> DataFrame:
     """Adds digests of the stored bytes and of the samples, ``tensor`` (flat, of ``SHAPE``), ``spans`` and ``feature``."""
-    storage.small_batches(stored.sparkSession)
+    storage.prepare(stored.sparkSession)
     span = T.ArrayType(T.StructType([T.StructField("begin_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))
     kept = [f for f in stored.schema.fields if f.name != "media"]
     added = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("tensor", T.ArrayType(T.FloatType())), ("spans", span)]

@@ -217,7 +217,7 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] =
     keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in outputs)
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     fields = [f for f in source.schema.fields if f.name != "__text"] + [T.StructField(o, OUTPUTS[o]) for o in outputs]
-    storage.small_batches(docs.sparkSession)
+    storage.prepare(docs.sparkSession)
 
     def blocks(batches):
         held, chars = [], 0
@@ -265,6 +265,7 @@ def _columns(enc: BlockEncoder, coded: list[bytes], outputs: tuple[str, ...]) ->
 
 def decode(docs: DataFrame, path: str, tokens: str = "tokens", into: str = "decoded") -> DataFrame:
     """Adds the binary column ``into``: the bytes of the ids in ``tokens`` (null ids: null bytes)."""
+    storage.prepare(docs.sparkSession)
     schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, T.BinaryType())])
     source = docs.select(*[F.col(f"`{f.name}`") for f in schema.fields[:-1]])
 

@@ -206,7 +206,7 @@ def _prepared(items: tuple[tuple[int, str], ...]) -> Benchmark:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, first_word, n_words, similarity)``: for each document row and item, the best window."""
     spark, out = docs.sparkSession, None
-    storage.small_batches(spark)
+    storage.prepare(spark)
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
     for block in blocks_of(benchmark):
         items = tuple(block)
@@ -226,7 +226,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare(docs.sparkSession)
     at = docs.columns.index(text)
     for block in blocks_of(benchmark):
         items = tuple(block)

@@ -280,7 +280,7 @@ def learned() -> dict[str, float]:
 
 def extract(pages: DataFrame, page: str = "html", into: str = "text") -> DataFrame:
     """The other columns of ``pages`` with ``into`` and ``n_chars``, its code points; columns of those names give way."""
-    storage.small_batches(pages.sparkSession)
+    storage.prepare(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name not in (into, "n_chars", page)]
     schema = T.StructType([*kept, T.StructField(into, T.StringType()), T.StructField("n_chars", T.LongType())])
     source = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{page}`").alias("__page"))

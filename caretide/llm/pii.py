@@ -336,7 +336,7 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, counts of base spans by kind, ``base_sha256`` and ``spans``."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare(docs.sparkSession)
     added = [*[f"n_{k}" for k in BASE_KINDS], "base_sha256", "spans"]
     kept = [f for f in docs.schema.fields if f.name != text and f.name not in added]
     schema = T.StructType([*kept, *[T.StructField(c, T.LongType() if c[:2] == "n_" else T.StringType()) for c in added]])
@@ -358,7 +358,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every found span of the text replaced; texts without any are untouched."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare(docs.sparkSession)
     at = docs.columns.index(text)
     weights = learned()
 

@@ -61,7 +61,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle_words: int = 4) -> DataFrame:
     """``(doc_id, fp)``, with the 64 bits in a long."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
 
     def run(batches):

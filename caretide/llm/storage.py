@@ -6,11 +6,12 @@ lost executor costs a re-read and never a result.  Only where the setting is mis
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,16 +54,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches of at most ``rows`` rows, so a batch of long texts fits a Python worker."""
+def prepare(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most ``rows`` rows, so a batch of long texts fits a Python worker; workers that find this package.
+
+    The second matters where the driver has the package on its own path only; a cluster gets it by ``--py-files`` as ever.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
-
-
-def utf8_bytes(column: str = "text"):
-    """The UTF-8 bytes of a text column; null counts as empty."""
-    return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

@@ -120,7 +120,7 @@ def word_encoder(path: str) -> WordEncoder:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, metadata: tuple[str, ...] = (), text: str = "text", row_group_bytes: int = 16 << 20, page_bytes: int = 128 << 10, page_rows: int = 2_000, files: int | None = None) -> None:
     """Write ``docs`` (with ``doc_id`` and ``text``) in the token format under ``path``."""
     spark = docs.sparkSession
-    storage.small_batches(spark)
+    storage.prepare(spark)
     kept = [c for c in metadata if c not in FORMAT]
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(f"m_{c}") for c in kept])
     ordered = rows.repartitionByRange(files or storage.shuffle_partitions(spark), "doc_id", "__row").sortWithinPartitions("doc_id", "__row")

@@ -167,7 +167,7 @@ def _without_near_copies(sample: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     spark = docs.sparkSession
-    storage.small_batches(spark)
+    storage.prepare(spark)
     model = Model(drift=settings.drift, prefixes=settings.prefixes)
     sample = storage.materialize(_without_near_copies(labelled_fold(docs, labels, settings)), "toxicity-sample", compression="zstd")
 
@@ -277,7 +277,7 @@ def _logistic(model: Model, evidence: np.ndarray, toxic: np.ndarray) -> None:
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Adds the column ``into``; one of that name in ``docs`` gives way."""
-    storage.small_batches(docs.sparkSession)
+    storage.prepare(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != into]
     schema = T.StructType([*kept, T.StructField(into, T.DoubleType())])
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("__text"))

@@ -85,7 +85,7 @@ class Active:
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", partitions: int | None = None) -> DataFrame:
     """Adds ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``; ``rules`` has verdict, host and path."""
     spark = urls.sparkSession
-    storage.small_batches(spark)
+    storage.prepare(spark)
     n = partitions or storage.shuffle_partitions(spark)
     kept = [f for f in urls.schema.fields if f.name not in OUTPUTS]
     source = urls.select(*[F.col(f"`{f.name}`") for f in kept], host_of(url).alias("__host"), path_of(url).alias("__path"), F.xxhash64(F.monotonically_increasing_id()).alias("__salt"))
