@@ -56,8 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` of ``sf_dir``; each result is written to the shared folder and read again."""
-    docs = storage.table(spark, sf_dir, "documents")
+    """All stages over the ``documents`` of ``sf_dir``; each result is written to the shared folder and read again.
+
+    A stage's documents are removed once the next stage's are written, so two copies exist at most.
+    """
+    docs, path = storage.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = storage.materialize(stage(spark, docs, sf_dir), name, compression="zstd")
+        found = stage(spark, docs, sf_dir)
+        before, path = path, storage.new_path(spark, name)
+        found.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            storage.remove(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
