@@ -180,7 +180,10 @@ def analyse(stored: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tensors) + 1, dtype=np.int32) * math.prod(SHAPE)), flat)
             yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(batch.columns) if k != at], *columns, lists, pa.array(times, spans_type)], schema.names)
 
-    return storage.map_arrow(stored, run, schema)
+    found = storage.map_arrow(stored, run, schema)
+    # the shape goes with the column into Parquet and back
+    shaped = F.col("tensor").alias("tensor", metadata={"shape": list(SHAPE), "axes": ["time", "mel"]})
+    return found.select(*[shaped if f.name == "tensor" else F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def as_tensors(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -73,6 +73,7 @@ def test_query(spark, small, texts):
 def test_tensors(spark, small):
     path = storage.new_path(spark, "features")
     audio.query(spark, small).select("doc_id", "tensor").coalesce(1).write.parquet(path)
+    assert spark.read.parquet(path).schema["tensor"].metadata["shape"] == [16, 20]
     table = pq.read_table(path.removeprefix("file://"))
     tensors = audio.as_tensors(table["tensor"])
     assert tensors.type.shape == [16, 20] and tensors.to_numpy_ndarray().shape == (len(table), 16, 20)
