@@ -263,6 +263,20 @@ def trend_matrix(spark, sf):
     return nested.matrix(points, ["visit_id"], "slot", SLOTS, METRICS).select("visit_id", "metric", ordinal.alias("ordinal"), *SLOTS)
 
 
+@query(with_roles("vitals") + """, own AS (SELECT visit_id, CAST(measured_at AS DATE) AS day, metric, max(value) AS value FROM vitals GROUP BY ALL),
+cells AS (SELECT visit_id, day, date_diff('day', min(day) OVER (PARTITION BY visit_id), day) + 1 AS slot FROM (SELECT DISTINCT visit_id, day FROM own)),
+metrics(metric, ordinal) AS (VALUES ('heart_rate', 1), ('respiratory_rate', 2), ('systolic_bp', 3), ('temperature', 4), ('spo2', 5))
+SELECT c.visit_id, c.slot, m.metric, m.ordinal, o.value FROM cells c CROSS JOIN metrics m
+LEFT JOIN own o ON o.visit_id IS NOT DISTINCT FROM c.visit_id AND o.day IS NOT DISTINCT FROM c.day AND o.metric = m.metric""")
+def trend_matrix_all(spark, sf):
+    """All measurements as a matrix in long form; the slot is the day from each visit's first one, as 1."""
+    points = roles.vitals(spark, sf).groupBy("visit_id", F.to_date("measured_at").alias("day")).pivot("metric", METRICS).agg(F.max("value"))
+    first = F.min("day").over(Window.partitionBy("visit_id"))  # over days, not measurements
+    slots = points.withColumn("slot", (F.datediff("day", first) + 1).cast("long"))
+    ordinal = clinical.mapped(F.col("metric"), {m: k for k, m in enumerate(METRICS, 1)})
+    return slots.unpivot(["visit_id", "slot"], METRICS, "metric", "value").select("visit_id", "slot", "metric", ordinal.alias("ordinal"), "value")
+
+
 @query(with_roles("beds") + """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'critical') AS critical, count(*) FILTER (WHERE status = 'moderate') AS moderate,
 count(*) FILTER (WHERE status = 'low') AS low, count(*) FILTER (WHERE status = 'empty') AS empty FROM beds""")
 def bed_status_counts(spark, sf):

@@ -74,3 +74,10 @@ def test_scans_read_only_what_they_need(spark, small):
     assert "ReadSchema: struct<l_discount:double>" in plan
     plan = catalog.kpi_summary(spark, small)._jdf.queryExecution().toString()
     assert "text:string" not in plan.split("Physical Plan")[-1]
+
+
+def test_trends_hold_every_day(spark, small):
+    days = {(r.visit_id, r.measured_at.date()) for r in catalog.roles.vitals(spark, small).collect()}
+    rows = catalog.QUERIES["trend_matrix_all"](spark, small).collect()
+    assert len(rows) == 5 * len(days) == len({(r.visit_id, r.slot, r.metric) for r in rows})
+    assert {r.visit_id for r in rows} == {v for v, _ in days} and max(r.slot for r in rows) > 3
