@@ -510,6 +510,15 @@ def patched_rows(spark, sf):
     return changes.patched(state, changes.fold(patch_log(spark, sf).where("id % 2 = 0"), ["status"]), ["status"])
 
 
+@query("""WITH f AS (SELECT o_custkey AS id, arg_max_null(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 1) AS status, bool_or(o_orderkey % 3 <> 1) AS s
+FROM orders GROUP BY 1)
+SELECT c.c_custkey AS id, CASE WHEN coalesce(f.s, false) THEN f.status ELSE c.c_mktsegment END AS status FROM customer c LEFT JOIN f ON c.c_custkey = f.id""")
+def patched_rows_all(spark, sf):
+    """Customers after the whole patch log."""
+    state = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
+    return changes.patched(state, changes.fold(patch_log(spark, sf), ["status"]), ["status"])
+
+
 @query("""WITH log AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 11 = 0 THEN 'delete' ELSE 'patch' END AS op FROM orders),
 gone AS (SELECT id, min(seq) AS g FROM log WHERE op = 'delete' GROUP BY 1) SELECT l.id, l.seq, l.op, CASE WHEN l.seq > g.g THEN 404 END AS code FROM log l LEFT JOIN gone g ON l.id = g.id""")
 def commands_after_delete(spark, sf):

@@ -81,3 +81,11 @@ def test_trends_hold_every_day(spark, small):
     rows = catalog.QUERIES["trend_matrix_all"](spark, small).collect()
     assert len(rows) == 5 * len(days) == len({(r.visit_id, r.slot, r.metric) for r in rows})
     assert {r.visit_id for r in rows} == {v for v, _ in days} and max(r.slot for r in rows) > 3
+
+
+def test_patches_reach_odd_and_even_keys(spark, small):
+    folded = {r.id: r for r in catalog.merge_patch_state(spark, small).collect()}
+    before = {r.id: r.category for r in catalog.roles.patients(spark, small).collect()}
+    after = {r.id: r.status for r in catalog.QUERIES["patched_rows_all"](spark, small).collect()}
+    assert after == {i: folded[i].status if i in folded and folded[i].status_set else old for i, old in before.items()}
+    assert {i % 2 for i in after if after[i] != before[i]} == {0, 1}
