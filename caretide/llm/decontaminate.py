@@ -5,12 +5,13 @@ Words are lower-cased runs of letters, digits and underscores; shingles are five
 shingles stand in the benchmark, so windows with too few of those are passed over without loss.  The others get a SimHash
 fingerprint; a multi-index of Hamming blocks gives every item within the radius of it (blocks share out the radius, so one
 block of a near pair is near enough to be looked up); the weighted Jaccard similarity of the shingles, each weighing its
-number of occurrences, decides.
+number of occurrences, decides.  A document with fewer shingles than an item is itself the one window for it; items that
+long and near enough are found exactly by the shingles that they share.
 
 The benchmark is taken in blocks of bounded bytes, each against all documents; only such a block is ever sent to tasks.
 
 Defined cases: null and empty texts and items match nothing; fewer than five words are one shingle, so such an item
-matches a document of just the same words; items of equal text all match; a document row matches on its own, whatever
+matches a document of just the same words and no passage of a longer one; items of equal text all match; a document row matches on its own, whatever
 other rows have its id.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
 from itertools import combinations, repeat
@@ -112,8 +114,10 @@ class Benchmark:
         self.number: dict[str, int] = {}
         for words in {w for s in self.shingles for shingle in s for w in shingle}:
             self.number[words] = len(self.number)
-        known = {s for own in self.shingles for s in own}
-        self.keys = np.sort(self._key(np.array([[self.number[w] for w in s] for s in known], np.int64))) if known else np.zeros(0, np.uint64)
+        held = [(s, i) for i, own in enumerate(self.shingles) for s in dict.fromkeys(own)]
+        keys = self._key(np.array([[self.number[w] for w in s] for s, _ in held], np.int64)) if held else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.holders = keys[order], np.array([i for _, i in held], np.int64)[order]
         self.size_of = np.array([len(s) for s in self.shingles], np.int64)
         self.sizes = np.unique(self.size_of).tolist()
         self.index = HammingIndex(np.array([majority(np.array([shingle_hash(s) for s in own], np.uint64)) for own in self.shingles], np.uint64))
@@ -121,20 +125,40 @@ class Benchmark:
     def _key(self, numbers: np.ndarray) -> np.ndarray:
         return ((numbers.astype(np.uint64) + np.uint64(1)) * self.FACTORS).sum(axis=1, dtype=np.uint64)
 
-    def hits(self, words: list[str]) -> np.ndarray:
-        """Whether each five-word shingle stands in the benchmark."""
+    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each five-word shingle stands in the benchmark, and the keys of those that do."""
         numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         n = len(words) - SHINGLE + 1
         full = numbers[:n] >= 0
         for k in range(1, SHINGLE):
             full &= numbers[k : n + k] >= 0
         at = np.flatnonzero(full)
-        out = np.zeros(n, bool)
+        out, keys = np.zeros(n, bool), np.zeros(0, np.uint64)
         if len(at):
             keys = self._key(numbers[at[:, None] + np.arange(SHINGLE)])
             place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             out[at] = self.keys[place] == keys
-        return out
+            keys = keys[out[at]]
+        return out, keys
+
+    def longer(self, words: list[str], keys: np.ndarray) -> list[tuple[int, float]]:
+        """Items with more shingles than the whole document, and their similarity to it; ``keys`` are of its hits."""
+        n = len(words) - SHINGLE + 1
+        at = bisect_right(self.sizes, n)
+        if at == len(self.sizes) or n < SIMILARITY * self.sizes[at] - 1e-9:
+            return []
+        # shared / (n + size - shared) >= SIMILARITY, for the smallest of the sizes
+        least = math.ceil((n + self.sizes[at]) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+        if len(keys) < least:
+            return []
+        lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+        # an item that shares so many has one of any len(keys) - least + 1: those that the fewest items have
+        rare = np.argsort(hi - lo, kind="stable")[: len(keys) - least + 1]
+        items = np.unique(np.concatenate([self.holders[lo[k] : hi[k]] for k in rare.tolist()]))
+        items = items[(self.size_of[items] > n) & (self.size_of[items] * SIMILARITY <= n + 1e-9)]
+        own = shingles_of(words)
+        found = [(i, similarity(own, self.shingles[i])) for i in items.tolist()]
+        return [(i, s) for i, s in found if s >= SIMILARITY - 1e-12]
 
     def matches(self, text: str | None, first_only: bool = False) -> list[tuple[int, int, int, float]]:
         """``(item, first word, words, similarity)``: the best window of each item that the text holds."""
@@ -143,9 +167,10 @@ class Benchmark:
             return [(item, 0, len(words), 1.0) for item in self.whole.get(tuple(words), [])]
         if not self.ids:
             return []
-        hit = self.hits(words)
-        if not hit.any():
+        hit, keys = self.hits(words)
+        if not len(keys):
             return []
+        best: dict[int, tuple[float, int, int]] = {i: (found, 0, len(hit)) for i, found in self.longer(words, keys)}
         counts = np.concatenate(([0], np.cumsum(hit)))
         windows = []
         for size in self.sizes:
@@ -155,13 +180,12 @@ class Benchmark:
                 at = np.flatnonzero(counts[size:] - counts[:-size] >= least)
                 if len(at):
                     windows.append((size, at))
-        if not windows:
-            return []
+        if first_only and best or not windows:
+            return [(self.ids[i], 0, len(words), found) for i, (found, _, _) in sorted(best.items())]
         fingerprints = self._fingerprints(words, windows)
         at, size = np.concatenate([a for _, a in windows]), np.repeat([s for s, _ in windows], [len(a) for _, a in windows])
         window, item = self.index.within(fingerprints)
         same = size[window] == self.size_of[item]
-        best: dict[int, tuple[float, int, int]] = {}
         for w, i in zip(window[same].tolist(), item[same].tolist()):
             first, n = int(at[w]), int(size[w])
             found = similarity(shingles_of(words[first : first + n + SHINGLE - 1]), self.shingles[i])

@@ -89,3 +89,36 @@ def test_edge_rows(spark, edge, empty):
     left = dc.clean(edge.withColumn("similarity", F.lit(1)), benchmark)
     assert left.columns == [*edge.columns, "similarity"] and sorted(r.doc_id for r in left.collect()) == [2, 3, 6, 7]
     assert dc.leaks(empty, benchmark).count() == 0 and dc.leaks(edge, benchmark.limit(0)).count() == 0 and dc.clean(edge, benchmark.limit(0)).count() == 9
+
+
+def plain_longer(docs, items):
+    """Every whole document against every item with more shingles."""
+    out = {}
+    for d, text in docs.items():
+        own = dc.shingles_of(dc.WORDS((text or "").lower()))
+        for i, t in items.items():
+            item = dc.shingles_of(dc.WORDS((t or "").lower()))
+            if own and len(own) < len(item) and (s := dc.similarity(own, item)) >= 0.8:
+                out[d, i] = round(s, 9)
+    return out
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = {i: " ".join(word() for _ in range(rng.choice([4, 5, 8, 9, 14, 30, 59, 75]))) for i in range(40)}
+    items |= {100: items[3], 101: " ".join(word() for _ in range(59)), 102: "same " * 14}
+    docs = {200: " ".join(items[101].split()[:-1]), 201: "same " * 13, 202: items[101], 203: " ".join([word()] * 9 + items[101].split()[:-1])}
+    for d in range(1000, 1300):
+        words = items[rng.randrange(40)].split()
+        for _ in range(rng.randint(0, 2)):
+            words[(k := rng.randrange(len(words))) : k + 1] = rng.choice([[], [word()]])
+            words = words[rng.randint(0, 1) :] or [word()]
+        docs[d] = " ".join(words[: len(words) - rng.choice([0, 1, 2, 4, 12])])
+    expected = plain_matches(docs, items) | plain_longer(docs, items)
+    assert expected[200, 101] == round(54 / 55, 9) and len({i for _, i in plain_longer(docs, items)}) > 10
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert found(frame, benchmark) == expected
+    assert {r.first_word + r.n_words for r in dc.leaks(frame, benchmark).where("doc_id = 200").collect()} == {58}
+    assert {r.doc_id for r in dc.clean(frame, benchmark).collect()} == set(docs) - {d for d, _ in expected}
