@@ -3,7 +3,9 @@
 A page is read once into runs of words and tags.  Every run knows its surroundings: inside the article, in a heading or
 link there, in running text outside, in a menu, advert, form and so on.  Words score the log-odds of their surroundings,
 tags the (negative) log-odds of their name, both counted on labelled pages; one linear scan finds the contiguous region
-with the largest sum.  Of that region, what stands in a menu, advert, form or comment is left out, and the rest is
+with the largest sum.  Where a page has both an article element and running text beside it, the scan is done once for
+each, the other being an interruption; of the two regions that one stays whose words weigh more, a word in an article and
+one beside it each weighing its own log-odds.  Of that region, what stands in a menu, advert, form or comment is left out, and the rest is
 joined block by block.
 
 The labelled pages are layouts written by rule (``labelled_pages``), with the main text of each known.
@@ -103,7 +105,7 @@ def runs(page: str) -> list[tuple[str, str, int]]:
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
-            kind = "inner" if bad and main else "boilerplate" if bad else "heading" if heading and (main or not has_main) else "outside" if has_main and not main else "link" if link else "article" if main else "running"
+            kind = "inner" if bad and main else "boilerplate" if bad else "heading" if heading and (main or not has_main) else "outside link" if has_main and not main and link else "outside" if has_main and not main else "link" if link else "article" if main else "running"
             out.append((kind, html.unescape(piece), block))
         elif piece:
             out.append(("space", " ", block))
@@ -180,7 +182,10 @@ def runs(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
-LEFT_OUT = ("boilerplate", "inner", "outside")
+#: Kinds that are no main text: of a page whose main text is in its article elements, if it has any, and of one where it
+#: is beside them.
+LEFT_OUT = ("boilerplate", "inner", "outside", "outside link")
+LEFT_OUT_BESIDE = ("boilerplate", "inner", "article", "heading", "link")
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -200,15 +205,21 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
         return ""
     weights = weights or learned()
     found = runs(page)
-    scores = []
-    for kind, content, _ in found:
-        if kind == "<tag>":
-            scores.append(weights.get(f"<{content}>", weights["<other>"]))
-        elif kind in LEFT_OUT:  # however long, it is one interruption
-            scores.append(weights[kind])
-        else:
-            scores.append(weights[kind] * len(content.split()) if kind != "space" else 0.0)
-    first, end = best_region(scores)
+    left_out, (first, end) = LEFT_OUT, (0, 0)
+    most = 0.0
+    for out, side in ((LEFT_OUT, "in article"), (LEFT_OUT_BESIDE, "beside article")) if any(kind == "outside" for kind, *_ in found) else ((LEFT_OUT, "in article"),):
+        scores = []
+        for kind, content, _ in found:
+            if kind == "<tag>":
+                scores.append(weights.get(f"<{content}>", weights["<other>"]))
+            elif kind in out:  # however long, it is one interruption
+                scores.append(weights["inner" if kind == "inner" else "boilerplate" if kind == "boilerplate" else "beside"])
+            else:
+                scores.append(weights[kind] * len(content.split()) if kind != "space" else 0.0)
+        region = best_region(scores)
+        kept = (content for kind, content, _ in found[slice(*region)] if kind != "<tag>" and kind not in out)
+        if (total := weights[side] * sum(len(c.split()) for c in kept)) > most:
+            most, left_out, (first, end) = total, out, region
     texts = [k for k in range(first, end) if found[k][0] not in ("<tag>", "space")]
     if not texts:
         return ""
@@ -216,7 +227,7 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     low, high = found[texts[0]][2], found[texts[-1]][2]
     blocks: dict[int, list[str]] = {}
     for kind, content, block in found:
-        if low <= block <= high and kind != "<tag>" and kind not in LEFT_OUT:
+        if low <= block <= high and kind != "<tag>" and kind not in left_out:
             blocks.setdefault(block, []).append(content)
     joined = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n\n".join(b for b in joined if b)
@@ -258,6 +269,31 @@ def labelled_pages(n: int = 200, seed: int = 7) -> list[tuple[str, list[str]]]:
     return out
 
 
+def beside_pages(n: int = 200, seed: int = 8) -> list[tuple[str, list[str]]]:
+    """Like ``labelled_pages``: an article with plain text beside it, or a plain box with teaser articles beside it."""
+    rng, serial, out = random.Random(seed), 0, []
+
+    def words(lo: int, hi: int) -> str:
+        nonlocal serial
+        k = rng.randint(lo, hi)
+        serial += k
+        return " ".join(f"w{serial - j}" for j in range(k))
+
+    for _ in range(n):
+        kept = [words(3, 9), *(words(20, 60) for _ in range(rng.randint(3, 8)))]
+        body = f"<h1>{kept[0]}</h1>" + "".join(f"<p>{p}</p>" for p in kept[1:])
+        if rng.random() < 0.5:
+            body = f"<article>{body}</article>"
+            beside = [f"<div class='{rng.choice(['intro', 'about', 'line'])}'>{words(3, 20)}</div>" for _ in range(rng.randint(1, 3))]
+        else:
+            body = f"<div class='{rng.choice(['story', 'text', 'content'])}'>{body}</div>"
+            beside = [f"<article class='{rng.choice(['card', 'tile', 'item'])}'><h3><a href='/t'>{words(2, 5)}</a></h3><p>{words(4, 14)}</p></article>" for _ in range(rng.randint(1, 3))]
+        cut = rng.choice([0, 0, len(beside)])
+        menu = "".join(f"<li><a href='/x'>{words(1, 2)}</a></li>" for _ in range(rng.randint(3, 9)))
+        out.append((f"<html><body><nav><ul>{menu}</ul></nav>{''.join(beside[:cut])}{body}{''.join(beside[cut:])}<footer>{words(3, 9)}</footer></body></html>", " ".join(kept).split()))
+    return out
+
+
 @lru_cache(maxsize=1)
 def learned() -> dict[str, float]:
     """Log-odds with a prior of one count each way; a tag scores below 0 in any case."""
@@ -273,9 +309,17 @@ def learned() -> dict[str, float]:
                     (inside if word in main else outside)[kind] += 1
     odds = {k: math.log((inside[k] + 1) / (outside[k] + 1)) for k in inside | outside}
     tags = {k: min(-0.05, v / 4) for k, v in odds.items() if k[0] == "<"}
-    kinds = {k: odds.get(k, d) for k, d in (("article", 1.0), ("running", 1.0), ("heading", 1.0), ("link", 0.5), ("outside", -1.0), ("boilerplate", -1.0))}
-    kinds |= {"outside": min(kinds["outside"], -1.0) / 4, "boilerplate": min(kinds["boilerplate"], -1.0) / 4, "inner": 0.0}
-    return {**tags, **kinds, "<other>": -0.3}
+    kinds = {k: odds.get(k, d) for k, d in (("article", 1.0), ("running", 1.0), ("heading", 1.0), ("link", 0.5), ("outside link", -1.0), ("boilerplate", -1.0))}
+    kinds |= {"outside": kinds["running"], "outside link": kinds["link"], "beside": min(kinds["outside link"], -1.0) / 4, "boilerplate": min(kinds["boilerplate"], -1.0) / 4, "inner": 0.0}
+    sides = Counter()
+    for page, kept in labelled_pages() + beside_pages():
+        main, found = set(kept), runs(page)
+        for kind, c, _ in found if any(kind == "outside" for kind, *_ in found) else ():
+            side = {"article": "in article", "heading": "in article", "outside": "beside article"}.get(kind)
+            for word in c.split() if side else ():
+                sides[side, word in main] += 1
+    weighed = {s: math.log((sides[s, True] + 1) / (sides[s, False] + 1)) for s in ("in article", "beside article")}
+    return {**tags, **kinds, **weighed, "<other>": -0.3}
 
 
 def extract(pages: DataFrame, page: str = "html", into: str = "text") -> DataFrame:

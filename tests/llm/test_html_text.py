@@ -67,3 +67,11 @@ def test_edge_rows(edge, empty):
     assert out.columns == ["doc_id", "lang", "a.b", "text", "n_chars"]
     assert sorted(r.n_chars for r in out.collect()) == sorted([34, 34, 34, 0, 0, 10, 300_003, 0, 13])
     assert html_text.extract(empty, "text", "main").count() == 0
+
+
+def test_teaser_articles_beside_the_main_text():
+    story = "".join(f"<p>{'word ' * 40}</p>" for _ in range(3))
+    page = f"<div class='story'><h1>Title</h1>{story}</div><article class='card'><h3>Teaser</h3><p>short teaser text</p></article>"
+    assert html_text.main_text(page).split() == ["Title"] + ["word"] * 120
+    for page, kept in html_text.beside_pages(150, seed=31):
+        assert html_text.main_text(page).split() == kept
