@@ -44,6 +44,12 @@ MARKS = frozenset(
     "cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies respond discussion responses related recommended "
     "recommendations pagination pager widget widgets toolbar search complementary contentinfo copyright legal skip hidden".split()
 )
+#: Of these, words of everyday headings; inside the article their ids mean nothing.
+EVERYDAY = frozenset("side discussion related recommended recommendations respond responses search legal notice notices alert social consent skip".split())
+#: Words that with a mark still make up the whole name of a box, as in "comment-list".
+BOXES = frozenset("list lists box block section area wrap wrapper container item items bar links link button buttons posts articles stories form thread slot unit content inner".split())
+#: A box inside the article with a doubtful name is text of it from so many words, up to that share of them in links.
+LONG, LINKED = 40, 0.25
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -60,14 +66,33 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|dis
 NOT_MAIN = ("comment", "reply", "replies", "respon", "related", "recommend", "teaser", "promo", "sponsor", "advert", "ad-")
 
 
-def _names(attributes: str) -> list[str]:
-    return [name for found in NAMES.finditer(attributes) for name in (found[1] or found[2] or found[3] or "").lower().split()]
+def _names(attributes: str, ids: bool | None = None) -> list[str]:
+    """Names in class, id and role; only those of ids or only the others if ``ids`` is given."""
+    return [name for found in NAMES.finditer(attributes) if ids is None or ids == (found[0][:2].lower() == "id") for name in (found[1] or found[2] or found[3] or "").lower().split()]
 
 
 def _main(name: str, attributes: str) -> bool:
     return name in MAIN and not any(n == "ad" or n.startswith(NOT_MAIN) for n in _names(attributes))
 
 
+def _mark(name: str, attributes: str) -> str:
+    """What names say of a block element inside the article: ``sure`` to be none of it, in ``doubt``, or nothing."""
+    if name in INLINE and name != "span" or name in ("html", "body") or name in MAIN or not attributes:
+        return ""
+    out = ""
+    for ids in (False, True):
+        for parts in (set(PARTS(n)) for n in _names(attributes, ids)):
+            own = parts & MARKS - {"header", "masthead"}  # an article's own head has its title
+            whole, everyday = parts <= MARKS | BOXES, own <= EVERYDAY
+            if not own or ids and (name in HEADINGS or name == "p"):
+                continue
+            if whole and not (everyday and not parts & BOXES):
+                return "sure"
+            if not ids and (whole or not everyday):
+                out = "doubt"
+    return out
+
+
 def _boilerplate(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element opens boilerplate, and whether its name alone says so."""
     if name in BOILERPLATE and not (name == "header" and in_main):
@@ -76,9 +101,9 @@ def _boilerplate(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]
         return not _main(name, attributes), True
     if name in INLINE and name != "span" or name in ("html", "body") or not attributes:
         return False, False
-    parts = {p for n in _names(attributes) for p in PARTS(n)} & MARKS
     if in_main:
-        parts -= {"header", "masthead"}  # an article's own head has its title
+        return _mark(name, attributes) == "sure" or HIDDEN(attributes) is not None, False
+    parts = {p for n in _names(attributes) for p in PARTS(n)} & MARKS
     return bool(parts) or HIDDEN(attributes) is not None, False
 
 
@@ -92,6 +117,7 @@ def runs(page: str) -> list[tuple[str, str, int]]:
     stack: list[tuple[str, bool, bool]] = []  # name, whether it opens boilerplate, whether its name alone says so
     bad = heading = link = main = block = 0
     has_main = any(_main("main", m[1]) for m in MAIN_TAG.finditer(page))
+    doubts: list[tuple[int, int]] = []  # depth and first run of open boxes that are in doubt
     begun = False  # the article or its title has been seen
     at, tag = 0, TAG
 
@@ -102,10 +128,21 @@ def runs(page: str) -> list[tuple[str, str, int]]:
         heading -= name in HEADINGS
         link -= name == "a"
         main -= name in MAIN and not marked
+        if doubts and doubts[-1][0] == len(stack):
+            settle(doubts.pop()[1])
+
+    def settle(first: int) -> None:
+        own = [k for k in range(first, len(out)) if out[k][0].startswith("doubt ")]
+        n, linked = (sum(len(out[k][1].split()) for k in own if out[k][0].endswith(end)) for end in ("", " link"))
+        long = n >= LONG and linked <= LINKED * n
+        for k in own:
+            out[k] = (out[k][0].removeprefix("doubt ") if long else "inner", *out[k][1:])
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
             kind = "inner" if bad and main else "boilerplate" if bad else "heading" if heading and (main or not has_main) else "outside link" if has_main and not main and link else "outside" if has_main and not main else "link" if link else "article" if main else "running"
+            if doubts and kind != "inner":
+                kind = f"doubt {kind}"
             out.append((kind, html.unescape(piece), block))
         elif piece:
             out.append(("space", " ", block))
@@ -137,7 +174,7 @@ def runs(page: str) -> list[tuple[str, str, int]]:
         closing, name, attributes = found[1], found[2].lower(), found[3]
         if name not in INLINE and name not in RAW:
             block += 1
-        if not (bad and main):  # what is left out inside the article is no edge of it
+        if not ((bad or doubts) and main):  # what is left out inside the article is no edge of it
             out.append(("<tag>", name, block))
         if closing:
             if any(n == name for n, *_ in stack):
@@ -174,11 +211,15 @@ def runs(page: str) -> list[tuple[str, str, int]]:
                 if stack[depth][0] in limits:
                     break
         marked, sure = _boilerplate(name, attributes, main > 0)
+        if main and not marked and _mark(name, attributes) == "doubt":
+            doubts.append((len(stack), len(out)))
         stack.append((name, marked, sure))
         bad += marked
         heading += name in HEADINGS
         link += name == "a"
         main += name in MAIN and not marked
+    while stack:
+        pop()
     return out
 
 

@@ -75,3 +75,12 @@ def test_teaser_articles_beside_the_main_text():
     assert html_text.main_text(page).split() == ["Title"] + ["word"] * 120
     for page, kept in html_text.beside_pages(150, seed=31):
         assert html_text.main_text(page).split() == kept
+
+
+def test_names_inside_the_article():
+    body = " ".join(f"w{k}" for k in range(60))
+    page = (
+        f"<article><h1>T</h1><h2 id='discussion'>Talk</h2><p id='side-effects'>some effects</p><section id='related-work'><p>{body}</p></section><section id='discussion'>short</section>"
+        f"<div class='notice'>{body}</div><div class='notice'>cookies</div><div class='my-ad'>buy</div><div class='related-posts'>{body}</div><section id='comments'>{body}</section><div class='discussion'><a href=x>{body}</a></div><p>end</p></article>"
+    )
+    assert html_text.main_text(page) == f"T\n\nTalk\n\nsome effects\n\n{body}\n\nshort\n\n{body}\n\nend"
