@@ -4,6 +4,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,59 @@ def test_names_inside_the_article():
         f"<div class='notice'>{body}</div><div class='notice'>cookies</div><div class='my-ad'>buy</div><div class='related-posts'>{body}</div><section id='comments'>{body}</section><div class='discussion'><a href=x>{body}</a></div><p>end</p></article>"
     )
     assert html_text.main_text(page) == f"T\n\nTalk\n\nsome effects\n\n{body}\n\nshort\n\n{body}\n\nend"
+
+
+def test_the_scan_decides(monkeypatch):
+    """Neither the whole page in place of the best region nor flat weights give the main texts."""
+    pages = html_text.labelled_pages(40, seed=5) + html_text.boxed_pages(40, seed=6)
+    right = lambda weights=None: sum(html_text.main_text(p, weights).split() == kept for p, kept in pages)
+    assert right() == len(pages)
+    assert right(html_text.Weights({"any": 1.0}, {"<other>": -0.05}, html_text.learned().sides)) < 10
+    monkeypatch.setattr(html_text, "best_region", lambda scores: (0, len(scores)))
+    assert right() < 10
+
+
+def test_scan_decides_on_the_tables_pages(spark, small, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    texts = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "best_region", lambda scores: (0, len(scores)))
+    assert not any(html_text.main_text(p) == t for p, t in zip(pages, texts))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (
+            "<html><body><table><tr><td><a href=/>Home</a><br><a href=/a>News</a><br><a href=/b>Sport</a></td><td><h1>Flood in the valley</h1><p>The river rose by two metres on Monday night.</p><p>Nobody was hurt.</p></td></tr></table><div class=foot>Imprint</div></body></html>",
+            "Flood in the valley\n\nThe river rose by two metres on Monday night.\n\nNobody was hurt.",
+        ),
+        (
+            "<body><div id=top><span>ACME</span></div><div id=col1><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></div><div id=col2><h2>How bees dance</h2>Bees tell each other where food is by dancing in the dark of the hive.<br><br>"
+            "The angle gives the direction.<div class=social-history>Their social history goes back many millions of years.</div></div><div id=col3><b>Read also</b> <a href=3>Wasps and their nests</a> <a href=4>Ants</a></div></body>",
+            "How bees dance\n\nBees tell each other where food is by dancing in the dark of the hive. The angle gives the direction.\n\nTheir social history goes back many millions of years.",
+        ),
+        (
+            "<article><h1>T</h1><p>One two three four five.</p><section class='social-history'><p>A short text here.</p></section><div class='search-results-analysis'><p>Another one.</p></div><div class='comment-on-policy'><p>A third, which is short too.</p></div><p>End.</p></article>",
+            "T\n\nOne two three four five.\n\nA short text here.\n\nAnother one.\n\nA third, which is short too.\n\nEnd.",
+        ),
+        (
+            "<body><header><a href=/>Logo</a></header><section><h1>Bread</h1><p>Mix flour and water.</p><ol><li>Knead it for ten minutes.</li><li>Let it rest.</li></ol><aside>Buy our flour</aside><p>Bake.</p></section>"
+            "<section id=comments><p>I tried it and it is very good indeed, thanks a lot for this recipe!</p></section><footer>Imprint</footer></body>",
+            "Bread\n\nMix flour and water.\n\nKnead it for ten minutes.\n\nLet it rest.\n\nBake.",
+        ),
+    ],
+)
+def test_layouts_written_by_hand(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    shapes = ("<div>{n}</i>{n}", "<p><button>{n}<b>{n}<h1>{n}", "<div class='my-ad'>x {n}", "<div>{n}</div>{n}", "<b><i>{n}x</b></i>{n}", "<article>x{n}</nav>{n}")
+    for shape in shapes:
+        took = []
+        for n in (5_000, 40_000):
+            page = "".join(part * n for part in shape.split("{n}"))
+            began = time.process_time()
+            html_text.main_text(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 0.5, (shape, took)
