@@ -1,18 +1,25 @@
 """Personal data in texts: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
-Base spans are the leftmost non-overlapping matches of four patterns, found by scans that stay linear on any text.
-Around digits and written-out addresses, the model then scores whole candidate spans (a phone number without a country
-code, an address spelt with "at" and "dot", a national number, an account number) by features of the span: its shape,
-its checksum, its grouping, the words before it.  A dynamic program over bounded spans chooses boundaries and types
-together; what no candidate covers is no entity and scores 0.  Weights are fitted here by conditional likelihood on
-sentences written by rule.  Added spans never overlap base spans, which always stay.
-
-Defined cases: a null or empty text has no spans; positions are code points, ends exclusive.
+Base spans are the leftmost non-overlapping matches of four patterns, found by scans that stay linear on any text.  The
+model then scores whole candidate spans (a phone number without a country code, a card number in odd groups, an address
+spelt with "at" and "dot", a national number, an account number) by features of the span: its shape, its checksum, its
+grouping, the words before it.  A dynamic program over bounded spans (``MAX_TOKENS``, ``MAX_CHARS``) chooses boundaries
+and types together; what no candidate covers is no entity and scores 0.  Weights are fitted here by conditional
+likelihood on sentences written by rule.  Added spans never overlap base spans, which always stay.
+
+Only stretches that can hold a candidate are looked at: runs of digits and their separators with seven digits or more,
+the letters and digits of an account number, and the neighbourhood of a written-out "at" or "dot".  Every candidate lies
+within one of them, so the result is that of the program over the whole text, and its cost is linear in it.
+
+Defined cases: a null or empty text has no spans, an empty table no rows; positions are code points, ends exclusive; of
+segmentations that score the same the one whose spans end first in the scan stays; rows stand on their own, so repeated
+rows give equal results; columns named as the results give way to them, other columns of any name stay.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from bisect import bisect_left
@@ -79,13 +86,17 @@ def base_spans(text: str) -> list[Span]:
 # The model ------------------------------------------------------------------------------------------------------------
 
 TOKENS = re.compile(r"[A-Za-z]+|[0-9]+|\S").finditer
-MAX_TOKENS = 17  #: longest span
-WINDOW = 48  #: characters of context before and after a trigger
-#: Digit groups close together with 7 digits or more, or the written-out parts of an address.
-TRIGGER = re.compile(r"[0-9](?:[0-9 ().\-/]{5,}+)(?<=[0-9])|[0-9](?:[ ().\-/]?[0-9]){6,}+|[\[({<]\s?(?:at|dot)\s?[\])}>]|\b(?:at|AT)\s\S{1,30}\s(?:dot|DOT)\b|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2}").finditer
+MAX_TOKENS = 32  #: longest span in tokens
+MAX_CHARS = 320  #: and in characters: the longest address that mail standards allow
+CONTEXT = 64  #: characters before a span that are read for cues
+#: Stretches that can hold a candidate: of digits, of an account number, and what shows a written-out address.
+DIGITS_AT = re.compile(r"[(0-9][0-9 ().\-/]{6,}+").finditer
+IBAN_AT = re.compile(r"(?<![A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+").finditer
+SPELT_AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\bdot\b", re.I)
 DIGIT_SPAN = re.compile(r"\(?[0-9][0-9 ().\-/]*[0-9]").fullmatch
-IBAN_SPAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}").fullmatch
-SPELT = re.compile(r"[A-Za-z0-9._+-]+\s?(?:[\[({<]\s?at\s?[\])}>]|\bat\b|@)\s?[A-Za-z0-9-]+(?:\s?(?:[\[({<]\s?dot\s?[\])}>]|\bdot\b|\.)\s?[A-Za-z0-9-]+)+", re.I).fullmatch
+IBAN_SPAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").fullmatch
+LABEL = r"[A-Za-z0-9-]*[A-Za-z][A-Za-z0-9-]*"
+SPELT = re.compile(rf"[A-Za-z0-9._+-]*[A-Za-z0-9]\s?(?:[\[({{<]\s?at\s?[\])}}>]|\bat\b|@)\s?{LABEL}(?:\s?(?:[\[({{<]\s?dot\s?[\])}}>]|\bdot\b|\.)\s?{LABEL})+", re.I).fullmatch
 TOP_LEVEL = frozenset("com org net edu gov info io de fr es eu uk ch at it nl".split())
 CUES = {
     "phone": frozenset("phone tel telephone call cell mobile fax whatsapp telefon handy anrufen rufnummer telephone portable appelez telefono movil llame".split()),
@@ -94,6 +105,8 @@ CUES = {
     "iban": frozenset("iban account konto compte cuenta".split()),
     "email": frozenset("email mail contact write reach adresse correo".split()),
 }
+#: Words before numbers that are none of a person.
+OTHER_CUES = frozenset("version v release build part item order invoice ref reference serial model lot batch article sku isbn bestellung rechnung artikel commande facture pedido factura".split())
 
 
 def mod97(account: str) -> bool:
@@ -134,30 +147,71 @@ def _shape(piece: str, kind: str) -> tuple[str, ...]:
 def features(text: str, start: int, end: int, kind: str, before: list[str]) -> list[str]:
     """Names of the features of a whole candidate span: its surroundings and its shape."""
     out = [kind, f"{kind} cue" if not CUES.get(kind, frozenset()).isdisjoint(before) else f"{kind} no cue"]
+    if not OTHER_CUES.isdisjoint(before[-3:]):
+        out.append(f"{kind} other cue")
     if start and (text[start - 1].isalnum() or text[start - 1] in "-./,#$€=_") or end < len(text) and (text[end].isalnum() or text[end] in "-/%€_" or text[end] in ".,:" and text[end + 1 : end + 2].isdigit()):
         out.append(f"{kind} stuck")
     return [*out, *_shape(text[start:end], kind)]
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, list[str]]]]:
-    """Tokens of a window, and its candidate spans as (first token, end token, kind, features)."""
-    tokens = [m.span() for m in TOKENS(text)]
+def stretches(text: str) -> list[tuple[int, int]]:
+    """Stretches outside which no candidate lies, apart from one another and in order."""
+    found = [m.span() for m in DIGITS_AT(text) if sum(map(m[0].count, "0123456789")) >= 7]
+    found += [m.span() for m in IBAN_AT(text)]
+    found += [(max(0, m.end() - MAX_CHARS), min(len(text), m.start() + MAX_CHARS)) for m in SPELT_AT.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _same(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one token."""
+    return a.isascii() and b.isascii() and (a.isalpha() and b.isalpha() or a.isdigit() and b.isdigit())
+
+
+def candidates(text: str, lo: int = 0, hi: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, list[str]]]]:
+    """Tokens of a stretch, and its candidate spans as (first token, end token, kind, features)."""
+    hi = len(text) if hi is None else hi
+    tokens = [m.span() for m in TOKENS(text, lo, hi)]
+    if tokens and lo and _same(text[lo - 1], text[lo]):
+        del tokens[0]  # the rest of a token that begins before the stretch
+    if tokens and hi < len(text) and _same(text[hi - 1], text[hi]):
+        del tokens[-1]
     found = []
+    spelt = SPELT_AT.search(text, lo, hi) is not None
     for i, (start, _) in enumerate(tokens):
-        first = text[start]
-        before = [text[a:b].lower() for a, b in tokens[max(0, i - 5) : i]]
+        first, before, n = text[start], None, 0
+        number, account = first.isascii() and first.isdigit() or first == "(", "A" <= first <= "Z"
+        if not (number or account or spelt and (first.isalnum() or first in "._+-")):
+            continue
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            end = tokens[j][1]
+            a, end = tokens[j]
+            last = text[a]
+            if end - start > MAX_CHARS:
+                break
+            if number and last in "0123456789":
+                n += end - a
+            elif number and last not in "().-/":
+                number = False
+            if not spelt and not (number and n <= 19 or account and end - start <= 42):
+                break
+            if not text[end - 1].isalnum():
+                continue
             piece = text[start:end]
-            if (first.isdigit() or first == "(") and DIGIT_SPAN(piece):
-                n = len(digits_of(piece))
-                kinds = [k for k, fits in (("phone", 7 <= n <= 15), ("card", 12 <= n <= 19), ("national_id", n == 9 and groups_of(piece) == "3-2-4")) if fits]
-            elif first.isupper() and IBAN_SPAN(piece):
+            if number and 7 <= n <= 19 and DIGIT_SPAN(piece):
+                kinds = [k for k, fits in (("phone", n <= 15), ("card", n >= 12), ("national_id", n == 9 and groups_of(piece) == "3-2-4")) if fits]
+            elif account and IBAN_SPAN(piece):
                 kinds = ["iban"]
-            elif j - i >= 4 and first.isalnum() and SPELT(piece):
+            elif spelt and j - i >= 4 and SPELT_AT.search(piece) and SPELT(piece):
                 kinds = ["email"]
             else:
                 continue
+            if before is None:
+                before = [m[0].lower() for m in TOKENS(text, max(0, start - CONTEXT), start)][-5:]
             found += [(i, j + 1, KINDS.index(k), features(text, start, end, k, before)) for k in kinds]
     return tokens, found
 
@@ -186,23 +240,23 @@ def viterbi(n: int, spans: list[tuple[int, int, int, float]]) -> list[int]:
 
 def marginals(n: int, spans: list[tuple[int, int, int, float]]) -> np.ndarray:
     """Probability of each span over all segmentations."""
-    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-    alpha[0] = beta[n] = 0.0
-    by_end = sorted(range(len(spans)), key=lambda k: spans[k][1])
-    at = 0
-    for t in range(1, n + 1):
-        alpha[t] = alpha[t - 1]
-        while at < len(by_end) and spans[by_end[at]][1] == t:
-            alpha[t] = np.logaddexp(alpha[t], alpha[spans[by_end[at]][0]] + spans[by_end[at]][3])
-            at += 1
-    by_start = sorted(range(len(spans)), key=lambda k: -spans[k][0])
-    at = 0
-    for t in range(n - 1, -1, -1):
-        beta[t] = beta[t + 1]
-        while at < len(by_start) and spans[by_start[at]][0] == t:
-            beta[t] = np.logaddexp(beta[t], beta[spans[by_start[at]][1]] + spans[by_start[at]][3])
-            at += 1
-    return np.exp([alpha[a] + s + beta[b] - alpha[n] for a, b, _, s in spans])
+    at = {p: k for k, p in enumerate(sorted({0, n, *(s[0] for s in spans), *(s[1] for s in spans)}))}
+    ends: list[list[tuple[int, float]]] = [[] for _ in at]
+    starts: list[list[tuple[int, float]]] = [[] for _ in at]
+    for a, b, _, score in spans:
+        ends[at[b]].append((at[a], score))
+        starts[at[a]].append((at[b], score))
+    alpha, beta = [0.0] * len(at), [0.0] * len(at)
+    for t in range(1, len(at)):
+        alpha[t] = _log_sum([alpha[t - 1], *(alpha[a] + score for a, score in ends[t])])
+    for t in range(len(at) - 2, -1, -1):
+        beta[t] = _log_sum([beta[t + 1], *(beta[b] + score for b, score in starts[t])])
+    return np.exp([alpha[at[a]] + score + beta[at[b]] - alpha[-1] for a, b, _, score in spans])
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values)
+    return top if len(values) == 1 else top + math.log(sum(math.exp(v - top) for v in values))
 
 
 def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
@@ -226,16 +280,27 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
     def address() -> str:
         how = rng.choice(at)
-        return f"{word()}{rng.choice(['', '.' + word(), d(2)])}{how}{word()}{dot[how]}{rng.choice(['com', 'org', 'net', 'de'])}"
+        local = f"{word()}{rng.choice(['', '.' + word(), d(2), f'.{word()}.{word()}{d(2)}'])}"
+        spelt = f"{how}{word()}{rng.choice(['', '', dot[how] + word()])}{dot[how]}{rng.choice(['com', 'org', 'net', 'de'])}"
+        return local + rng.choice([str, str, str.upper, str.title])(spelt)
+
+    def unchecked(k: int) -> str:
+        while luhn(out := d(k)):
+            pass
+        return rng.choice([out, " ".join(out[i : i + 4] for i in range(0, k, 4)), "-".join(out[i : i + 4] for i in range(0, k, 4))])
+
+    def odd_card() -> str:
+        full = digits_of(card())
+        return rng.choice([".", "  ", "/"]).join(full[k : k + 4] for k in range(0, 16, 4))
 
     phones = [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"{d(3)} {d(3)} {d(4)}"]
     cued = [lambda: f"0{d(3)} {d(7)}", lambda: f"0{d(2)}-{d(8)}", lambda: d(10), lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"{d(3)}-{d(4)}", lambda: f"0{d(4)}/{d(6)}"]
     nothing = [
-        lambda: f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", lambda: f"1{d(1)}.0{rng.randint(1, 9)}.20{d(2)}", lambda: d(rng.randint(7, 14)), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(1)}.{d(7)}",
+        lambda: f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", lambda: f"1{d(1)}.0{rng.randint(1, 9)}.20{d(2)}", lambda: d(rng.randint(7, 11)), lambda: unchecked(rng.randint(12, 19)), lambda: unchecked(16), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(1)}.{d(7)}",
         lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"20{d(2)}-1{d(1)}-0{rng.randint(1, 9)} 1{d(1)} 2{d(1)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"19{d(2)}-20{d(2)}", lambda: f"978-{d(1)}-{d(3)}-{d(5)}-{d(1)}",
         lambda: f"{d(5)}-{d(5)}", lambda: f"{d(3)}/{d(4)}/{d(3)}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"AB{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(2)}-{d(2)}-{d(4)}-{d(3)}", lambda: f"{d(1)}-{d(3)}-{d(3)}", lambda: ".".join(d(rng.randint(1, 4)) for _ in range(rng.randint(3, 5))), lambda: "-".join(d(rng.randint(2, 5)) for _ in range(4)),
     ]
-    make = {"phone": lambda: rng.choice(phones)(), "card": card, "iban": account, "email": address, "national_id": lambda: f"{d(3)}-{d(2)}-{d(4)}"}
+    make = {"phone": lambda: rng.choice(phones)(), "card": lambda: rng.choice([card, card, odd_card])(), "iban": account, "email": address, "national_id": lambda: f"{d(3)}-{d(2)}-{d(4)}"}
     for _ in range(n):
         text, spans = " ".join(word() for _ in range(rng.randint(1, 5))), []
         for _ in range(rng.randint(1, 3)):
@@ -243,8 +308,13 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
             name = "phone" if kind == "cued" else kind
             if name and (kind == "cued" or rng.random() < 0.4):
                 text += " " + rng.choice(sorted(CUES[name])) + rng.choice(["", ":", " is"])
+            elif kind is None and rng.random() < 0.2:
+                text += " " + rng.choice(sorted(CUES["card"])) + rng.choice(["", ":", " is"])
+            numbered = kind is None and rng.random() < 0.4  # numbers of things, in any shape of a person's
+            if numbered:
+                text += " " + rng.choice(sorted(OTHER_CUES)) + rng.choice(["", ":", " no"])
             text += " "
-            piece = rng.choice(nothing)() if kind is None else rng.choice(cued)() if kind == "cued" else make[kind]()
+            piece = rng.choice(nothing + phones * 2 if numbered else nothing)() if kind is None else rng.choice(cued)() if kind == "cued" else make[kind]()
             if name:
                 spans.append((len(text), len(text) + len(piece), KINDS.index(name)))
             text += piece + rng.choice(["", ".", ",", ""]) + " " + " ".join(word() for _ in range(rng.randint(1, 4)))
@@ -256,20 +326,23 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
 def learned(rounds: int = 150, rate: float = 1.0, pull: float = 2e-3) -> dict[str, float]:
     """Weights by gradient ascent on the conditional likelihood, with a pull to 0."""
     names: dict[str, int] = {}
-    data = []
+    data, flat, sizes, gold = [], [], [], []
     for text, truth in sentences():
         tokens, found = candidates(text)
-        ids = [[names.setdefault(f, len(names)) for f in fs] for *_, fs in found]
-        gold = np.array([float((tokens[a][0], tokens[b - 1][1], k) in truth) for a, b, k, _ in found])
         if found:
-            data.append((len(tokens), [(a, b, k) for a, b, k, _ in found], ids, gold))
+            data.append((len(tokens), [(a, b, k) for a, b, k, _ in found]))
+        for a, b, k, fs in found:
+            flat += [names.setdefault(f, len(names)) for f in fs]
+            sizes.append(len(fs))
+            gold.append(float((tokens[a][0], tokens[b - 1][1], k) in truth))
+    flat, first, wanted = np.array(flat), np.cumsum([0, *sizes[:-1]]), np.array(gold)
     w, squares = np.zeros(len(names)), np.full(len(names), 1e-6)
     for _ in range(rounds):
-        gradient = -pull * len(data) * w / 10
-        for n, spans, ids, gold in data:
-            p = marginals(n, [(*s, float(w[i].sum())) for s, i in zip(spans, ids)])
-            for delta, i in zip(gold - p, ids):
-                gradient[i] += delta
+        scores, at, p = np.add.reduceat(w[flat], first).tolist(), 0, []
+        for n, spans in data:
+            p.append(marginals(n, [(*s, score) for s, score in zip(spans, scores[at : at + len(spans)])]))
+            at += len(spans)
+        gradient = np.bincount(flat, np.repeat(wanted - np.concatenate(p), sizes), len(names)) - pull * len(data) * w / 10
         squares += gradient**2
         w += rate * gradient / np.sqrt(squares)
     return dict(zip(names, w.tolist()))
@@ -283,30 +356,15 @@ class Finder:
         """Spans that the model adds, clear of the base spans."""
         starts, longest = [s[0] for s in base], max((b - a for a, b, _ in base), default=0)
 
-        def near(lo: int, hi: int) -> list[Span]:
-            return [s for s in base[bisect_left(starts, lo - longest) : bisect_left(starts, hi)] if s[1] > lo]
+        def taken(lo: int, hi: int) -> bool:
+            return any(s[1] > lo for s in base[bisect_left(starts, lo - longest) : bisect_left(starts, hi)])
 
-        windows: list[list[int]] = []
-        for m in TRIGGER(text):
-            lo, hi = max(0, m.start() - WINDOW), min(len(text), m.end() + WINDOW)
-            if any(a <= m.start() and m.end() <= b for a, b, _ in near(m.start(), m.end())):
-                continue
-            if windows and lo <= windows[-1][1]:
-                windows[-1][1] = max(windows[-1][1], hi)
-            else:
-                windows.append([lo, hi])
         out = []
-        for lo, hi in windows:
-            # a window begins and ends between words
-            while lo > 0 and not text[lo - 1].isspace() and lo > hi - 4096:
-                lo -= 1
-            while hi < len(text) and not text[hi].isspace() and text[hi].isalnum():
-                hi += 1
-            piece = text[lo:hi]
-            tokens, found = candidates(piece)
-            free = [f for f in found if not near(tokens[f[0]][0] + lo, tokens[f[1] - 1][1] + lo)]
+        for lo, hi in stretches(text):
+            tokens, found = candidates(text, lo, hi)
+            free = [f for f in found if not taken(tokens[f[0]][0], tokens[f[1] - 1][1])]
             scored = [(a, b, k, sum(self.weight(f, 0.0) for f in fs)) for a, b, k, fs in free]
-            out += [(tokens[scored[k][0]][0] + lo, tokens[scored[k][1] - 1][1] + lo, scored[k][2]) for k in viterbi(len(tokens), scored)]
+            out += [(tokens[scored[k][0]][0], tokens[scored[k][1] - 1][1], scored[k][2]) for k in viterbi(len(tokens), scored)]
         return out
 
     def find(self, text: str | None) -> tuple[list[Span], list[Span]]:

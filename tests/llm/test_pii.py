@@ -95,7 +95,7 @@ def test_redaction():
 
 
 def test_long_texts_end_soon(finder):
-    for text in ("1" * 100_000, "a" * 100_000, "1." * 20_000, "+1 " * 30_000, "a@" * 50_000, "a.b" * 30_000 + "@"):
+    for text in ("1" * 100_000, "a" * 100_000, "1." * 20_000, "+1 " * 30_000, "a@" * 50_000, "a.b" * 30_000 + "@", "x" * 200_000 + " at y dot com", "dot " * 30_000, "12 " * 60_000, "DE89 " * 30_000, "[at]" * 30_000):
         began = time.time()
         finder.find(text)
         assert time.time() - began < 20
@@ -109,3 +109,47 @@ def test_edge_rows(edge, empty):
     left = pii.redact(named)
     assert left.columns == named.columns and sorted(map(str, left.collect())) == sorted(map(str, named.collect()))
     assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
+
+
+def plain_added(text, base, weight):
+    """The best segmentation over all candidates of the whole text."""
+    tokens, found = pii.candidates(text)
+    free = [f for f in found if not any(tokens[f[0]][0] < b and a < tokens[f[1] - 1][1] for a, b, _ in base)]
+    scored = [(a, b, k, sum(weight.get(f, 0.0) for f in fs)) for a, b, k, fs in free]
+    return [(tokens[scored[k][0]][0], tokens[scored[k][1] - 1][1], scored[k][2]) for k in pii.viterbi(len(tokens), scored)]
+
+
+def test_spans_against_the_whole_text(spark, small, texts, finder):
+    """The column ``spans``: base patterns and the best segmentation over whole documents, without any stretches."""
+    weight = pii.learned()
+    for r in pii.query(spark, small).collect():
+        text = texts[r.doc_id] or ""
+        base = plain(text)
+        assert r.spans == pii.written(sorted({*base, *plain_added(text, base, weight)}, key=lambda s: (s[0], s[2], s[1])))
+    rng = random.Random(17)
+    pieces = ["12", "345", "6789", "(415)", " ", " ", "-", ".", "  ", "call", "a", "at", "[at]", " dot ", "[DOT]", "com", "DE89", "3704 0044", "é", "_", "x" * 70, "+", "@"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 60)))
+        base = plain(text)
+        assert sorted(finder.added(text, base)) == sorted(plain_added(text, base, weight)), text
+
+
+def test_added_cards_pass_their_checksum(spark, finder):
+    """On the larger table: a card that the model adds passes Luhn, and so few spans are added that none is a habit."""
+    added = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        base, every = finder.find(r.text)
+        added += [(r.text[a:b], k) for a, b, k in set(every) - set(base)]
+    assert not [piece for piece, k in added if pii.KINDS[k] == "card" and not pii.luhn(pii.digits_of(piece))]
+
+
+@pytest.mark.parametrize(
+    ("text", "pieces"),
+    [
+        ("order 1234567812345678 came", []), ("version 555.123.4567 is out", []), ("part no 123-456-7890 is gone", []), ("at noon dot. at 5 dot com", []),
+        ("john [AT] example [DOT] com", ["john [AT] example [DOT] com"]), ("from john At example Dot com", ["john At example Dot com"]),
+        ("jo.m.smith99 [at] mail [dot] example [dot] com", ["jo.m.smith99 [at] mail [dot] example [dot] com"]), ("my number is 415 555 0134", ["415 555 0134"]),
+    ],
+)
+def test_shapes_of_other_things(finder, text, pieces):
+    assert [text[a:b] for a, b, _ in finder.find(text)[1]] == pieces
