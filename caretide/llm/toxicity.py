@@ -2,7 +2,7 @@
 
 Training, on a bounded sample of labelled rows (``Settings.rows_per_class``): document counts of words, and of word
 beginnings shared by several words, give log-odds of toxic against clean with an informative Dirichlet prior (the prior
-of a token is a tenth of its own count, spread as in the whole sample).  Tokens whose log-odds are significant keep them
+of a token is ``Settings.prior_share`` of its own count, spread as in the whole sample).  Tokens whose log-odds are significant keep them
 as scores; every other word scores a small negative drift.
 
 Scoring: one linear scan finds all maximal scoring segments of a text.  The chance that clean text of n words holds a
@@ -10,8 +10,11 @@ segment of score s or more is 1 - exp(-K n exp(-lambda s)); lambda solves the sc
 frequencies and K comes from the clean texts of the sample.  The negative logs of a text's segments, together
 and the largest alone, and its strongest token go through a logistic curve fitted on the sample: a score from 0 to 1.
 
-Defined cases: a null or empty text scores as a text without toxic segments.  Without labelled rows of both classes no
-token is significant and every text scores 0.  Labels, language, source and id are never read by the scorer.
+Defined cases: a null or empty text scores as a text without toxic segments; very long texts are read whole, in linear
+time.  Without labelled rows of both classes (an empty table among others) no token is significant and every text scores
+0.  Rows of one id and different texts all count as labelled, within the bound of the sample; equal texts of one class
+count once.  Segments that tie are all kept; equal texts score the same.  A column named as the result gives way to it,
+other columns of any name stay.  Labels, language, source and id are never read by the scorer.
 """
 
 from __future__ import annotations
@@ -39,9 +42,9 @@ class Settings:
     rows_per_class: int = 8_000  #: labelled rows that training reads at most, for each class; picked by a hash of the id
     prefixes: tuple[int, ...] = (4, 5, 6)
     min_words: int = 4  #: different words that a beginning must have in toxic texts
-    prior_share: float = 0.1
+    prior_share: float = 0.3
     min_z: float = 3.0
-    drift: float = 0.25
+    drift: float = 0.5
     threshold: float = 0.7
 
 
@@ -105,26 +108,28 @@ class Scorer:
 def maximal_segments(scores: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments in linear time; words that score 0 count ``-drift``.
 
-    Candidates stand on a stack, each with the running sums before and after it.  A new one is joined to the nearest
-    candidate that starts from a lower sum if that makes a better segment than either alone.
+    Candidates stand on a stack, each with the running sums before and after it and the place of its nearest candidate
+    that starts from a lower sum.  A new one is joined to its own nearest such candidate if that makes a better segment
+    than either alone.  The search follows the places kept, so what it has passed over once is never visited again.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum after
+    stack: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum after, place of the lower one
     total, last = 0.0, 0
     for at in [i for i, s in enumerate(scores) if s > 0]:
         total -= drift * (at - last)
         first, before = at, total
         total += scores[at]
         last = at + 1
+        back = len(stack) - 1
         while True:
-            back = len(stack) - 1
             while back >= 0 and stack[back][2] >= before:
-                back -= 1
+                back = stack[back][4]
             if back < 0 or stack[back][3] >= total:
-                stack.append((first, last, before, total))
+                stack.append((first, last, before, total, back))
                 break
-            first, _, before, _ = stack[back]
+            first, _, before, _, lower = stack[back]
             del stack[back:]
-    return [(a, b, after - before) for a, b, before, after in stack]
+            back = lower
+    return [(a, b, after - before) for a, b, before, after, _ in stack]
 
 
 def labelled_fold(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
@@ -132,18 +137,19 @@ def labelled_fold(docs: DataFrame, labels: DataFrame, settings: Settings) -> Dat
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1)).select("doc_id", (F.col("toxic") == 1).alias("toxic"))
     picked = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows_per_class) for c in (True, False)]
     sample = picked[0].unionByName(picked[1])  # 2 * rows_per_class rows at most: that bounds the broadcast
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id").select("text", "toxic")
 
 
 #: Odd multipliers, each of which orders shingles in another way.
 ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def _without_near_copies(sample: DataFrame) -> DataFrame:
-    """The sample less texts that share the least of their five-word shingles, in one of four orders, with another.
+def _without_near_copies(sample: DataFrame, rows_per_class: int) -> DataFrame:
+    """At most ``rows_per_class`` texts of each class, less texts that share the least of their five-word shingles, in one of four orders, with another.
 
     A word that only copies of one toxic text have in common would look toxic by itself.  Of such texts the one with
-    the smallest hash stays.  Only hashes are grouped, and no more of them than the sample has rows.
+    the smallest hash stays.  An id may have many texts, so the bound is set anew here: the texts of the smallest hashes
+    stay, and only hashes within it are grouped, broadcast or brought to the driver later.
     """
     names = [f"m{k}" for k in range(len(ORDERS))]
 
@@ -159,6 +165,8 @@ def _without_near_copies(sample: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), *[pa.array(marks[:, k]) for k in range(len(ORDERS))]], ["hash", "toxic", *names])
 
     hashed = storage.materialize(sample.withColumn("hash", F.xxhash64("text")).dropDuplicates(["hash", "toxic"]), "toxicity-texts", compression="zstd")
+    bounded = [hashed.where(F.col("toxic") == c).select("hash", "toxic").orderBy("hash").limit(rows_per_class) for c in (True, False)]
+    hashed = hashed.join(F.broadcast(bounded[0].unionByName(bounded[1])), ["hash", "toxic"], "left_semi").select(*hashed.columns)
     kept = hashed.mapInArrow(mark, "hash long, toxic boolean, " + ", ".join(f"{n} long" for n in names))
     for name in names:
         kept = kept.groupBy("toxic", name).agg(F.min_by(F.struct("hash", *names), "hash").alias("first")).select("toxic", "first.*")
@@ -169,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     spark = docs.sparkSession
     storage.prepare(spark)
     model = Model(drift=settings.drift, prefixes=settings.prefixes)
-    sample = storage.materialize(_without_near_copies(labelled_fold(docs, labels, settings)), "toxicity-sample", compression="zstd")
+    sample = storage.materialize(_without_near_copies(labelled_fold(docs, labels, settings), settings.rows_per_class), "toxicity-sample", compression="zstd")
 
     def count(batches):
         for batch in batches:
@@ -190,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     tokens = [*model.words.values(), *model.starts.values()]
     scores = [s for s, _ in tokens]
     _moments(model, np.array(scores), np.exp([-r for _, r in tokens]))
-    rows = _measured(sample, model).collect()  # no more rows than the sample has
+    rows = _measured(sample, model).collect()  # two classes of at most rows_per_class texts
     _extreme_values(model, [(max(r[0], default=0.0), r[1]) for r in rows if not r[3]], min(scores, default=1.0))
     _logistic(model, np.array([model.evidence(r[0], r[1], r[2]) for r in rows]), np.array([float(r[3]) for r in rows]))
     return model
