@@ -8,12 +8,21 @@ fingerprints that differ in at most one bit of the triple therefore meet at the
 compared.  Only distinct fingerprints are replicated, so copies cost nothing, and each block of an anchor's comparisons
 emits a forest of its links, never all pairs.  Links join into groups by iterated stars.
 
+An anchor that very many fingerprints visit is covered again on the 34 bits outside its triple, cut into six blocks: a
+pair within the threshold agrees on two of them, so such an anchor's visitors meet once for each pair of blocks with equal
+content, spread over all tasks.  Those anchors are found beforehand: few words reach an anchor, so one with many visitors
+is reached by a word that many fingerprints share, and counting words is cheap.
+
 Defined cases: null and empty texts, and texts of white space only, have fingerprint zero and link like any other; a text
-of fewer words than a shingle is one shingle; null ids never name a group unless all ids of it are null.
+of fewer words than a shingle is one shingle; very long texts are read whole, their hashes summed in blocks; null ids never
+name a group unless all ids of it are null; repeated rows are all kept, each with its group; an empty table gives no
+rows; the result has its own columns, so names of others cannot clash.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,8 +38,11 @@ BLOCK_BITS = 10
 TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5))
 THRESHOLD = 4
 CODE_LENGTH = 31
-#: Above so many visitors, an anchor's fingerprints are compared group by group outward instead of all at once.
+#: Above so many rows, those that meet are compared by further blocks of bits instead of all with all.
 DENSE = 1024
+#: An anchor that may have more visitors is split.  At most 466 words reach one: 30 bits, 0 to 2 of them changed.
+HOT, REACHING = 100_000, 466
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def fingerprint(text: str | None, shingle_words: int = 4) -> int:
@@ -95,21 +107,69 @@ def syndrome(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every visit of the fingerprints: index of the fingerprint, anchor (with its triple), whether it is the home."""
+def words_of(fps: np.ndarray) -> list[np.ndarray]:
+    """The 30 bits of every triple."""
     mask = (1 << BLOCK_BITS) - 1
     blocks = [(fps.view(np.uint64) >> np.uint64(BLOCK_BITS * b)).astype(np.int64) & mask for b in range(6)]
-    index, keys, home = [], [], []
-    for t, (a, b, c) in enumerate(TRIPLES):
-        word = blocks[a] | blocks[b] << BLOCK_BITS | blocks[c] << 2 * BLOCK_BITS
-        s = syndrome(word)
-        n = N_FLIPS[s]
-        at = np.repeat(np.arange(len(fps)), n)
-        nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        index.append(at)
-        keys.append(word[at] ^ FLIPS[s[at], nth] | t << 32)
-        home.append(nth == 0)
-    return np.concatenate(index), np.concatenate(keys), np.concatenate(home)
+    return [blocks[a] | blocks[b] << BLOCK_BITS | blocks[c] << 2 * BLOCK_BITS for a, b, c in TRIPLES]
+
+
+def reached(word: np.ndarray, triple: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors that words of a triple visit: index of the word, anchor (with its triple), whether it is the home."""
+    s = syndrome(word)
+    n = N_FLIPS[s]
+    at = np.repeat(np.arange(len(word)), n)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    return at, word[at] ^ FLIPS[s[at], nth] | np.broadcast_to(triple, word.shape)[at] << 32, nth == 0
+
+
+def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every visit of the fingerprints: index of the fingerprint, anchor (with its triple), whether it is the home."""
+    return tuple(np.concatenate(x) for x in zip(*(reached(word, t) for t, word in enumerate(words_of(fps)))))
+
+
+def _outside() -> np.ndarray:
+    """By triple: masks of two of six blocks of the 34 bits outside it, for every choice of two."""
+    out = []
+    for triple in TRIPLES:
+        inside = {b for t in triple for b in range(BLOCK_BITS * t, BLOCK_BITS * (t + 1))}
+        cut = np.array_split([b for b in range(64) if b not in inside], THRESHOLD + 2)
+        out.append([sum(1 << int(b) for c in chosen for b in cut[c]) for chosen in combinations(range(THRESHOLD + 2), 2)])
+    return np.array(out, np.uint64)
+
+
+OUTSIDE = _outside()
+
+
+def split_keys(anchor: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Keys in place of a hot anchor, one row for each choice of two blocks; a clash only costs comparisons."""
+    masks = OUTSIDE[anchor >> 32]
+    base = anchor.view(np.uint64) * np.uint64(_FACTORS[0])
+    content = (fps.view(np.uint64)[:, None] & masks) * np.uint64(_FACTORS[1])
+    which = np.arange(1, masks.shape[1] + 1, dtype=np.uint64) * np.uint64(_FACTORS[2])
+    mixed = (content ^ (content >> np.uint64(29))) * np.uint64(_FACTORS[2]) + which + base[:, None]
+    return mixed.view(np.int64)
+
+
+def hot_anchors(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """Every anchor with more than ``hot`` visitors, and some with over half as many.
+
+    Words that few fingerprints share bring an anchor at most half of ``hot``; the others are summed.
+    """
+
+    def words(batches):
+        for batch in batches:
+            fps = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([w | t << 32 for t, w in enumerate(words_of(fps))]))], ["word"])
+
+    def visited(batches):
+        for batch in batches:
+            word, n = (np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
+            at, anchor, _ = reached(word & (1 << 32) - 1, word >> 32)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n[at])], ["anchor", "n"])
+
+    shared = distinct.mapInArrow(words, "word long").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") * 2 * REACHING > hot)
+    return shared.mapInArrow(visited, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") * 2 > hot).select("anchor")
 
 
 def _visits(distinct: DataFrame) -> DataFrame:
@@ -125,31 +185,95 @@ def _visits(distinct: DataFrame) -> DataFrame:
     return distinct.mapInArrow(run, schema)
 
 
+def meetings(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(key, fp, home)``: rows of equal key are to be compared; the key is the anchor, or stands in for a hot one."""
+    visits = _visits(distinct)
+    hottest = storage.materialize(hot_anchors(distinct, hot), "hot-anchors")
+    if hottest.isEmpty():
+        return visits.withColumnRenamed("anchor", "key")
+    marked = visits.join(hottest.select(F.col("anchor").alias("hot")), F.col("anchor") == F.col("hot"), "left").select("anchor", "fp", "home", F.col("hot").isNotNull().alias("split"))
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 8192):
+                anchor, fps, home, split = (np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.slice(lo, 8192).columns)
+                keys = split_keys(anchor[split], fps[split])
+                again = keys.shape[1]
+                found = (np.concatenate((anchor[~split], keys.ravel())), np.concatenate((fps[~split], np.repeat(fps[split], again))), np.concatenate((home[~split], np.repeat(home[split], again))))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "fp", "home"])
+
+    return marked.mapInArrow(run, "key long, fp long, home boolean")
+
+
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= THRESHOLD  # of a signed number it would count the absolute value
 
 
+def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the groups of linked rows; ``root`` is each row's smallest linked one."""
+    while True:
+        x, y = root[a], root[b]
+        differ = x != y
+        if not differ.any():
+            return
+        a, b = a[differ], b[differ]
+        np.minimum.at(root, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
+        while True:
+            further = root[root]
+            if (further == root).all():
+                break
+            root[:] = further
+
+
 def _dense_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of all links among the fingerprints of one anchor: each round compares only with those not yet reached."""
-    left, right = [], []
-    open_ = np.arange(len(fps))
-    while len(open_) > 1:
-        frontier, open_ = open_[:1], open_[1:]
-        while len(frontier) and len(open_):
-            reached = np.full(len(open_), -1)
-            for lo in range(0, len(frontier), 256):
-                rest = np.flatnonzero(reached < 0)
-                if not len(rest):
-                    break
-                near = close(fps[frontier[lo : lo + 256], None], fps[open_[rest]])
-                hit = near.any(axis=0)
-                reached[rest[hit]] = frontier[lo : lo + 256][near[:, hit].argmax(axis=0)]
-            new = reached >= 0
-            left.append(reached[new])
-            right.append(open_[new])
-            frontier, open_ = open_[new], open_[~new]
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    """A forest of all links among many different fingerprints that meet.
+
+    Rows that differ in one bit are joined by lookups.  Of the others, pairs within the threshold agree on some of the
+    blocks that the varying bits are cut into; only rows outside the largest group so far are compared, each with
+    those of equal content.
+    """
+    order = np.argsort(fps.view(np.uint64), kind="stable")
+    rows = fps.view(np.uint64)[order]
+    n, root = len(rows), np.arange(len(rows))
+    same = np.flatnonzero(rows[1:] == rows[:-1])
+    _merge(root, same, same + 1)
+    varying = int(np.bitwise_or.reduce(rows ^ rows[0]))
+    bits = [b for b in range(64) if varying >> b & 1]
+    for b in bits:
+        low = np.flatnonzero(~rows & np.uint64(1 << b))
+        other = rows[low] | np.uint64(1 << b)
+        at = np.minimum(np.searchsorted(rows, other), n - 1)
+        hit = rows[at] == other
+        _merge(root, low[hit], at[hit])
+    blocks = THRESHOLD + 2 if n < 200_000 else THRESHOLD + 3
+    masks = [sum(1 << int(b) for b in block) for block in np.array_split(np.array(bits, np.int64), blocks)]
+    for chosen in combinations(masks, blocks - THRESHOLD):
+        largest = np.bincount(root, minlength=n).argmax()
+        if (root == largest).all():
+            break
+        content = rows & np.uint64(sum(chosen))
+        by = np.argsort(content, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], content[by][1:] != content[by][:-1], [True])))
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        open_ = np.flatnonzero(root[by] != largest)
+        open_ = open_[np.diff(cuts)[group[open_]] > 1]
+        for a, b in _pairs(open_, cuts[group[open_]], np.diff(cuts)[group[open_]]):
+            a, b = by[a], by[b]
+            near = close(rows[a].view(np.int64), rows[b].view(np.int64))
+            _merge(root, a[near], b[near])
+    linked = np.flatnonzero(root != np.arange(n))
+    return order[linked], order[root[linked]]
+
+
+def _pairs(of: np.ndarray, first: np.ndarray, width: np.ndarray):
+    """Every row of ``of`` with each of the ``width`` rows from ``first`` on, some million pairs at a time."""
+    total, lo = np.cumsum(width), 0
+    while lo < len(of):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 2_000_000)))
+        w = width[lo:hi]
+        a = np.repeat(of[lo:hi], w)
+        yield a, np.repeat(first[lo:hi], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+        lo = hi
 
 
 def _meet(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,18 +288,10 @@ def _meet(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.nda
     # every home row against all rows of its anchor, some million comparisons at a time
     group = np.repeat(np.arange(len(sizes)), sizes)
     homes = np.flatnonzero(home & (sizes[group] > 1) & (sizes[group] <= DENSE))
-    width = sizes[group[homes]]
-    total = np.cumsum(width)
-    lo = 0
-    while lo < len(homes):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 2_000_000)))
-        h, w = homes[lo:hi], width[lo:hi]
-        a = np.repeat(h, w)
-        b = np.repeat(cuts[group[h]], w) + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+    for a, b in _pairs(homes, cuts[group[homes]], sizes[group[homes]]):
         keep = (a != b) & close(fps[a], fps[b])
         left.append(a[keep])
         right.append(b[keep])
-        lo = hi
     if not left:
         return fps[:0], fps[:0]
     a, b = np.concatenate(left), np.concatenate(right)
@@ -185,21 +301,24 @@ def _meet(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray) -> tuple[np.nda
     return rows[linked], rows[root[linked]]
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """``(a, b)``: links that join exactly the distinct fingerprints ``fp`` within the threshold of one another."""
-    met = _visits(distinct).repartition(storage.shuffle_partitions(distinct.sparkSession), "anchor").sortWithinPartitions("anchor")
+    met = meetings(distinct, hot).repartition(storage.shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches):
-        held = None
+        held: list[list[np.ndarray]] = []  # rows of one key, which may go on
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            held = [c[whole:] for c in now]  # the last anchor may go on
-            if whole:
-                yield _links(*(c[:whole] for c in now))
-        if held is not None and len(held[0]):
-            yield _links(*held)
+            if not len(now[0]):
+                continue
+            if held and now[0][-1] == held[0][0][0]:
+                held.append(now)
+                continue
+            whole = int(np.searchsorted(now[0], now[0][-1]))
+            yield _links(*(np.concatenate(x) for x in zip(*held, [c[:whole] for c in now])))
+            held = [[c[whole:] for c in now]]
+        if held:
+            yield _links(*(np.concatenate(x) for x in zip(*held)))
 
     return met.mapInArrow(run, "a long, b long")
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -101,3 +102,54 @@ def test_edge_rows(edge, empty):
     kept = simhash.representatives(named)
     assert kept.columns == named.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "7", "None"]
     assert simhash.groups(empty).count() == 0 and simhash.representatives(empty).count() == 0
+
+
+def full_groups(fps):
+    return simhash.local_stars(len(fps), *np.nonzero(simhash.close(fps[:, None], fps)))
+
+
+def test_dense_links_of_every_shape():
+    rng = random.Random(12)
+    fixed = rng.getrandbits(30)
+    shapes = [
+        lambda: fixed | rng.getrandbits(34) << 30, lambda: fixed | rng.getrandbits(11) << 40, lambda: rng.getrandbits(64), lambda: (rng.getrandbits(6) * 0x0102040810204081) & (1 << 64) - 1 ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 2))),
+    ]
+    for shape in shapes:
+        fps = np.array(sorted({shape() for _ in range(2500)}), np.uint64).view(np.int64)
+        a, b = simhash._dense_links(fps)
+        full = full_groups(fps)
+        assert (simhash.local_stars(len(fps), a, b) == full).all() and len(a) == len(fps) - len(set(full.tolist()))
+
+
+def test_many_fingerprints_that_share_a_triple_are_not_compared_all_with_all():
+    rng = np.random.default_rng(4)
+    took = []
+    for n in (25_000, 200_000):
+        fps = (rng.integers(0, 1 << 34, n, dtype=np.uint64) << np.uint64(30)) | np.uint64(12345)
+        began = time.process_time()
+        simhash._dense_links(np.unique(fps).view(np.int64))
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 0.5 and took[1] < 30  # all with all would be 64 times the work
+
+
+def test_hot_anchors_are_split(spark):
+    """Fingerprints that share a triple's bits: their anchors are found, their meetings spread, and no link is lost."""
+    rng = random.Random(6)
+    word = rng.getrandbits(30)
+    fps = {word | rng.getrandbits(34) << 30 for _ in range(1500)} | {rng.getrandbits(64) for _ in range(500)}
+    fps |= {f ^ sum(1 << k for k in rng.sample(range(64), rng.randint(1, 4))) for f in rng.sample(sorted(fps), 600)}
+    signed = np.array(sorted(fps), np.uint64).view(np.int64)
+    distinct = spark.createDataFrame([(f,) for f in signed.tolist()], "fp long")
+    index, keys, _ = simhash.anchors(signed)
+    visitors = np.unique(keys, return_counts=True)
+    hot = {r.anchor for r in simhash.hot_anchors(distinct, hot=1000).collect()}
+    assert {k for k, n in zip(*(v.tolist() for v in visitors)) if n > 1000} <= hot and visitors[1].max() > 1000
+    largest = simhash.meetings(distinct, hot=1000).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest < visitors[1].max() / 10
+    assert hot <= {k for k, n in zip(*(v.tolist() for v in visitors)) if n > 500}
+    assert simhash.meetings(distinct).groupBy("key").count().agg(F.max("count")).first()[0] == visitors[1].max()
+    got = {r.node: r.root for r in components(simhash.links(distinct, hot=1000)).collect()}
+    full = {}
+    for f, r in zip(signed.tolist(), full_groups(signed).tolist()):
+        full.setdefault(r, []).append(f)
+    assert got == {f: min(own) for own in full.values() for f in own if f != min(own)}
