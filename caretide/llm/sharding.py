@@ -1,11 +1,14 @@
 """Shards by fixed virtual slots: records hash to slots, slots map to shards, and the map is edited to rebalance.
 
 The law is ``bytes``: shards hold nearly equal numbers of bytes.  A record's slot depends on the record alone and never
-changes.  One aggregation gives the bytes and rows of each slot; the largest slots are dealt first, each to the lightest
+changes; of rows equal in id and text every further ``COPIES`` rows or ``COPY_BYTES`` bytes have a slot of their own, so a
+row that repeats very often is spread over the slots.  One aggregation gives the bytes and rows of each slot; the largest slots are dealt first, each to the lightest
 shard.  The map is stored with a version number; a later version moves as few bytes as the new balance needs.
 
-Defined cases: a null text has one byte (its end) like an empty one; rows that are equal in id and text share a slot; an
-empty table has an empty result and a map of empty slots.
+Defined cases: a null text has one byte (its end) like an empty one; rows that are equal in id and text share a slot up to
+the numbers above, and are placed one after another; rows of null id are hashed by their text; slots of equal bytes are
+dealt in the order of their numbers; a single text larger than a shard's share leaves its shard that much larger; an empty
+table has an empty result and a map of empty slots; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql.window import Window
 from caretide.llm import storage
 
 SLOTS = 4096  #: bounds the aggregate, the map and the broadcast of it
+PARTS = 16  #: parts of a slot in which rows are numbered
+COPIES, COPY_BYTES = 1024, 1 << 16  #: equal rows that stay together
 LAW = "bytes"
 
 
@@ -93,6 +98,21 @@ def records(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> DataFram
     return sized.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
+def spread(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The same rows, with equal ones beyond the numbers above in further slots.
+
+    Equal rows are counted, which sums before the shuffle, and written out again from pieces of bounded size.
+    """
+    most = F.greatest(F.lit(1), F.least(F.lit(COPIES), F.floor(F.lit(COPY_BYTES) / F.col("size")))).cast("long")
+    counted = rows.groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count("*").alias("__n")).withColumn("__most", most)
+    pieces = counted.withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / F.col("__most")).cast("long"))))
+    slot = F.when(F.col("__piece") == 0, F.col("virtual_slot")).otherwise(F.pmod(F.xxhash64("doc_id", "text_crc32", "__piece"), F.lit(slots)).cast("int"))
+    held = F.least(F.col("__most"), F.col("__n") - F.col("__piece") * F.col("__most"))
+    # pieces go to other tasks before they are written out, or one task would write a third of all rows
+    dealt = pieces.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"), held.alias("__held")).repartition(storage.shuffle_partitions(rows.sparkSession), "virtual_slot")
+    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__held")))).drop("__held", "__copy")
+
+
 def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows of every slot; the driver gets one row for each slot that has any."""
     found = {r[0]: (r[1], r[2]) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()}
@@ -100,19 +120,27 @@ def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]
 
 
 def place(rows: DataFrame, slot_map: SlotMap, slot_rows: list[int]) -> DataFrame:
-    """Adds ``shard`` and ``slot``, the row's place in its shard: rows of lower virtual slots, then of lower ids, first."""
+    """Adds ``shard`` and ``slot``, the row's place in its shard: rows of lower virtual slots first.
+
+    Rows are numbered in ``PARTS`` parts of each slot; the counts of earlier parts, of which there are few, are added.
+    """
     spark, filled, base = rows.sparkSession, [0] * slot_map.shards, []
     for slot, shard in enumerate(slot_map.shard_of):
         base.append((slot, shard, filled[shard]))
         filled[shard] += slot_rows[slot]
     bases = F.broadcast(spark.createDataFrame(base, "virtual_slot int, shard int, __base long"))
-    nth = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    return rows.withColumn("__nth", nth).join(bases, "virtual_slot").withColumn("slot", F.col("__base") + F.col("__nth") - 1).drop("__base", "__nth")
+    parted = rows.withColumn("__part", F.pmod(F.hash("doc_id", "text_crc32", "size"), F.lit(PARTS)))
+    counts = parted.groupBy("virtual_slot", "__part").agg(F.count("*").alias("__rows"))
+    earlier = F.coalesce(F.sum("__rows").over(Window.partitionBy("virtual_slot").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.broadcast(counts.select("virtual_slot", "__part", earlier.alias("__before")))  # at most PARTS rows a slot
+    nth = F.row_number().over(Window.partitionBy("virtual_slot", "__part").orderBy("doc_id", "text_crc32", "size"))
+    placed = parted.withColumn("__nth", nth).join(before, ["virtual_slot", "__part"]).join(bases, "virtual_slot")
+    return placed.withColumn("slot", F.col("__base") + F.col("__before") + F.col("__nth") - 1).drop("__base", "__before", "__nth", "__part")
 
 
 def query(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
     """All ``documents`` in shards of nearly equal bytes, through a stored map."""
-    rows = storage.materialize(records(storage.table(spark, sf_dir, "documents")), "slots", compression="zstd")
+    rows = storage.materialize(spread(records(storage.table(spark, sf_dir, "documents"))), "slots", compression="zstd")
     slot_bytes, slot_rows = slot_sums(rows)
     path = storage.new_path(spark, "slot-map")
     SlotMap.balanced(slot_bytes, shards).save(spark, path)

@@ -64,3 +64,22 @@ def test_edge_rows(edge, empty):
     assert sum(map(len, slots.values())) == 9 and all(sorted(s) == list(range(len(s))) for s in slots.values())
     none = sharding.records(empty)
     assert sharding.slot_sums(none)[0] == [0] * sharding.SLOTS and sharding.place(none, SlotMap.balanced([0] * sharding.SLOTS, 3), [0] * sharding.SLOTS).count() == 0
+
+
+def test_a_row_that_repeats_is_spread(spark):
+    """A third of all rows are one row: the shards' bytes stay near equal, and every row has its place."""
+    hot = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text again").alias("text"))
+    large = spark.range(3_000).select(F.lit(9).cast("long").alias("doc_id"), F.lit("x" * 3_000).alias("text"))
+    docs = spark.range(120_000).select("id", F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text")).toDF("doc_id", "text").unionByName(hot).unionByName(large)
+    home = sharding.records(docs)
+    rows = sharding.spread(home)
+    keys = ["doc_id", "size", "text_crc32"]
+    assert not rows.groupBy(keys).count().exceptAll(home.groupBy(keys).count()).count() and rows.count() == 183_000
+    moved = rows.exceptAll(home)
+    assert {r.doc_id for r in moved.select("doc_id").distinct().collect()} == {7, 9}
+    sizes, counts = sharding.slot_sums(rows)
+    assert max(sizes) < sum(sizes) / 8 / 4 and max(sharding.slot_sums(home)[0]) > sum(sizes) / 8 * 2
+    placed = sharding.place(rows, SlotMap.balanced(sizes, 8), counts)
+    by = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()
+    assert len(by) == 8 and all((r.low, r.high, r.slots) == (0, r.n - 1, r.n) for r in by)
+    assert max(r.bytes for r in by) - min(r.bytes for r in by) <= sharding.COPY_BYTES
