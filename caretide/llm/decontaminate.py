@@ -6,13 +6,18 @@ shingles stand in the benchmark, so windows with too few of those are passed ove
 fingerprint; a multi-index of Hamming blocks gives every item within the radius of it (blocks share out the radius, so one
 block of a near pair is near enough to be looked up); the weighted Jaccard similarity of the shingles, each weighing its
 number of occurrences, decides.  A document with fewer shingles than an item is itself the one window for it; items that
-long and near enough are found exactly by the shingles that they share.
-
-The benchmark is taken in blocks of bounded bytes, each against all documents; only such a block is ever sent to tasks.
-
-Defined cases: null and empty texts and items match nothing; fewer than five words are one shingle, so such an item
-matches a document of just the same words and no passage of a longer one; items of equal text all match; a document row matches on its own, whatever
-other rows have its id.
+long and near enough are found exactly by the shingles that they share.  An item of fewer than five words is one shingle
+of its own words, looked for in word windows of its own length.
+
+Equal items are looked for once.  The benchmark is taken in blocks of bounded bytes; only such a block is ever sent to
+tasks.  Where there are several, one pass over the documents first keeps those that can match any item at all, by a filter
+of fixed size over the shingles of the whole benchmark, and the blocks are compared with these alone.
+
+Defined cases: null and empty texts and items match nothing; a document of fewer than five words matches short items that
+stand in it; items of equal text all match, items of null id too; of an item's windows with equal similarity one stays, always
+the same; a document row matches on its own, whatever other rows have its id, so repeated rows
+give repeated results; very long texts are read whole, windows ``SLAB`` shingles at a time; empty tables
+give no leaks and leave all documents; ``clean`` keeps all columns of any name, ``leaks`` has its own.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +43,10 @@ from caretide.llm.simhash import majority
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20  #: shingle sets of similarity 0.8 differ in about 10 of 64 bits, with a deviation of 3
-BLOCK_BYTES = 4 << 20  #: benchmark text that is handled at once
+BLOCK_BYTES = 16 << 20  #: benchmark text that is handled at once; one longer item is a block of its own and others
+FILTER_BITS = 30  #: 2 to this power bits (128 MiB) tell which shingles may stand in a benchmark of several blocks
+WORDS_CACHED = 500_000
+SLAB = 1 << 15  #: shingles whose bits are unpacked at once
 WORDS = re.compile(r"\w+").findall
 
 
@@ -99,36 +108,46 @@ class Benchmark:
     #: Odd multipliers of a shingle's word numbers; a clash only costs an exact check.
     FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.shingles = [], []
-        self.whole: dict[tuple[str, ...], list[int]] = {}  # items of fewer words than a shingle
+    def __init__(self, items: list[tuple[object, str]]):
+        self.ids: list[object] = []
+        self.words: list[np.ndarray] = []  # numbers of the words of each item
+        self.short: dict[str, dict[tuple[str, ...], list[object]]] = {}  # by first word, items of fewer words than a shingle
+        self.number: dict[str, int] = {}
+        fingerprints, keys, holders = [], [], []
         for item, text in items:
             words = WORDS((text or "").lower())
             if not words:
                 continue
             if len(words) < SHINGLE:
-                self.whole.setdefault(tuple(words), []).append(item)
+                self.short.setdefault(words[0], {}).setdefault(tuple(words), []).append(item)
                 continue
+            numbers = np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int32)
+            own = np.unique(self._key(np.lib.stride_tricks.sliding_window_view(numbers, SHINGLE)))
+            keys.append(own)
+            holders.append(np.full(len(own), len(self.ids), np.int32))
+            fingerprints.append(majority(np.array([shingle_hash(s) for s in shingles_of(words)], np.uint64)))
             self.ids.append(item)
-            self.shingles.append(shingles_of(words))
-        self.number: dict[str, int] = {}
-        for words in {w for s in self.shingles for shingle in s for w in shingle}:
-            self.number[words] = len(self.number)
-        held = [(s, i) for i, own in enumerate(self.shingles) for s in dict.fromkeys(own)]
-        keys = self._key(np.array([[self.number[w] for w in s] for s, _ in held], np.int64)) if held else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.holders = keys[order], np.array([i for _, i in held], np.int64)[order]
-        self.size_of = np.array([len(s) for s in self.shingles], np.int64)
+            self.words.append(numbers)
+        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(self.keys, kind="stable")
+        self.keys, self.holders = self.keys[order], np.concatenate(holders)[order] if holders else np.zeros(0, np.int32)
+        self.size_of = np.array([len(w) - SHINGLE + 1 for w in self.words], np.int64)
         self.sizes = np.unique(self.size_of).tolist()
-        self.index = HammingIndex(np.array([majority(np.array([shingle_hash(s) for s in own], np.uint64)) for own in self.shingles], np.uint64))
+        prints = np.array(fingerprints, np.uint64)
+        #: For each size the items of it and the index of their fingerprints.
+        self.index = {n: (own, HammingIndex(prints[own])) for n in self.sizes for own in (np.flatnonzero(self.size_of == n),)}
+
+    def _similarity(self, numbers: list[int], item: int) -> float:
+        """Of the words with these numbers and the item; words of no item are -1 and never in one."""
+        sides = (numbers, self.words[item].tolist())
+        return similarity(*([*zip(*(side[k:] for k in range(SHINGLE)))] for side in sides))
 
     def _key(self, numbers: np.ndarray) -> np.ndarray:
         return ((numbers.astype(np.uint64) + np.uint64(1)) * self.FACTORS).sum(axis=1, dtype=np.uint64)
 
-    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each five-word shingle stands in the benchmark, and the keys of those that do."""
-        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        n = len(words) - SHINGLE + 1
+        n = len(numbers) - SHINGLE + 1
         full = numbers[:n] >= 0
         for k in range(1, SHINGLE):
             full &= numbers[k : n + k] >= 0
@@ -141,9 +160,19 @@ class Benchmark:
             keys = keys[out[at]]
         return out, keys
 
-    def longer(self, words: list[str], keys: np.ndarray) -> list[tuple[int, float]]:
+    def _short(self, words: list[str]) -> dict[object, tuple[int, int]]:
+        """Items of fewer than five words that stand in the text: first word and number of words."""
+        found: dict[object, tuple[int, int]] = {}
+        for at in [k for k, w in enumerate(words) if w in self.short]:
+            for item, ids in self.short[words[at]].items():
+                if tuple(words[at : at + len(item)]) == item:
+                    for i in ids:
+                        found.setdefault(i, (at, len(item)))
+        return found
+
+    def longer(self, numbers: np.ndarray, keys: np.ndarray) -> list[tuple[int, float]]:
         """Items with more shingles than the whole document, and their similarity to it; ``keys`` are of its hits."""
-        n = len(words) - SHINGLE + 1
+        n = len(numbers) - SHINGLE + 1
         at = bisect_right(self.sizes, n)
         if at == len(self.sizes) or n < SIMILARITY * self.sizes[at] - 1e-9:
             return []
@@ -156,47 +185,42 @@ class Benchmark:
         rare = np.argsort(hi - lo, kind="stable")[: len(keys) - least + 1]
         items = np.unique(np.concatenate([self.holders[lo[k] : hi[k]] for k in rare.tolist()]))
         items = items[(self.size_of[items] > n) & (self.size_of[items] * SIMILARITY <= n + 1e-9)]
-        own = shingles_of(words)
-        found = [(i, similarity(own, self.shingles[i])) for i in items.tolist()]
+        own = numbers.tolist()
+        found = [(i, self._similarity(own, i)) for i in items.tolist()]
         return [(i, s) for i, s in found if s >= SIMILARITY - 1e-12]
 
     def matches(self, text: str | None, first_only: bool = False) -> list[tuple[int, int, int, float]]:
         """``(item, first word, words, similarity)``: the best window of each item that the text holds."""
         words = WORDS((text or "").lower())
-        if len(words) < SHINGLE:
-            return [(item, 0, len(words), 1.0) for item in self.whole.get(tuple(words), [])]
-        if not self.ids:
-            return []
-        hit, keys = self.hits(words)
+        short = [(item, at, n, 1.0) for item, (at, n) in self._short(words).items()] if self.short else []
+        if len(words) < SHINGLE or not self.ids or first_only and short:
+            return short
+        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        hit, keys = self.hits(numbers)
         if not len(keys):
-            return []
-        best: dict[int, tuple[float, int, int]] = {i: (found, 0, len(hit)) for i, found in self.longer(words, keys)}
-        counts = np.concatenate(([0], np.cumsum(hit)))
-        windows = []
-        for size in self.sizes:
-            # shared / (2 size - shared) >= SIMILARITY
-            least = math.ceil(2 * size * SIMILARITY / (1 + SIMILARITY) - 1e-9)
-            if least <= counts[-1] and size <= len(hit):
-                at = np.flatnonzero(counts[size:] - counts[:-size] >= least)
-                if len(at):
-                    windows.append((size, at))
-        if first_only and best or not windows:
-            return [(self.ids[i], 0, len(words), found) for i, (found, _, _) in sorted(best.items())]
-        fingerprints = self._fingerprints(words, windows)
-        at, size = np.concatenate([a for _, a in windows]), np.repeat([s for s, _ in windows], [len(a) for _, a in windows])
-        window, item = self.index.within(fingerprints)
-        same = size[window] == self.size_of[item]
-        for w, i in zip(window[same].tolist(), item[same].tolist()):
-            first, n = int(at[w]), int(size[w])
-            found = similarity(shingles_of(words[first : first + n + SHINGLE - 1]), self.shingles[i])
-            if found >= SIMILARITY - 1e-12 and found > best.get(i, (0.0, 0, 0))[0]:
-                if first_only:
-                    return [(self.ids[i], first, n + SHINGLE - 1, found)]
-                best[i] = (found, first, n)
-        return [(self.ids[i], first, n + SHINGLE - 1, found) for i, (found, first, n) in sorted(best.items())]
-
-    def _fingerprints(self, words: list[str], windows: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        """SimHash of every window, from running sums of the bits of the shingles that stand in any."""
+            return short
+        best: dict[int, tuple[float, int, int]] = {i: (found, 0, len(hit)) for i, found in self.longer(numbers, keys)}
+        windows = enough(hit, self.sizes)
+        if windows and not (first_only and best):
+            listed = numbers.tolist()
+            for n, at, fingerprints in self._fingerprints(words, windows):
+                own, index = self.index[n]
+                window, item = index.within(fingerprints)
+                # nearest fingerprints first: an item that is found as it stands needs no other window
+                order = np.argsort(np.bitwise_count(fingerprints[window] ^ index.fingerprints[item]), kind="stable")
+                for first, i in zip(at[window[order]].tolist(), own[item[order]].tolist()):
+                    before = best.get(i, (0.0, 0, 0))[0]
+                    if before == 1.0:
+                        continue
+                    found = self._similarity(listed[first : first + n + SHINGLE - 1], i)
+                    if found >= SIMILARITY - 1e-12 and found > before:
+                        best[i] = (found, first, n)
+                if first_only and best:
+                    break
+        return short + [(self.ids[i], first, min(n + SHINGLE - 1, len(words)), found) for i, (found, first, n) in sorted(best.items())]
+
+    def _fingerprints(self, words: list[str], windows: list[tuple[int, np.ndarray]]):
+        """SimHash of every window, from running sums of the bits of its shingles: size, first words, fingerprints."""
         low = min(int(a[0]) for _, a in windows)
         high = max(int(a[-1]) + n for n, a in windows)
         edges = np.zeros(high - low + 1, np.int32)
@@ -206,11 +230,91 @@ class Benchmark:
         covered = np.cumsum(edges[:-1]) > 0
         needed, rank = np.flatnonzero(covered), np.cumsum(covered) - covered  # only covered shingles take room
         hashes = np.array([shingle_hash(tuple(words[k + low : k + low + SHINGLE])) for k in needed.tolist()], "<u8")
-        bits = np.zeros((len(needed) + 1, 64), np.int32)
-        bits[1:] = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.cumsum(bits, axis=0, dtype=np.int32)
-        packed = [np.packbits((sums[rank[a - low] + n] - sums[rank[a - low]]) * 2 > n, axis=1, bitorder="little") for n, a in windows]
-        return np.ascontiguousarray(np.concatenate(packed)).view("<u8").ravel()
+        for n, a in windows:
+            places, lo = rank[a - low], 0
+            while lo < len(a):
+                hi = max(lo + 1, int(np.searchsorted(places, places[lo] + SLAB)))
+                at = places[lo:hi] - places[lo]
+                bits = np.unpackbits(hashes[places[lo] : places[hi - 1] + n].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                sums = np.zeros((len(bits) + 1, 64), np.int32)
+                np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
+                packed = np.packbits((sums[at + n] - sums[at]) * 2 > n, axis=1, bitorder="little")
+                yield n, a[lo:hi], np.ascontiguousarray(packed).view("<u8").ravel()
+                lo = hi
+
+
+def enough(hit: np.ndarray, sizes: list[int]) -> list[tuple[int, np.ndarray]]:
+    """Window sizes, and where windows of that size begin that hold enough shingles of the benchmark."""
+    counts, windows = np.concatenate(([0], np.cumsum(hit))), []
+    for size in sizes:
+        # shared / (2 size - shared) >= SIMILARITY
+        least = math.ceil(2 * size * SIMILARITY / (1 + SIMILARITY) - 1e-9)
+        if least <= counts[-1] and size <= len(hit):
+            at = np.flatnonzero(counts[size:] - counts[:-size] >= least)
+            if len(at):
+                windows.append((size, at))
+    return windows
+
+
+class ShingleFilter:
+    """Which documents can match any item of a benchmark of any size: a set of hashed shingles in a fixed number of bits.
+
+    A clash lets a document pass that the exact comparison turns down; none is lost.
+    """
+
+    def __init__(self, bits: np.ndarray, sizes: list[int], short: list[str]):
+        self.bits, self.sizes, self.short = bits, sizes, frozenset(short)
+        self.width = np.uint64(len(bits) * 8 - 1)
+        self.known: dict[str, int] = {}
+
+    @staticmethod
+    def keys(words: list[str], known: dict[str, int]) -> np.ndarray:
+        """A hash of every five-word shingle."""
+        if len(known) > WORDS_CACHED:
+            known.clear()
+        known.update((w, xxhash.xxh64_intdigest(w.encode(), 42)) for w in set(words).difference(known))
+        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return (np.lib.stride_tricks.sliding_window_view(hashes, SHINGLE) * Benchmark.FACTORS).sum(axis=1, dtype=np.uint64)
+
+    def may_match(self, text: str | None) -> bool:
+        words = WORDS((text or "").lower())
+        if not self.short.isdisjoint(words):
+            return True
+        if len(words) < SHINGLE:
+            return False
+        at = (self.keys(words, self.known) >> np.uint64(20)) & self.width
+        hit = self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+        if not hit.any():
+            return False
+        # a document shorter than an item has to share almost all of its shingles
+        longer = bisect_right(self.sizes, len(hit)) < len(self.sizes) and hit.sum() >= 2 * len(hit) * SIMILARITY / (1 + SIMILARITY) - 1e-9
+        return bool(longer or enough(hit, self.sizes))
+
+
+def shingle_filter(items: DataFrame, bits: int = FILTER_BITS) -> ShingleFilter:
+    """Of ``items(text)``; the driver gets words of the bit set that are not zero, never more than the set has."""
+
+    def places(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = WORDS((text or "").lower())
+                if not words:
+                    continue
+                if len(words) < SHINGLE:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([words[0]])], ["place", "bit", "size", "word"])
+                    continue
+                at = np.unique((ShingleFilter.keys(words, known) >> np.uint64(20)) & np.uint64((1 << bits) - 1))
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64)), pa.array(np.full(n, len(words) - SHINGLE + 1)), pa.array([None] * n, pa.string())], ["place", "bit", "size", "word"])
+
+    found = storage.materialize(items.select("text").mapInArrow(places, "place long, bit long, size long, word string"), "shingles", compression="zstd")
+    out = np.zeros((1 << bits) >> 6, np.uint64)
+    for batch in found.where("place is not null").groupBy("place").agg(F.bit_or("bit").alias("bit")).toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    sizes = sorted(r[0] for r in found.where("size > 0").select("size").distinct().collect())
+    short = [r[0] for r in found.where("word is not null").select("word").distinct().collect()]
+    return ShingleFilter(out.view(np.uint8), sizes, short)
 
 
 def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
@@ -223,46 +327,82 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list
 
 
 @lru_cache(maxsize=1)
-def _prepared(items: tuple[tuple[int, str], ...]) -> Benchmark:
+def _prepared(items: tuple[tuple[object, str], ...]) -> Benchmark:
     return Benchmark(list(items))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _distinct(benchmark: DataFrame) -> DataFrame:
+    """``(item_id, text)`` with every text once, named by its digest; copies of an item take no room in a block."""
+    return storage.materialize(benchmark.where("text is not null").select("text").distinct().select(F.sha2("text", 256).alias("item_id"), "text"), "items", compression="zstd")
+
+
+def _bytes(items: DataFrame) -> int:
+    return int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+
+
+def _sifted(docs: DataFrame, sieve: Broadcast, text: str, able: bool) -> DataFrame:
+    """Documents that may match, or those that cannot."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([sieve.value.may_match(t) == able for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return storage.map_arrow(docs, run, docs.schema)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, first_word, n_words, similarity)``: for each document row and item, the best window."""
     spark, out = docs.sparkSession, None
     storage.prepare(spark)
-    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    for block in blocks_of(benchmark):
-        items = tuple(block)
-
-        def run(batches, items=items):
+    items = _distinct(benchmark)
+    docs = docs.select("doc_id", "text")
+    if _bytes(items) > block_bytes:
+        docs = storage.materialize(_sifted(docs, spark.sparkContext.broadcast(shingle_filter(items)), "text", True), "able", compression="zstd")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("__item", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    for block in blocks_of(items, block_bytes):
+        ready = tuple(block)
+
+        def run(batches, items=ready):
             ready = _prepared(items)
             for batch in batches:
                 rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in ready.matches(t)]
                 columns = list(zip(*rows)) or [()] * 5
-                kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                kinds = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], schema.names)
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    named = benchmark.where("text is not null").select("item_id", F.sha2("text", 256).alias("__item"))
+    return out.join(named, "__item").select("doc_id", "item_id", "first_word", "n_words", "similarity")
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item.
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item."""
+    With a benchmark of several blocks, the rows that the filter lets through are stored and compared with one block after
+    the other; those that cannot match are read once more and stay.
+    """
     storage.prepare(docs.sparkSession)
-    at = docs.columns.index(text)
-    for block in blocks_of(benchmark):
-        items = tuple(block)
+    items = _distinct(benchmark)
+    if _bytes(items) <= block_bytes:
+        return _without(docs, next(iter(blocks_of(items, block_bytes))), text)
+    sieve = docs.sparkSession.sparkContext.broadcast(shingle_filter(items))
+    able = storage.materialize(_sifted(docs, sieve, text, True), "able", compression="zstd")
+    for block in blocks_of(items, block_bytes):
+        able = storage.materialize(_without(able, block, text), "able", compression="zstd")
+    return _sifted(docs, sieve, text, False).union(able)
 
-        def run(batches, items=items):
-            ready = _prepared(items)
-            for batch in batches:
-                keep = [not ready.matches(t, first_only=True) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = storage.map_arrow(docs, run, docs.schema)
-    return docs
+def _without(docs: DataFrame, block: list[tuple[object, str]], text: str) -> DataFrame:
+    at, items = docs.columns.index(text), tuple(block)
+
+    def run(batches):
+        ready = _prepared(items)
+        for batch in batches:
+            yield batch.filter(pa.array([not ready.matches(t, first_only=True) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return storage.map_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

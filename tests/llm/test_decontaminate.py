@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ def plain_matches(docs, items):
         for i, item in sets.items():
             if not item or not own:
                 continue
-            if len(item[0]) < 5 or len(words) < 5:
-                best = float(own == item)
+            if len(k := item[0]) < 5:  # a short item: its words anywhere in the text
+                best = float(any(tuple(words[at : at + len(k)]) == k for at in range(len(words))))
+            elif len(words) < 5:
+                best = 0.0
             else:
                 n = len(item)
                 best = max((dc.similarity(own[k : k + n], item) for k in range(len(own) - n + 1) if set(own[k : k + n]) & set(item)), default=0.0)
@@ -122,3 +125,42 @@ def test_documents_shorter_than_an_item(spark):
     assert found(frame, benchmark) == expected
     assert {r.first_word + r.n_words for r in dc.leaks(frame, benchmark).where("doc_id = 200").collect()} == {58}
     assert {r.doc_id for r in dc.clean(frame, benchmark).collect()} == set(docs) - {d for d, _ in expected}
+
+
+def test_several_blocks_behind_the_filter(spark):
+    """A benchmark of several blocks: the same leaks and the same documents kept as in one block, and as all pairs give."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = {i: " ".join(word() for _ in range(rng.choice([2, 5, 9, 30, 59]))) for i in range(60)}
+    docs = {d: " ".join(word() for _ in range(rng.randint(0, 80))) for d in range(150)}
+    for d in range(150, 260):
+        words = items[rng.randrange(60)].split()
+        k = rng.randrange(len(words))
+        words[k : k + 1] = rng.choice([[], [word()], words[k : k + 1]])
+        docs[d] = " ".join(rng.choice([[], [word() for _ in range(20)]]) + words)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    expected = plain_matches(docs, items) | plain_longer(docs, items)
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in dc.leaks(frame, benchmark, block_bytes=2000).collect()}
+    assert got == expected == found(frame, benchmark) and len(list(dc.blocks_of(benchmark, 2000))) > 3
+    assert {r.doc_id for r in dc.clean(frame, benchmark, block_bytes=2000).collect()} == set(docs) - {d for d, _ in expected}
+    sieve = dc.shingle_filter(benchmark, bits=16)
+    assert all(sieve.may_match(docs[d]) for d, _ in expected) and sum(map(sieve.may_match, docs.values())) < 0.8 * len(docs)
+
+
+def test_copies_of_an_item_take_no_room(spark):
+    text = "one two three four five six seven eight nine ten " * 20
+    benchmark = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit(text).alias("text"))
+    assert [len(b) for b in dc.blocks_of(dc._distinct(benchmark), 1 << 20)] == [1]
+    docs = spark.createDataFrame([(1, text), (2, "nothing of the kind")], "doc_id long, text string")
+    assert dc.leaks(docs, benchmark).groupBy("doc_id").count().collect() == [(1, 20_000)]
+
+
+def test_a_text_made_of_items_ends_soon():
+    rng = random.Random(2)
+    items = [(i, " ".join(str(rng.randrange(3000)) for _ in range(rng.randint(40, 80)))) for i in range(400)]
+    ready = dc.Benchmark(items)
+    text = " ".join(t for _, t in items * 5)
+    began = time.process_time()
+    assert {i for i, *_ in ready.matches(text)} == set(range(400))
+    assert time.process_time() - began < 30
