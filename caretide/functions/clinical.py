@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TIERS = (("critical", 80), ("rising", 60), ("watch", 30))
 LOWEST_TIER = "stable"
 RISK_RANK = {"critical": 0, "rising": 1, "watch": 2, "stable": 3}
-UNCONFIRMED, NEEDS_CONFIRMATION = "N/A", "ement"
+UNCONFIRMED, NEEDS_CONFIRMATION = "미확인", "확인 필요"
 MISSING_PENALTY, REVIEW_PENALTY = 5.0, 3.5
 #: Every kind of white space, the ideographic and no-break spaces and the byte order mark included.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"

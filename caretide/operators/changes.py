@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretide import schemas
+from caretide.functions import clinical
 from caretide.operators.reads import gate, positioned
 
 NOT_FOUND, CONFLICT, INVALID, MALFORMED = 404, 409, 400, 422
@@ -42,7 +43,27 @@ def constraint_checks(table: str, columns: list[str]) -> list[tuple[Column, int]
     return nulls + [(F.length(c) > n, MALFORMED) for c, n in schemas.MAX_LENGTH[table].items() if c in columns]
 
 
-def with_ids(state: DataFrame, accepted: DataFrame, seq: str = "seq", cell_rows: int = 4096) -> DataFrame:
+def patch_checks(table: str, columns: list[str], set_fields: str = "set_fields") -> list[tuple[Column, int]]:
+    """The same for a patch: only fields that it names are looked at."""
+    named = lambda c: F.array_contains(set_fields, c)
+    nulls = [(named(c) & F.col(c).isNull(), MALFORMED) for c in schemas.required(table) if c in columns]
+    return nulls + [(named(c) & (F.length(c) > n), MALFORMED) for c, n in schemas.MAX_LENGTH[table].items() if c in columns]
+
+
+def judged_patches(state: DataFrame, log: DataFrame, table: str, columns: list[str], key: str = "id") -> DataFrame:
+    """Adds ``code`` to a patch log: 404 for an unknown key, 422 for a patch that would break a constraint, else null."""
+    judged = gate(log, state, key, key)
+    return judged.withColumn("code", first_code((~F.col("found"), NOT_FOUND), *patch_checks(table, columns))).drop("found")
+
+
+def confirmations(log: DataFrame, at: str = "at") -> DataFrame:
+    """Patches of records with ``confirmed`` turned into a patch of ``confirmed_at``: true sets the command's time, false and
+    null clear it, and an absent flag leaves the stored time alone."""
+    stamped = log.withColumn("confirmed_at", clinical.confirmed_at(F.col("confirmed"), F.col(at)))
+    return stamped.withColumn("set_fields", F.transform("set_fields", lambda f: F.when(f == "confirmed", "confirmed_at").otherwise(f))).drop("confirmed")
+
+
+def with_ids(state: DataFrame, accepted: DataFrame, seq: str = "seq", cell_rows: int = 1 << 20) -> DataFrame:
     """New ids after the largest one, in the order of the commands."""
     top = state.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     numbered = positioned(accepted, F.floor(F.col(seq) / cell_rows), [F.col(seq)], "__place")

@@ -37,20 +37,56 @@ def gate(rows: DataFrame, parents: DataFrame, foreign: str, primary: str = "id")
     return rows.join(keys, rows[foreign] == F.col("__key"), "left").withColumn("found", F.col("__key").isNotNull()).drop("__key")
 
 
-def positioned(df: DataFrame, cell: Column, order: list[Column], into: str = "position") -> DataFrame:
-    """The place of every row in a total order, without sorting all rows in one task.
+ID_BLOCK = 20  #: bits of an id that a cell leaves open: at most a million rows with different ids
 
-    ``cell`` is a coarse long that grows along the order; rows are numbered within cells, and the sums of earlier cells
-    are added.  Only the counts of cells meet in one place, so the caller picks cells of some thousand rows.
+
+def by_id(id: str, newest_first: bool = False) -> list[Column]:
+    """Cells for an order by id: one for each million ids."""
+    block = F.shiftright(F.col(id).cast("long"), ID_BLOCK)
+    return [-block if newest_first else block]
+
+
+def by_time(at: str, id: str, newest_first: bool = True) -> list[Column | list[Column]]:
+    """Cells for an order by moment, then id: minutes, and within one its moments in blocks of a million ids.
+
+    All rows may have one day, one second or one moment; no cell has more rows than a block has ids.
+    """
+    # from the parts of the moment, as a cast of one without a zone would fold hours of a clock change
+    minute = F.unix_date(F.to_date(at)).cast("long") * 1440 + F.hour(at) * 60 + F.minute(at)
+    micros = (F.extract(F.lit("SECOND"), F.col(at)) * 1_000_000).cast("long")
+    cell = [micros, F.shiftright(F.col(id).cast("long"), ID_BLOCK)]
+    return [-minute, [-c for c in cell]] if newest_first else [minute, cell]
+
+
+def positioned(df: DataFrame, cells: Column | list[Column | list[Column]], order: list[Column], into: str = "position", within: list[str] | None = None) -> DataFrame:
+    """The place of every row in a total order (of its group of ``within``), without sorting all rows in one task.
+
+    ``cells`` are coarse longs that grow along the order, one level below the other; a level may have several columns.
+    Rows are numbered within their cell, and the counts of earlier cells are added level by level: a task sees the rows of
+    a cell, the cells of one cell above it, or the cells of the top level, which the caller keeps to some millions.
     """
-    # a cell is never null, so the join asks for the very partitions that the numbering has made
-    keyed = df.withColumn("__cell", F.coalesce(cell.cast("long"), F.lit(-(2**63))))
-    counts = keyed.groupBy("__cell").agg(F.count("*").alias("__n"))
-    before = counts.select(F.col("__cell").alias("__at"), (F.sum("__n").over(Window.orderBy("__cell")) - F.col("__n")).alias("__before"))
-    numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)))
-    placed = numbered.join(before, F.col("__cell") == F.col("__at"))
-    return placed.withColumn(into, (F.col("__before") + F.col("__nth")).cast("long")).drop("__cell", "__nth", "__at", "__before")
+    within, levels, names = list(within or []), [], []
+    for k, level in enumerate(cells if isinstance(cells, list) else [cells]):
+        columns = level if isinstance(level, list) else [level]
+        levels.append([f"__cell{k}_{j}" for j in range(len(columns))])
+        # a cell is never null, so the joins ask for the very partitions that the numbering has made
+        names += [F.coalesce(c.cast("long"), F.lit(-(2**63))).alias(n) for n, c in zip(levels[-1], columns)]
+    keyed = df.select("*", *names, *[F.struct(F.col(c)).alias(f"__in_{c}") for c in within])
+    groups = [f"__in_{c}" for c in within]
+    own = groups + [n for level in levels for n in level]
+    counts, before = keyed.groupBy(*own).agg(F.count("*").alias("__n")), None
+    for k, level in enumerate(levels):
+        above = groups + [n for upper in levels[:k] for n in upper]
+        cell = counts if k == len(levels) - 1 else counts.groupBy(*above, *level).agg(F.sum("__n").alias("__n"))
+        earlier = (Window.partitionBy(*above) if above else Window).orderBy(*level)
+        here = cell.select(*above, *level, (F.sum("__n").over(earlier) - F.col("__n")).alias(f"__before{k}"))
+        before = here if before is None else here.join(before, above)
+    offset = sum((F.col(f"__before{k}") for k in range(1, len(levels))), F.col("__before0"))
+    numbered = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    placed = numbered.join(before, own)
+    return placed.select(*df.columns, (offset + F.col("__nth")).cast("long").alias(into))
 
 
 def ranked_within(df: DataFrame, group: list[str], order: list[Column], into: str = "position") -> DataFrame:
+    """The place in a group that is known to be small; ``positioned`` takes groups of any size."""
     return df.withColumn(into, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))

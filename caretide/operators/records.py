@@ -10,13 +10,16 @@ from caretide.functions import clinical
 STEPS = ("dialogue", "draft", "checked", "coded", "certified")
 
 
-def statuses(fields: DataFrame, field_names: list[str], optional: tuple[str, ...] = ()) -> DataFrame:
+def statuses(fields: DataFrame, field_names: list[str], optional: tuple[str, ...] = (), seq: str | None = None, unconfirmed: str = clinical.UNCONFIRMED, needs: str = clinical.NEEDS_CONFIRMATION) -> DataFrame:
     """Each record with the status of every field, absent ones included: ``(rec_id, ordinal, field, status, required)``.
 
-    One aggregation brings a record's fields together; the list of fields is a literal, so nothing is joined.
+    One aggregation brings a record's fields together; the list of fields is a literal, so nothing is joined.  Where a
+    field has several values, the one with the largest ``seq`` counts.
     """
-    wide = fields.groupBy("rec_id").pivot("field", field_names).agg(F.first("value", ignorenulls=True))
-    items = [F.struct(F.lit(k).alias("ordinal"), F.lit(f).alias("field"), clinical.field_status(F.col(f)).alias("status"), F.lit(f not in optional).alias("required")) for k, f in enumerate(field_names)]
+    value = F.max_by("value", seq) if seq else F.first("value", ignorenulls=True)
+    wide = fields.groupBy("rec_id").pivot("field", field_names).agg(value)
+    status = lambda f: clinical.field_status(F.col(f), unconfirmed, needs).alias("status")
+    items = [F.struct(F.lit(k).alias("ordinal"), F.lit(f).alias("field"), status(f), F.lit(f not in optional).alias("required")) for k, f in enumerate(field_names)]
     return wide.select("rec_id", F.explode(F.array(*items)).alias("x")).select("rec_id", "x.*")
 
 
@@ -51,7 +54,7 @@ def may_go(step: Column, target: Column) -> Column:
     return target < step
 
 
-def drafted(turns: DataFrame, cues: dict[str, str], denials: str, doubts: str, exam: tuple[str, ...] = ()) -> DataFrame:
+def drafted(turns: DataFrame, cues: dict[str, str], denials: str, doubts: str, exam: tuple[str, ...] = (), unsure: str = clinical.NEEDS_CONFIRMATION) -> DataFrame:
     """A draft from a dialogue, by rule: what is said stands, denied is none, doubtful needs confirming, unasked is absent.
 
     ``turns(rec_id, turn, role, text)``; ``cues`` has a pattern for each field.  Fields of ``exam`` are taken from
@@ -60,7 +63,7 @@ def drafted(turns: DataFrame, cues: dict[str, str], denials: str, doubts: str, e
     said = None
     for field, cue in cues.items():
         speaks = F.col("text").rlike(cue) & (F.lit(field not in exam) | (F.col("role") == "clinician"))
-        value = F.when(F.col("text").rlike(denials), "none").when(F.col("text").rlike(doubts), clinical.NEEDS_CONFIRMATION).otherwise(F.col("text"))
+        value = F.when(F.col("text").rlike(denials), "none").when(F.col("text").rlike(doubts), unsure).otherwise(F.col("text"))
         item = F.when(speaks, F.struct(F.lit(field).alias("field"), value.alias("value")))
         said = [item] if said is None else [*said, item]
     items = turns.select("rec_id", "turn", F.explode(F.array_compact(F.array(*said))).alias("x"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from caretide import schemas
-from caretide.functions import clinical
+from caretide.functions import clinical, dims
 from caretide.operators import changes, nested, reads, records
-from caretide.sources import roles, tables
+from caretide.sources import roles, scratch, tables
 from caretide.sources.roles import with_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def health_db(spark, sf):
 @query(with_roles("patients") + "SELECT id, patient_number, category, row_number() OVER (ORDER BY id DESC) AS position FROM patients")
 def patients_list(spark, sf):
     listed = roles.patients(spark, sf).select("id", "patient_number", "category")
-    return reads.positioned(listed, -F.floor(F.col("id") / 4096), [F.col("id").desc()])
+    return reads.positioned(listed, reads.by_id("id", newest_first=True), [F.col("id").desc()])
 
 
 @query(with_roles("patients") + "SELECT id, patient_number, category FROM patients WHERE id = 42")
@@ -80,7 +80,7 @@ def record_by_id(spark, sf):
 
 
 def _by_arrival(visits: DataFrame) -> DataFrame:
-    return reads.positioned(visits, -F.unix_date(F.col("arrival_time").cast("date")), [F.col("arrival_time").desc(), F.col("id").desc()])
+    return reads.positioned(visits, reads.by_time("arrival_time", "id"), [F.col("arrival_time").desc(), F.col("id").desc()])
 
 
 @query(with_roles("visits") + "SELECT id, patient_id, arrival_time, status, row_number() OVER (ORDER BY arrival_time DESC, id DESC) AS position FROM visits")
@@ -107,7 +107,7 @@ def visits_filter_cases(spark, sf):
 FROM visits v JOIN patients p ON v.patient_id = p.id WHERE p.id = 90""")
 def visits_for_patient(spark, sf):
     found = reads.children(roles.patients(spark, sf), roles.visits(spark, sf), 90, "patient_id")
-    return reads.ranked_within(found.select("id", "patient_id", "arrival_time", "status", "found"), ["patient_id"], [F.col("arrival_time").desc(), F.col("id").desc()])
+    return _by_arrival(found.select("id", "patient_id", "arrival_time", "status", "found"))
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS status, false AS found")
@@ -117,14 +117,30 @@ def visits_for_missing_patient(spark, sf):
 
 @query(with_roles("vitals") + "SELECT id, measured_at, metric, value, row_number() OVER (ORDER BY measured_at, id) AS position FROM vitals WHERE visit_id = 7")
 def vitals_for_visit(spark, sf):
-    own = reads.by_key(roles.vitals(spark, sf), visit_id=7)
-    return reads.ranked_within(own, ["visit_id"], [F.col("measured_at"), F.col("id")]).drop("visit_id")
+    own = reads.children(roles.visits(spark, sf), roles.vitals(spark, sf), 7, "visit_id").drop("found")
+    return reads.positioned(own, reads.by_time("measured_at", "id", newest_first=False), [F.col("measured_at"), F.col("id")]).drop("visit_id")
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS metric, false AS found")
+def vitals_for_missing_visit(spark, sf):
+    return reads.children(roles.visits(spark, sf), roles.vitals(spark, sf), -7, "visit_id").select("id", "metric", "found")
 
 
 @query(with_roles("predictions") + "SELECT line, predicted_at, percent, price, row_number() OVER (ORDER BY predicted_at DESC, line DESC, price DESC) AS position FROM predictions WHERE visit_id = 100")
 def predictions_for_visit(spark, sf):
-    own = reads.by_key(roles.predictions(spark, sf), visit_id=100)
-    return reads.ranked_within(own, ["visit_id"], [F.col("predicted_at").desc(), F.col("line").desc(), F.col("price").desc()]).drop("visit_id")
+    own = reads.children(roles.visits(spark, sf), roles.predictions(spark, sf), 100, "visit_id").drop("found")
+    return reads.positioned(own, reads.by_time("predicted_at", "line"), [F.col("predicted_at").desc(), F.col("line").desc(), F.col("price").desc()]).drop("visit_id")
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS line, CAST(NULL AS INTEGER) AS percent, false AS found")
+def predictions_for_missing_visit(spark, sf):
+    return reads.children(roles.visits(spark, sf), roles.predictions(spark, sf), -100, "visit_id").select(F.col("line").cast("long").alias("line"), "percent", "found")
+
+
+@query(with_roles("visits") + """SELECT id AS prediction_id, patient_id, CAST(round(price / 10000) AS INTEGER) AS percent FROM (SELECT v.*, o.o_totalprice AS price FROM visits v JOIN orders o ON v.id = o.o_orderkey) WHERE id = 321""")
+def prediction_by_pk(spark, sf):
+    scored = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("prediction_id"), F.col("o_custkey").alias("patient_id"), F.round(F.col("o_totalprice") / 10000).cast("int").alias("percent"))
+    return reads.by_key(scored, prediction_id=321)
 
 
 @query(with_roles("records") + """SELECT id, record_type, n_chars, confirmed_at, CASE WHEN quality = 1 THEN 'confirmed' WHEN quality IS NOT NULL THEN 'draft' ELSE 'none' END AS state,
@@ -133,7 +149,29 @@ def records_for_visit(spark, sf):
     own = reads.by_key(roles.records(spark, sf), visit_key="src3")
     state = F.when(F.col("quality") == 1, "confirmed").when(F.col("quality").isNotNull(), "draft").otherwise("none")
     named = own.select("id", "record_type", "n_chars", "confirmed_at", state.alias("state"))
-    return reads.positioned(named, -F.floor(F.col("id") / 4096), [F.col("id").desc()])
+    return reads.positioned(named, reads.by_id("id", newest_first=True), [F.col("id").desc()])
+
+
+def _written(records: DataFrame) -> DataFrame:
+    """Records with a visit's number and a time of creation that does not follow their ids."""
+    created = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=((F.col("id") * 7919) % 100_003).cast("int"))
+    return records.select("id", F.substr("visit_key", F.lit(4)).cast("long").alias("visit_id"), "record_type", "confirmed_at", created.alias("created_at"))
+
+
+WRITTEN_SQL = """, written AS (SELECT id, CAST(substr(visit_key, 4) AS BIGINT) AS visit_id, record_type, confirmed_at,
+TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * ((id * 7919) % 100003) AS created_at FROM records)
+"""
+
+
+@query(with_roles("records") + WRITTEN_SQL + "SELECT id, record_type, confirmed_at, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS position FROM written WHERE visit_id = 3")
+def records_by_creation(spark, sf):
+    own = reads.children(roles.visits(spark, sf), _written(roles.records(spark, sf)), 3, "visit_id").select("id", "record_type", "confirmed_at", "created_at")
+    return reads.positioned(own, reads.by_time("created_at", "id"), [F.col("created_at").desc(), F.col("id").desc()])
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS record_type, false AS found")
+def records_for_missing_visit(spark, sf):
+    return reads.children(roles.visits(spark, sf), _written(roles.records(spark, sf)), -3, "visit_id").select("id", "record_type", "found")
 
 
 @query(with_roles("patients", "visits") + "SELECT v.id, v.patient_id, v.patient_id + 100 AS asked_id, p.id IS NOT NULL AS found FROM visits v LEFT JOIN patients p ON v.patient_id + 100 = p.id")
@@ -216,7 +254,7 @@ def ranked_worklist(spark: SparkSession, sf: str) -> DataFrame:
     risk = clinical.tier(F.col("percent"))
     joined = v.join(highest, v["id"] == highest["visit_id"]).select("id", "patient_id", "triage_level", "status", "percent", risk.alias("risk"), clinical.hhmm(F.col("arrival_time")).alias("arrived"))
     # the rank falls with the percent, so the percent alone orders both; many visits share one
-    return reads.positioned(joined, (100 - F.col("percent")) * 1_000_000 + F.floor(F.col("id") / 4096), [F.col("percent").desc(), F.col("id")])
+    return reads.positioned(joined, [-F.col("percent"), *reads.by_id("id")], [F.col("percent").desc(), F.col("id")])
 
 
 @query(with_roles("visits", "predictions") + f""", highest AS (SELECT visit_id, max(percent) AS percent FROM predictions GROUP BY 1),
@@ -226,6 +264,26 @@ def worklist(spark, sf):
     return ranked_worklist(spark, sf)
 
 
+@query(with_roles("patients", "visits", "predictions", "vitals", "records") + f""", highest AS (SELECT visit_id, max(percent) AS percent FROM predictions GROUP BY 1),
+recent AS (SELECT visit_id, arg_max(metric || ' ' || strftime(measured_at, '%H:%M'), id) AS recent_vital FROM vitals GROUP BY 1)
+SELECT v.id, p.patient_number, CASE WHEN p.id % 2 = 0 THEN 'female' ELSE 'male' END AS sex, p.category, strftime(v.arrival_time, '%H:%M') AS arrived, v.triage_level, coalesce(nullif(v.chief_complaint, ''), 'unconfirmed') AS complaint,
+{TIER_SQL} AS risk, h.percent, t.recent_vital, CASE WHEN coalesce(r.quality = 1, false) THEN 'certified' WHEN r.quality IS NOT NULL THEN 'in progress' ELSE 'not written' END AS record_status, '/monitoring/' || v.id AS link
+FROM visits v JOIN highest h ON v.id = h.visit_id JOIN patients p ON v.patient_id = p.id LEFT JOIN recent t ON t.visit_id = v.id LEFT JOIN records r ON r.id = v.id""")
+def worklist_display(spark, sf):
+    """The columns that the list of visits shows, the link to the detail included."""
+    highest = roles.predictions(spark, sf).groupBy("visit_id").agg(F.max("percent").alias("percent"))
+    p = roles.patients(spark, sf).select(F.col("id").alias("patient_id"), "patient_number", "category")
+    recent = roles.vitals(spark, sf).groupBy("visit_id").agg(F.max_by(F.concat_ws(" ", "metric", clinical.hhmm(F.col("measured_at"))), "id").alias("recent_vital"))
+    r = roles.records(spark, sf).select(F.col("id").alias("record_id"), "quality")
+    v = roles.visits(spark, sf).withColumnRenamed("id", "visit_id")
+    listed = v.join(highest, "visit_id").join(p, "patient_id").join(recent, "visit_id", "left").join(r, F.col("visit_id") == F.col("record_id"), "left")
+    return listed.select(
+        F.col("visit_id").alias("id"), "patient_number", F.when(F.col("patient_id") % 2 == 0, "female").otherwise("male").alias("sex"), "category", clinical.hhmm(F.col("arrival_time")).alias("arrived"),
+        "triage_level", clinical.or_blank(F.col("chief_complaint"), "unconfirmed").alias("complaint"), clinical.tier(F.col("percent")).alias("risk"), "percent", "recent_vital",
+        clinical.record_status(F.col("quality") == 1, F.col("quality").isNotNull(), F.lit("not written")).alias("record_status"), F.format_string("/monitoring/%d", "visit_id").alias("link"),
+    )
+
+
 @query(with_roles("vitals") + """SELECT id, visit_id, coalesce(metric = 'heart_rate' AND (value > 100 OR value < 50), false) AS hr_abnormal,
 coalesce(metric = 'respiratory_rate' AND (value > 20 OR value < 10), false) AS rr_abnormal, coalesce(metric = 'systolic_bp' AND (value < 100 OR value > 160), false) AS bp_abnormal,
 coalesce(metric = 'temperature' AND value >= 37.5, false) AS bt_abnormal, coalesce(metric = 'spo2' AND value < 94, false) AS spo2_abnormal, value IS NOT NULL AS is_measured FROM vitals""")
@@ -249,18 +307,21 @@ def record_status(spark, sf):
 
 # Nested documents -----------------------------------------------------------------------------------------------------
 
-SLOTS, METRICS = ["d1", "d2", "d3"], ["heart_rate", "respiratory_rate", "systolic_bp", "temperature", "spo2"]
+METRICS = ["heart_rate", "respiratory_rate", "systolic_bp", "temperature", "spo2"]
+SLOTS = [f"d{k}" for k in range(1, 32)]
+METRICS_SQL = "metrics(metric, ordinal) AS (VALUES ('heart_rate', 1), ('respiratory_rate', 2), ('systolic_bp', 3), ('temperature', 4), ('spo2', 5))"
 
 
-@query(with_roles("vitals") + """, own AS (SELECT visit_id, metric, value, 'd' || day(measured_at) AS slot FROM vitals WHERE measured_at < TIMESTAMP '2024-01-04 00:00:00'),
-visits_seen AS (SELECT DISTINCT visit_id FROM own), metrics(metric, ordinal) AS (VALUES ('heart_rate', 1), ('respiratory_rate', 2), ('systolic_bp', 3), ('temperature', 4), ('spo2', 5))
-SELECT s.visit_id, m.metric, m.ordinal, max(value) FILTER (WHERE slot = 'd1') AS d1, max(value) FILTER (WHERE slot = 'd2') AS d2, max(value) FILTER (WHERE slot = 'd3') AS d3
-FROM visits_seen s CROSS JOIN metrics m LEFT JOIN own o ON o.visit_id = s.visit_id AND o.metric = m.metric GROUP BY ALL""")
+@query(with_roles("vitals") + f""", own AS (SELECT visit_id, date_trunc('month', measured_at) AS month, metric, value, day(measured_at) AS slot FROM vitals),
+months AS (SELECT DISTINCT visit_id, month FROM own), {METRICS_SQL}
+SELECT s.visit_id, strftime(s.month, '%Y-%m') AS month, m.metric, m.ordinal, {', '.join(f'max(value) FILTER (WHERE slot = {k}) AS d{k}' for k in range(1, 32))}
+FROM months s CROSS JOIN metrics m LEFT JOIN own o ON o.visit_id = s.visit_id AND o.month = s.month AND o.metric = m.metric GROUP BY ALL""")
 def trend_matrix(spark, sf):
-    own = roles.vitals(spark, sf).where(F.col("measured_at") < F.lit("2024-01-04 00:00:00").cast("timestamp_ntz"))
-    points = own.groupBy("visit_id", F.concat(F.lit("d"), F.dayofmonth("measured_at").cast("string")).alias("slot")).pivot("metric", METRICS).agg(F.max("value"))
+    """One row for each visit, month and metric, one column for each day of the month."""
+    day = F.concat(F.lit("d"), F.dayofmonth("measured_at").cast("string"))
+    points = roles.vitals(spark, sf).groupBy("visit_id", F.date_format("measured_at", "yyyy-MM").alias("month"), day.alias("slot")).pivot("metric", METRICS).agg(F.max("value"))
     ordinal = clinical.mapped(F.col("metric"), {m: k for k, m in enumerate(METRICS, 1)})
-    return nested.matrix(points, ["visit_id"], "slot", SLOTS, METRICS).select("visit_id", "metric", ordinal.alias("ordinal"), *SLOTS)
+    return nested.matrix(points, ["visit_id", "month"], "slot", SLOTS, METRICS).select("visit_id", "month", "metric", ordinal.alias("ordinal"), *SLOTS)
 
 
 @query(with_roles("vitals") + """, own AS (SELECT visit_id, CAST(measured_at AS DATE) AS day, metric, max(value) AS value FROM vitals GROUP BY ALL),
@@ -316,6 +377,15 @@ def dialogue_turns(spark, sf):
     return reads.ranked_within(turns, ["conv_id"], [F.col("turn")])
 
 
+@query(with_roles("vitals") + """, axes(metric, axis) AS (VALUES ('heart_rate', 'left'), ('systolic_bp', 'left'), ('spo2', 'left'), ('temperature', 'right'))
+SELECT v.visit_id, a.axis, count(value) AS n, min(value) AS low, max(value) AS high FROM vitals v JOIN axes a ON v.metric = a.metric GROUP BY ALL""")
+def series_axes(spark, sf):
+    """What each of the two axes of a visit's chart has to span."""
+    short = clinical.mapped(F.col("metric"), {"heart_rate": "hr", "systolic_bp": "sbp", "spo2": "spo2", "temperature": "bt"})
+    drawn = roles.vitals(spark, sf).withColumn("axis", clinical.mapped(short, {m: axis for m, _, axis in dims.METRICS})).where("axis is not null")
+    return drawn.groupBy("visit_id", "axis").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 @query("SELECT conv_id, count(*) AS n_turns, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations WHERE role = 'assistant' GROUP BY 1")
 def clinician_turns(spark, sf):
     own = tables.table(spark, sf, "conversations").where(F.col("role") == "assistant")
@@ -339,7 +409,8 @@ statuses AS (SELECT rec_id, ordinal, field, required, CASE WHEN v = '' OR v = 'N
 
 
 def _statuses(spark: SparkSession, sf: str) -> DataFrame:
-    return records.statuses(roles.fields(spark, sf), FIELDS, OPTIONAL)
+    # the texts have stand-ins for the two sentinels
+    return records.statuses(roles.fields(spark, sf), FIELDS, OPTIONAL, "seq", "N/A", "ement")
 
 
 @query(STATUS_SQL + "SELECT rec_id, CAST(ordinal AS INTEGER) AS ordinal, field, status, required FROM statuses")
@@ -366,16 +437,57 @@ def missing_required(spark, sf):
 
 @query(SUMMARY_SQL + """, talk AS (SELECT conv_id AS rec_id, count(*) FILTER (WHERE role = 'user') > 0 AS has_dialogue, count(*) FILTER (WHERE role = 'assistant') > 0 AS has_draft FROM conversations GROUP BY 1),
 asked AS (SELECT s.rec_id, t.has_dialogue, t.has_draft, s.rec_id % 3 <> 0 AS was_checked, s.n_required_missing, CASE WHEN s.rec_id % 4 <> 0 THEN 'K' || (s.rec_id % 10) END AS code, s.rec_id % 5 <> 0 AS agreed FROM sums s JOIN talk t ON s.rec_id = t.rec_id)
-SELECT rec_id, CAST(CASE WHEN NOT (has_dialogue AND has_draft) THEN 1 WHEN NOT (was_checked AND n_required_missing <= 3) THEN 2 WHEN code IS NULL THEN 3 WHEN NOT agreed THEN 4 ELSE 5 END AS INTEGER) AS step, code FROM asked""")
+SELECT rec_id, CAST(CASE WHEN NOT (has_dialogue AND has_draft) THEN 1 WHEN NOT (was_checked AND n_required_missing = 0) THEN 2 WHEN code IS NULL THEN 3 WHEN NOT agreed THEN 4 ELSE 5 END AS INTEGER) AS step, code FROM asked""")
 def workflow_steps(spark, sf):
     talk = tables.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("rec_id")).agg((F.count_if(F.col("role") == "user") > 0).alias("has_dialogue"), (F.count_if(F.col("role") == "assistant") > 0).alias("has_draft"))
     asked = records.summary(_statuses(spark, sf)).join(talk, "rec_id")
     code = F.when(F.col("rec_id") % 4 != 0, F.concat(F.lit("K"), (F.col("rec_id") % 10).cast("string")))
-    # three absent turns are let pass here, as conversations are short
-    step = records.reachable(F.col("has_dialogue"), F.col("has_draft"), F.col("rec_id") % 3 != 0, F.greatest(F.lit(0), F.col("n_required_missing") - 3), code, F.col("rec_id") % 5 != 0)
+    step = records.reachable(F.col("has_dialogue"), F.col("has_draft"), F.col("rec_id") % 3 != 0, F.col("n_required_missing"), code, F.col("rec_id") % 5 != 0)
     return asked.select("rec_id", step.alias("step"), code.alias("code"))
 
 
+CHART_SQL = (
+    with_roles("charts")
+    + ", names(field, ordinal) AS (VALUES "
+    + ", ".join(f"('{f}', {k})" for k, f in enumerate(dims.FIELDS))
+    + r"""),
+recs AS (SELECT DISTINCT rec_id FROM charts),
+trimmed AS (SELECT r.rec_id, n.ordinal, n.field, n.field <> 'impression' AS required, trim(coalesce(c.value, ''), ' ') AS v
+  FROM recs r CROSS JOIN names n LEFT JOIN charts c ON c.rec_id = r.rec_id AND c.ordinal = n.ordinal),
+statuses AS (SELECT rec_id, ordinal, field, required, CASE WHEN v = '' OR v = '미확인' THEN 'missing' WHEN contains(v, '확인 필요') THEN 'review' ELSE 'complete' END AS status FROM trimmed),
+sums AS (SELECT rec_id, count(*) FILTER (WHERE status = 'missing') AS n_missing, count(*) FILTER (WHERE status = 'review') AS n_review,
+count(*) FILTER (WHERE status = 'complete') AS n_complete, count(*) FILTER (WHERE status = 'missing' AND required) AS n_required_missing,
+coalesce(string_agg(CASE WHEN status = 'missing' AND required THEN field END, ', ' ORDER BY ordinal), '') AS missing_fields,
+arg_min(field, ordinal) FILTER (WHERE status = 'missing' AND required) AS first_missing FROM statuses GROUP BY 1)
+"""
+)
+
+
+def _charts(spark: SparkSession, sf: str) -> DataFrame:
+    return records.statuses(roles.charts(spark, sf), dims.FIELDS, dims.OPTIONAL_FIELDS, "seq")
+
+
+@query(CHART_SQL + "SELECT rec_id, CAST(ordinal AS INTEGER) AS ordinal, field, status, required FROM statuses")
+def chart_status(spark, sf):
+    """The eleven fields of every record."""
+    return _charts(spark, sf)
+
+
+@query(CHART_SQL + """SELECT *, CAST(greatest(0.0, round(CAST(100 AS DOUBLE) - 5 * n_missing - CAST(3.5 AS DOUBLE) * n_review)) AS INTEGER) AS score, n_required_missing = 0 AS gate_open FROM sums""")
+def chart_completeness(spark, sf):
+    return records.summary(_charts(spark, sf))
+
+
+@query(CHART_SQL + """SELECT rec_id, CASE WHEN rec_id % 4 <> 0 THEN 'K' || (rec_id % 10) END AS code,
+CAST(CASE WHEN rec_id % 7 = 0 THEN 1 WHEN NOT (rec_id % 3 <> 0 AND n_required_missing = 0) THEN 2 WHEN rec_id % 4 = 0 THEN 3 WHEN rec_id % 5 = 0 THEN 4 ELSE 5 END AS INTEGER) AS step FROM sums""")
+def chart_steps(spark, sf):
+    """The furthest step of every record: no required field may be missing from the third on."""
+    asked, k = records.summary(_charts(spark, sf)), F.col("rec_id")
+    code = F.when(k % 4 != 0, F.concat(F.lit("K"), (k % 10).cast("string")))
+    step = records.reachable(F.lit(True), k % 7 != 0, k % 3 != 0, F.col("n_required_missing"), code, k % 5 != 0)
+    return asked.select("rec_id", code.alias("code"), step.alias("step"))
+
+
 @query("""WITH edits AS (SELECT conv_id AS rec_id, turn AS seq, 'f' || (turn % 3) AS field, text AS value FROM conversations WHERE role <> 'system'),
 drafts AS (SELECT conv_id AS rec_id, max(turn) AS draft FROM conversations WHERE role = 'system' OR turn = 3 GROUP BY 1)
 SELECT e.rec_id, e.field, max(e.seq) AS seq, CAST(length(arg_max(e.value, e.seq)) AS BIGINT) AS n_chars FROM edits e LEFT JOIN drafts d ON e.rec_id = d.rec_id WHERE e.seq > coalesce(d.draft, -1) GROUP BY 1, 2""")
@@ -403,8 +515,8 @@ SELECT rec_id, field, max(turn) AS turn, arg_max(CASE WHEN regexp_matches(text,
 def dialogue_drafts(spark, sf):
     role = clinical.mapped(F.col("role"), {"user": "patient", "assistant": "clinician"}, "other")
     turns = tables.table(spark, sf, "conversations").select(F.col("conv_id").alias("rec_id"), "turn", role.alias("role"), "text")
-    drafts = records.drafted(turns, DRAFT_CUES, "nicht", "peut|ment", exam=("exam",))
-    kind = F.when(F.col("value") == "none", "none").when(F.col("value") == clinical.NEEDS_CONFIRMATION, "doubt").otherwise("said")
+    drafts = records.drafted(turns, DRAFT_CUES, "nicht", "peut|ment", exam=("exam",), unsure="doubt")
+    kind = F.when(F.col("value") == "none", "none").when(F.col("value") == "doubt", "doubt").otherwise("said")
     return drafts.select("rec_id", "field", "turn", kind.alias("kind"))
 
 
@@ -427,10 +539,11 @@ def server_defaults(spark, sf):
 
 
 @query("""SELECT p_partkey AS code, p_type AS kind, CAST(round(p_retailprice) AS BIGINT) AS fitness, rank FROM
-(SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 3""")
+(SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)""")
 def code_candidates(spark, sf):
-    ranked = reads.ranked_within(tables.table(spark, sf, "part"), ["p_type", "p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], "rank")
-    return ranked.where("rank <= 3").select(F.col("p_partkey").alias("code"), F.col("p_type").alias("kind"), F.round("p_retailprice").cast("long").alias("fitness"), "rank")
+    """Every candidate of its group, best first."""
+    ranked = reads.positioned(tables.table(spark, sf, "part"), -F.floor("p_retailprice"), [F.col("p_retailprice").desc(), F.col("p_partkey")], "rank", within=["p_type", "p_brand"])
+    return ranked.select(F.col("p_partkey").alias("code"), F.col("p_type").alias("kind"), F.round("p_retailprice").cast("long").alias("fitness"), "rank")
 
 
 @query("SELECT l.doc_id AS rec_id, p.p_partkey AS code, p.p_name AS name FROM labels l JOIN part p ON l.doc_id % 50 = p.p_partkey")
@@ -465,6 +578,23 @@ def insert_missing_parent(spark, sf):
     return changes.insert_child(roles.patients(spark, sf), batch, "patient_id")
 
 
+@query(with_roles("visits", "vitals") + """SELECT t.id AS seq, t.visit_id * 100 + 1000 AS visit_id, t.metric, CASE WHEN v.id IS NULL THEN 404 END AS code
+FROM vitals t LEFT JOIN visits v ON t.visit_id * 100 + 1000 = v.id""")
+def insert_vitals(spark, sf):
+    batch = roles.vitals(spark, sf).select(F.col("id").alias("seq"), (F.col("visit_id") * 100 + 1000).alias("visit_id"), "metric")
+    return changes.insert_child(roles.visits(spark, sf), batch, "visit_id")
+
+
+@query(with_roles("visits") + """, batch AS (SELECT doc_id AS seq, doc_id * 20 AS visit_id, CASE WHEN doc_id % 7 > 0 THEN lang ELSE repeat(source, 20) END AS record_type, CASE WHEN doc_id % 5 > 0 THEN text END AS content FROM documents)
+SELECT b.seq, b.visit_id, CASE WHEN v.id IS NULL THEN 404 WHEN record_type IS NULL OR content IS NULL OR length(record_type) > 50 THEN 422 END AS code FROM batch b LEFT JOIN visits v ON b.visit_id = v.id""")
+def insert_records(spark, sf):
+    k = F.col("doc_id")
+    kind, content = F.when(k % 7 > 0, F.col("lang")).otherwise(F.repeat("source", F.lit(20))), F.when(k % 5 > 0, F.col("text"))
+    batch = tables.table(spark, sf, "documents").select(k.alias("seq"), (k * 20).alias("visit_id"), kind.alias("record_type"), content.alias("content"))
+    checks = changes.constraint_checks("records", ["record_type", "content"])
+    return changes.insert_child(roles.visits(spark, sf), batch, "visit_id", *checks).select("seq", "visit_id", "code")
+
+
 @query(with_roles("visits", "predictions") + """SELECT p.visit_id + 5000 AS visit_id, CASE WHEN v.id IS NULL THEN 404 WHEN percent + 20 > 100 THEN 400 END AS code, count(*) AS n
 FROM predictions p LEFT JOIN visits v ON p.visit_id + 5000 = v.id GROUP BY ALL""")
 def insert_predictions(spark, sf):
@@ -502,23 +632,105 @@ def merge_patch_state(spark, sf):
     return changes.fold(patch_log(spark, sf), ["status", "triage_level"])
 
 
-@query("""WITH f AS (SELECT o_custkey AS id, arg_max_null(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 1) AS status, bool_or(o_orderkey % 3 <> 1) AS s
-FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
-SELECT c.c_custkey AS id, CASE WHEN coalesce(f.s, false) THEN f.status ELSE c.c_mktsegment END AS status FROM customer c LEFT JOIN f ON c.c_custkey = f.id""")
+FOLD_SQL = """WITH f AS (SELECT o_custkey AS id, arg_max_null(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 1) AS status, bool_or(o_orderkey % 3 <> 1) AS s,
+arg_max_null(CASE WHEN o_orderkey % 5 <> 0 THEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) END, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 0) AS triage_level, bool_or(o_orderkey % 3 <> 0) AS t FROM orders GROUP BY 1)
+"""
+
+
+@query(FOLD_SQL + """SELECT c.c_custkey AS id, CASE WHEN coalesce(f.s, false) THEN f.status ELSE c.c_mktsegment END AS status,
+CASE WHEN coalesce(f.t, false) THEN f.triage_level ELSE c.c_nationkey END AS triage_level FROM customer c LEFT JOIN f ON c.c_custkey = f.id""")
 def patched_rows(spark, sf):
-    state = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
-    return changes.patched(state, changes.fold(patch_log(spark, sf).where("id % 2 = 0"), ["status"]), ["status"])
+    """Two columns of every customer after the whole patch log."""
+    state = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), F.col("c_nationkey").alias("triage_level"))
+    return changes.patched(state, changes.fold(patch_log(spark, sf), ["status", "triage_level"]), ["status", "triage_level"])
 
 
-@query("""WITH f AS (SELECT o_custkey AS id, arg_max_null(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 1) AS status, bool_or(o_orderkey % 3 <> 1) AS s
-FROM orders GROUP BY 1)
-SELECT c.c_custkey AS id, CASE WHEN coalesce(f.s, false) THEN f.status ELSE c.c_mktsegment END AS status FROM customer c LEFT JOIN f ON c.c_custkey = f.id""")
+@query(FOLD_SQL + "SELECT c.c_custkey AS id, CASE WHEN coalesce(f.s, false) THEN f.status ELSE c.c_mktsegment END AS status FROM customer c LEFT JOIN f ON c.c_custkey = f.id")
 def patched_rows_all(spark, sf):
     """Customers after the whole patch log."""
     state = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
     return changes.patched(state, changes.fold(patch_log(spark, sf), ["status"]), ["status"])
 
 
+def patient_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Patches of patients, some of unknown ones, some that null a required name or make it too long."""
+    k = F.col("o_orderkey")
+    names = F.when(k % 3 == 0, F.array(F.lit("name"))).when(k % 3 == 1, F.array(F.lit("gender"))).otherwise(F.array(F.lit("name"), F.lit("gender")))
+    name = F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, F.repeat(F.col("o_orderpriority"), F.lit(20))).otherwise(F.col("o_orderpriority"))
+    return tables.table(spark, sf, "orders").select((F.col("o_custkey") + 50).alias("id"), k.alias("seq"), names.alias("set_fields"), name.alias("name"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("gender"))
+
+
+PATCHES_SQL = """WITH log AS (SELECT o_custkey + 50 AS id, o_orderkey AS seq, o_orderkey % 3 <> 1 AS n, o_orderkey % 3 <> 0 AS g,
+CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN repeat(o_orderpriority, 20) ELSE o_orderpriority END AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS gender FROM orders),
+judged AS (SELECT l.*, CASE WHEN c.c_custkey IS NULL THEN 404 WHEN l.n AND (l.name IS NULL OR length(l.name) > 100) OR l.g AND length(l.gender) > 20 THEN 422 END AS code FROM log l LEFT JOIN customer c ON l.id = c.c_custkey)
+"""
+
+
+@query(PATCHES_SQL + "SELECT id, seq, code FROM judged")
+def patch_refusals(spark, sf):
+    """Every patch with its code: unknown patient before broken constraint, null if it is accepted."""
+    state = roles.patients(spark, sf).select("id")
+    return changes.judged_patches(state, patient_patches(spark, sf), "patients", ["name", "gender"]).select("id", "seq", "code")
+
+
+@query(PATCHES_SQL + """, f AS (SELECT id, arg_max_null(name, seq) FILTER (WHERE n) AS name, bool_or(n) AS n, arg_max_null(gender, seq) FILTER (WHERE g) AS gender, bool_or(g) AS g FROM judged WHERE code IS NULL GROUP BY 1)
+SELECT c.c_custkey AS id, CASE WHEN coalesce(f.n, false) THEN f.name ELSE c.c_name END AS name, CASE WHEN coalesce(f.g, false) THEN f.gender ELSE c.c_mktsegment END AS gender FROM customer c LEFT JOIN f ON c.c_custkey = f.id""")
+def accepted_patches(spark, sf):
+    """Patients after the accepted patches alone."""
+    state = roles.patients(spark, sf).select("id", F.col("patient_number").alias("name"), F.col("category").alias("gender"))
+    judged = changes.judged_patches(state, patient_patches(spark, sf), "patients", ["name", "gender"]).where("code is null")
+    return changes.patched(state, changes.fold(judged, ["name", "gender"]), ["name", "gender"])
+
+
+@query("""WITH f AS (SELECT o_custkey AS id, arg_max_null(CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice END, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 1) AS heart_rate, bool_or(o_orderkey % 3 <> 1) AS h,
+arg_max_null(CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END, o_orderkey) FILTER (WHERE o_orderkey % 3 <> 0) AS consciousness, bool_or(o_orderkey % 3 <> 0) AS c,
+arg_max_null(o_orderdate, o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS measured_at, bool_or(o_orderkey % 2 = 0) AS m FROM orders GROUP BY 1)
+SELECT e.event_id AS id, e.user_id AS visit_id, CASE WHEN coalesce(f.m, false) THEN f.measured_at ELSE e.ts END AS measured_at, CASE WHEN coalesce(f.h, false) THEN f.heart_rate ELSE e.value END AS heart_rate,
+CASE WHEN coalesce(f.c, false) THEN f.consciousness ELSE e.event_type END AS consciousness FROM events e LEFT JOIN f ON e.event_id = f.id""")
+def patched_vitals(spark, sf):
+    """Measurements after patches of time, value and consciousness; id and visit are no patchable fields."""
+    k, named = F.col("o_orderkey"), lambda holds, f: F.when(holds, F.lit(f))
+    fields = F.array_compact(F.array(named(k % 3 != 1, "heart_rate"), named(k % 3 != 0, "consciousness"), named(k % 2 == 0, "measured_at")))
+    log = tables.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("id"), k.alias("seq"), fields.alias("set_fields"), F.when(k % 4 > 0, F.col("o_totalprice")).alias("heart_rate"),
+        F.when(k % 5 > 0, F.col("o_orderstatus")).alias("consciousness"), F.col("o_orderdate").alias("measured_at"),
+    )
+    state = tables.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("visit_id"), F.col("ts").alias("measured_at"), F.col("value").alias("heart_rate"), F.col("event_type").alias("consciousness"))
+    own = [f for f in schemas.PATCHABLE["vitals"] if f in state.columns]
+    return changes.patched(state, changes.fold(log, own), own)
+
+
+@query(with_roles("records") + """, f AS (SELECT o_custkey AS id, arg_max_null(o_orderpriority, o_orderkey) FILTER (WHERE o_orderkey % 4 <> 1) AS content, bool_or(o_orderkey % 4 <> 1) AS c,
+arg_max_null(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END, o_orderkey) FILTER (WHERE o_orderkey % 4 IN (1, 2)) AS confirmed_at, bool_or(o_orderkey % 4 IN (1, 2)) AS t FROM orders GROUP BY 1)
+SELECT r.id, CASE WHEN coalesce(f.c, false) THEN f.content ELSE r.record_type END AS content, CASE WHEN coalesce(f.t, false) THEN f.confirmed_at ELSE r.confirmed_at END AS confirmed_at FROM records r LEFT JOIN f ON r.id = f.id""")
+def updated_records(spark, sf):
+    """Records after updates of content and of the confirmed flag: true, false, null and absent."""
+    k = F.col("o_orderkey")
+    fields = F.array_compact(F.array(F.when(k % 4 != 1, F.lit("content")), F.when((k % 4).isin(1, 2), F.lit("confirmed"))))
+    flag = F.when(k % 3 == 0, True).when(k % 3 == 1, False)
+    log = tables.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), k.alias("seq"), F.col("o_orderdate").alias("at"), fields.alias("set_fields"), F.col("o_orderpriority").alias("content"), flag.alias("confirmed"))
+    state = roles.records(spark, sf).select("id", F.col("record_type").alias("content"), "confirmed_at")
+    return changes.patched(state, changes.fold(changes.confirmations(log), ["content", "confirmed_at"]), ["content", "confirmed_at"])
+
+
+@query("""SELECT o_orderkey AS seq, o_custkey + 50 AS id, CASE WHEN c.c_custkey IS NULL THEN 404 END AS code FROM orders LEFT JOIN customer c ON o_custkey + 50 = c.c_custkey""")
+def update_unknown(spark, sf):
+    log = patient_patches(spark, sf).select("seq", "id", F.array().cast("array<string>").alias("set_fields"))
+    return changes.judged_patches(roles.patients(spark, sf).select("id"), log, "patients", []).select("seq", "id", "code")
+
+
+@query("""WITH log AS (SELECT o_orderkey % 3 AS batch, o_orderkey AS seq, o_custkey AS id, o_orderstatus AS status FROM orders)
+SELECT id, arg_max(status, seq) AS status, max(seq) AS last_seq, count(*) AS n_commands, count(DISTINCT batch) AS n_batches FROM log GROUP BY 1""")
+def committed_state(spark, sf):
+    """Three batches are committed to a log, one of them twice, and the state is read back from it."""
+    log = tables.table(spark, sf, "orders").select((F.col("o_orderkey") % 3).alias("batch"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    path = scratch.new_path(spark, "commands")
+    for k in (0, 1, 2, 1):
+        tables.commit(log.where(F.col("batch") == k), path, k)
+    stored = tables.committed(spark, path, log.schema)
+    return stored.groupBy("id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("last_seq"), F.count("*").alias("n_commands"), F.count_distinct("batch").alias("n_batches"))
+
+
 @query("""WITH log AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 11 = 0 THEN 'delete' ELSE 'patch' END AS op FROM orders),
 gone AS (SELECT id, min(seq) AS g FROM log WHERE op = 'delete' GROUP BY 1) SELECT l.id, l.seq, l.op, CASE WHEN l.seq > g.g THEN 404 END AS code FROM log l LEFT JOIN gone g ON l.id = g.id""")
 def commands_after_delete(spark, sf):
@@ -577,7 +789,8 @@ FROM visits WHERE status = 'active'""")
 def reassess_queue(spark, sf):
     active = reads.optional_filter(roles.visits(spark, sf), "status", "active")
     due = F.col("arrival_time") + F.make_dt_interval(hours=F.col("triage_level"))
-    ranked = active.withColumn("position", F.row_number().over(Window.partitionBy("triage_level", F.to_date("arrival_time")).orderBy("arrival_time", "id")).cast("long"))
+    daily = active.withColumn("day", F.to_date("arrival_time"))
+    ranked = reads.positioned(daily, reads.by_time("arrival_time", "id", newest_first=False), [F.col("arrival_time"), F.col("id")], within=["triage_level", "day"])
     return ranked.select("id", "triage_level", "arrival_time", due.alias("due"), "position")
 
 
@@ -586,7 +799,7 @@ row_number() OVER (ORDER BY ts DESC, event_id DESC) AS position FROM events WHER
 def alerts_newest_first(spark, sf):
     own = tables.table(spark, sf, "events").where(F.col("event_type") == "error")
     level = clinical.tier(F.col("value"), (("critical", 400), ("rising", 200), ("watch", 100)))
-    placed = reads.positioned(own, -F.unix_date(F.col("ts").cast("date")), [F.col("ts").desc(), F.col("event_id").desc()])
+    placed = reads.positioned(own, reads.by_time("ts", "event_id"), [F.col("ts").desc(), F.col("event_id").desc()])
     return placed.select(F.col("event_id").alias("id"), "user_id", clinical.hhmm(F.col("ts")).alias("time"), level.alias("level"), "position")
 
 

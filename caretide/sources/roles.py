@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caretide.functions import clinical, dims
 from caretide.sources.tables import table
 
 # Which part a status or an event type plays.
@@ -20,7 +21,9 @@ SQL = {
     "predictions": "predictions AS (SELECT l_orderkey AS visit_id, l_linenumber AS line, l_shipdate AS predicted_at, CAST(round(l_discount * 1000) AS INTEGER) AS percent, l_extendedprice AS price FROM lineitem)",
     "records": """records AS (SELECT d.doc_id AS id, d.source AS visit_key, d.lang AS record_type, d.n_chars, l.quality,
         CASE WHEN l.quality = 1 THEN TIMESTAMP '2024-01-01 00:00:00' END AS confirmed_at FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
-    "fields": "fields AS (SELECT conv_id AS rec_id, CAST(turn AS INTEGER) AS ordinal, 'f' || turn AS field, text AS value FROM conversations WHERE turn BETWEEN 0 AND 7)",
+    "fields": "fields AS (SELECT conv_id AS rec_id, 'f' || (turn % 8) AS field, arg_max_null(text, turn) AS value FROM conversations GROUP BY ALL)",
+    "charts": """charts AS (SELECT user_id AS rec_id, CAST(event_id % 11 AS INTEGER) AS ordinal,
+        arg_max_null(CASE event_type WHEN 'error' THEN ' 미확인' WHEN 'signup' THEN 'dose 확인 필요' WHEN 'click' THEN CASE WHEN value >= 250 THEN props END ELSE props END, event_id) AS value FROM events GROUP BY ALL)""",
     "beds": """beds AS (SELECT s.s_suppkey AS bed_id, n.n_name AS ward, r.r_name AS zone, CASE WHEN s.s_acctbal < 0 THEN 'empty' WHEN s.s_acctbal >= 5000 THEN 'critical'
         WHEN s.s_acctbal >= 2500 THEN 'moderate' ELSE 'low' END AS status FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)""",
 }
@@ -62,9 +65,17 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fields(spark: SparkSession, folder: str) -> DataFrame:
-    """The record of a conversation in long form: turn i is field fi; an absent turn is an absent field."""
-    turns = table(spark, folder, "conversations").where(F.col("turn").between(0, 7))
-    return turns.select(F.col("conv_id").alias("rec_id"), F.col("turn").cast("int").alias("ordinal"), F.concat(F.lit("f"), F.col("turn").cast("string")).alias("field"), F.col("text").alias("value"))
+    """The record of a conversation in long form: turn i speaks of field f(i mod 8), and the last such turn decides."""
+    turns = table(spark, folder, "conversations")
+    return turns.select(F.col("conv_id").alias("rec_id"), F.col("turn").alias("seq"), F.concat(F.lit("f"), (F.col("turn") % 8).cast("string")).alias("field"), F.col("text").alias("value"))
+
+
+def charts(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with the eleven real fields and the real sentinels: event i of a user edits field i mod 11."""
+    kind, props = F.col("event_type"), F.col("props")
+    value = F.when(kind == "error", f" {clinical.UNCONFIRMED}").when(kind == "signup", f"dose {clinical.NEEDS_CONFIRMATION}").when(kind == "click", F.when(F.col("value") >= 250, props)).otherwise(props)
+    name = F.get(F.array(*[F.lit(f) for f in dims.FIELDS]), (F.col("event_id") % len(dims.FIELDS)).cast("int"))
+    return table(spark, folder, "events").select(F.col("user_id").alias("rec_id"), F.col("event_id").alias("seq"), name.alias("field"), value.alias("value"))
 
 
 def beds(spark: SparkSession, folder: str) -> DataFrame:

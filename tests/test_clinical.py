@@ -35,7 +35,12 @@ def test_abnormal(spark, values, bad):
 
 @pytest.mark.parametrize(("value", "expected"), [(None, "missing"), ("", "missing"), (" \t　﻿\n", "missing"), (" N/A ", "missing"), ("N/A?", "complete"), ("statement", "review"), ("fine", "complete")])
 def test_field_status(spark, value, expected):
-    assert one(spark, s=clinical.field_status(F.lit(value).cast("string"))).s == expected
+    assert one(spark, s=clinical.field_status(F.lit(value).cast("string"), "N/A", "ement")).s == expected
+
+
+@pytest.mark.parametrize(("value", "expected"), [(" 미확인\u3000", "missing"), ("미확인 항목", "complete"), ("용량 확인 필요함", "review"), ("improvement", "complete"), ("N/A", "complete")])
+def test_field_status_by_default(spark, value, expected):
+    assert one(spark, s=clinical.field_status(F.lit(value))).s == expected
 
 
 @pytest.mark.parametrize(("missing", "review", "generated", "score"), [(3, 2, True, 78), (11, 0, True, 45), (0, 1, True, 97), (1, 0, True, 95), (30, 0, True, 0), (0, 0, False, 0)])
@@ -51,7 +56,7 @@ def test_valid_score(spark, score, ok):
 def test_defaults_and_confirmation(spark):
     now = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     row = one(
-        spark, a=clinical.or_blank(F.lit(""), "x"), b=clinical.or_null(F.lit(""), "x"), c=clinical.without_sentinel(F.lit("N/A")),
+        spark, a=clinical.or_blank(F.lit(""), "x"), b=clinical.or_null(F.lit(""), "x"), c=clinical.without_sentinel(F.lit("N/A"), "N/A"),
         t=clinical.confirmed_at(F.lit(True), now), f=clinical.confirmed_at(F.lit(False), now), n=clinical.confirmed_at(F.lit(None).cast("boolean"), now),
         s1=clinical.record_status(F.lit(True), F.lit(True), F.lit("kept")), s2=clinical.record_status(F.lit(None).cast("boolean"), F.lit(True), F.lit("kept")), s3=clinical.record_status(F.lit(False), F.lit(False), F.lit("kept")),
     )

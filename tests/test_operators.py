@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from caretide import schemas
+from caretide.functions import dims
 from caretide.operators import changes, nested, reads, records
 from caretide.sources import tables
 
@@ -22,6 +27,35 @@ def test_positions_follow_the_order_over_all_cells(spark):
     assert reads.positioned(df.limit(0), F.col("id"), [F.col("id")]).count() == 0
 
 
+def test_large_ids_stay_in_their_percent(spark):
+    ids = [4_097_000_000, 5_000_000_000, 10, 20, 2**34, 2**34 + 1]
+    df = spark.createDataFrame([(i, 95 if i > 20 else 94) for i in ids], "id long, percent int")
+    placed = reads.positioned(df, [-F.col("percent"), *reads.by_id("id")], [F.col("percent").desc(), F.col("id")])
+    assert [r.id for r in placed.orderBy("position").collect()] == sorted(ids, key=lambda i: (i <= 20, i))
+
+
+def test_one_moment_may_hold_all_rows(spark):
+    ids = [k * 300_000 for k in range(40)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").withColumn("at", F.lit("2024-03-10 02:30:00").cast("timestamp_ntz"))
+    placed = reads.positioned(df, reads.by_time("at", "id"), [F.col("at").desc(), F.col("id").desc()])
+    assert [r.id for r in placed.orderBy("position").collect()] == ids[::-1]
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("newest_first", [True, False])
+def test_moments_within_groups(spark, newest_first):
+    rng = random.Random(3)
+    rows_ = [(i, rng.choice(["a", None]), rng.choice(["2024-03-10 02:30:00", "2024-03-10 02:30:00.000001", "2024-03-10 03:10:59.5", "1969-12-31 23:59:59.999999"])) for i in range(200)]
+    df = spark.createDataFrame(rows_, "id long, g string, t string").withColumn("at", F.col("t").cast("timestamp_ntz"))
+    order = [F.col(c).desc() if newest_first else F.col(c) for c in ("at", "id")]
+    placed = reads.positioned(df, reads.by_time("at", "id", newest_first), order, within=["g"])
+    got = {r.id: r.position for r in placed.collect()}
+    for g in ("a", None):
+        own = sorted((r for r in rows_ if r[1] == g), key=lambda r: (r[2].ljust(26, "0") if "." in r[2] else r[2] + ".000000", r[0]), reverse=newest_first)
+        assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+
+
 def test_missing_parent_is_not_an_empty_list(spark):
     parents = spark.createDataFrame([(1,), (2,)], "id long")
     kids = spark.createDataFrame([(10, 1)], "id long, parent long")
@@ -60,7 +94,22 @@ def record(spark, **values):
 
 
 def summary(spark, **values):
-    return records.summary(records.statuses(record(spark, **values), NAMES, ("impression",))).first()
+    return records.summary(records.statuses(record(spark, **values), NAMES, ("impression",), None, "N/A", "ement")).first()
+
+
+def test_draft_golden(spark):
+    """By default arguments: six complete, two to confirm, three missing, and the gate to the third step shut."""
+    told = dict(zip(dims.FIELDS, ["ok"] * 11)) | {"medication": "확인 필요", "allergy": "종류 확인 필요", "socialHistory": "미확인", "physicalExam": " ", "outcome": None}
+    fields = spark.createDataFrame([(1, f, v) for f, v in told.items()], "rec_id long, field string, value string")
+    status = records.statuses(fields, dims.FIELDS, dims.OPTIONAL_FIELDS)
+    assert {s: {r.field for r in status.collect() if r.status == s} for s in ("missing", "review")} == {"missing": {"socialHistory", "physicalExam", "outcome"}, "review": {"medication", "allergy"}}
+    r = records.summary(status).first()
+    assert (r.score, r.gate_open, r.first_missing, r.n_complete) == (78, False, "socialHistory", 6)
+
+
+def test_the_last_value_of_a_field_counts(spark):
+    fields = spark.createDataFrame([(1, 1, "a", "x"), (1, 9, "a", None), (1, 2, "b", None), (1, 12, "b", "y")], "rec_id long, seq long, field string, value string")
+    assert {r.field: r.status for r in records.statuses(fields, ["a", "b"], seq="seq").collect()} == {"a": "missing", "b": "complete"}
 
 
 def test_draft_record(spark):
@@ -113,6 +162,66 @@ def test_patches_tell_null_from_absent(spark):
     assert sorted((tuple(r) for r in after.collect())) == [(1, None, "old"), (2, "x", "old"), (3, "x", "n"), (4, "x", "old")]
 
 
+def test_patches_that_break_a_rule_are_refused(spark):
+    state = spark.createDataFrame([(1,), (2,)], "id long")
+    log = spark.createDataFrame(
+        [(1, 1, ["name"], None, None), (1, 2, ["gender"], None, None), (1, 3, ["name"], "n" * 101, None), (9, 4, ["name"], None, None), (2, 5, ["name", "gender"], "ok", "g" * 21), (2, 6, [], None, "g" * 30)],
+        "id long, seq long, set_fields array<string>, name string, gender string",
+    )
+    judged = changes.judged_patches(state, log, "patients", ["name", "gender"])
+    assert {r.seq: r.code for r in judged.collect()} == {1: 422, 2: None, 3: 422, 4: 404, 5: 422, 6: None}
+
+
+def test_confirming_tells_false_from_absent(spark):
+    log = spark.createDataFrame([(1, 1, ["confirmed"], True), (2, 2, ["confirmed"], False), (3, 3, ["confirmed"], None), (4, 4, ["content"], None), (5, 5, ["confirmed"], True), (5, 6, ["content"], False)], "id long, seq long, set_fields array<string>, confirmed boolean")
+    log = log.withColumn("at", F.lit("2024-05-01 00:00:00").cast("timestamp_ntz")).withColumn("content", F.lit("new"))
+    state = spark.range(1, 6).select("id", F.lit("old").alias("content"), F.lit("2020-01-01 00:00:00").cast("timestamp_ntz").alias("confirmed_at"))
+    after = changes.patched(state, changes.fold(changes.confirmations(log), ["content", "confirmed_at"]), ["content", "confirmed_at"])
+    assert {r.id: (r.content, r.confirmed_at and r.confirmed_at.year) for r in after.collect()} == {1: ("old", 2024), 2: ("old", None), 3: ("old", None), 4: ("new", 2020), 5: ("new", 2024)}
+
+
+def test_a_commit_that_is_repeated_replaces_itself(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    first, second = (spark.createDataFrame(rows_, "id long, op string") for rows_ in ([(1, "patch"), (2, "patch")], [(3, "delete")]))
+    tables.commit(first, path, 1)
+    tables.commit(second, path, 2)
+    tables.commit(first, path, 1)
+    stored = tables.committed(spark, path, first.schema)
+    assert sorted(tuple(r) for r in stored.collect()) == [(1, "patch", 1), (2, "patch", 1), (3, "delete", 2)]
+    assert "PartitionFilters: [isnotnull(batch" in stored.where("batch = 2")._jdf.queryExecution().toString()
+
+
+def test_a_database_is_read_in_key_ranges(spark):
+    url, rows_ = "jdbc:derby:memory:caretide;create=true", spark.range(100).select("id", (F.col("id") % 7).alias("visit_id"))
+    rows_.write.format("jdbc").options(url=url, dbtable="vitals", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    found = tables.over_jdbc(spark, url, "vitals", bounds=(0, 100), parts=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert found.rdd.getNumPartitions() == 4 and found.where('"ID" >= 90' if "ID" in found.columns else "id >= 90").count() == 10
+    with pytest.raises(ValueError):
+        tables.over_jdbc(spark, "", "vitals")
+
+
+def test_stored_tables_have_their_declared_schema(spark, tmp_path):
+    row = [(1, 2, datetime(2024, 1, 1), 80.0, None, None, None, 36.5, None, "alert")]
+    spark.createDataFrame(row, schemas.DDL["vitals"]).write.parquet(f"file://{tmp_path}/vitals")
+    found = tables.stored(spark, f"file://{tmp_path}", "vitals")
+    assert found.columns == schemas.schema("vitals").fieldNames() and tuple(found.first()) == row[0]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, _jsc = "spark://host:7077", spark.sparkContext._jsc
+
+    class Session:
+        conf, sparkContext = spark.conf, Context
+
+    from caretide.sources import scratch
+
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        with pytest.raises(ValueError):
+            scratch.shared_folder(Session)
+    assert scratch.shared_folder(spark)
+
+
 def test_deletes(spark):
     state = spark.createDataFrame([(1,), (2,)], "id long")
     kids = spark.createDataFrame([(2,)], "parent long")
