@@ -1,13 +1,22 @@
-"""Byte-level BPE encoding and decoding by merge replay over a block's vocabulary.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus's vocabulary.
 
-A block of documents (one Arrow batch) is reduced to its distinct pieces.  All pieces lie end to end in one symbol array
-with linked neighbours.  An inverted index leads from each mergeable token pair, named by the rank of its merge, to the
-positions where it stands.  Merges are applied in rank order, each to all its positions at once, and only the touched
-neighbours are looked up again.  Pieces never influence one another, so replaying block by block gives the ids that one
-replay over the whole corpus would give, while memory stays bounded by a block.  Pieces met before are kept in a cache of
-bounded size.
+Three steps, one shuffle between each:
 
-Defined cases: a null or empty text has no ids; decoding ids gives back exactly the UTF-8 bytes of the text.
+1. Texts are cut into pieces.  A block of texts (of bounded size) becomes arrays of numbers, each text's pieces by their
+   place in the block's list of different pieces.  Arrays and lists are stored in the shared folder.
+2. The lists of all blocks are dealt by piece, so that a piece of the corpus lies in one partition however many blocks
+   have it, and is replayed once.  The pieces of a partition lie end to end in a symbol array with linked neighbours.  An
+   inverted index leads from each mergeable token pair, named by the rank of its merge, to the positions where it stands.
+   Merges are applied in rank order, each to all its positions at once, and only the touched neighbours are looked up
+   again.
+3. The ids of a block's pieces go back to its block, and its numbers become ids by one gather for each text.
+
+A piece that every block has is listed once a block, so no partition or block grows with a piece's occurrences.
+
+Defined cases: a null or empty text has no ids; decoding ids gives back exactly the UTF-8 bytes of the text; very long
+texts are cut whole, a block ends after one; repeated rows, equal texts and rows of equal or null ids each give their own row
+with the same ids; an empty table gives no rows; a column with the name of an output gives way to it, columns of any
+other name stay.  Vocabularies of 65,535 ids or more are an error.
 """
 
 from __future__ import annotations
@@ -19,7 +28,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,7 +180,7 @@ class MergeTable:
 
 
 class BlockEncoder:
-    """Encodes blocks of texts; keeps a bounded cache of pieces between blocks."""
+    """Encodes texts outside of a table; keeps a bounded cache of pieces.  Its table and decoding serve the tasks."""
 
     def __init__(self, table: MergeTable, pattern: str, cache_pieces: int = CACHE_PIECES):
         self.table, self.split, self.limit = table, regex.compile(pattern).findall, cache_pieces
@@ -206,9 +217,106 @@ OUTPUTS = {
     "ids_sha256": T.StringType(),
     "decoded_sha256": T.StringType(),
 }
+#: Ends of a block of texts and of a stretch of the vocabulary that is replayed at once; neither changes a result.
+BLOCK_CHARS, BLOCK_PIECES, REPLAY_CHARS, PIECES_AT_ONCE = 24_000_000, 300_000, 2_000_000, 1 << 22
+
+
+class Numbers(dict):
+    """Pieces by the order in which they were first met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = found = len(self)
+        return found
+
+    def of(self, text: str | None, pattern: regex.Pattern) -> bytes:
+        """The numbers of a text's pieces, all lowest bytes first: the higher ones are almost all zero and pack well."""
+        if not text:
+            return b""
+        if len(text) > PIECES_AT_ONCE:  # no list of all pieces of a very long text
+            codes = np.fromiter((self[m.group()] for m in pattern.finditer(text)), "<u4")
+        else:
+            pieces = pattern.findall(text)
+            codes = np.fromiter(map(self.__getitem__, pieces), "<u4", len(pieces))
+        return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _codes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
 
+def pieces(source: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """Step 1 over ``source``, whose last column is the text: columns ``c0``, ``c1``, ... are the others.
 
-def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("tokens", "n_tokens"), text: str = "text", keep: tuple[str, ...] | None = None, block_chars: int = 6_000_000) -> DataFrame:
+    A row of a text has them and ``codes``; a row of a block's list has ``piece`` and ``code``.  ``block`` joins the two: the
+    task's partition and a count, the same for every attempt of the task that is committed.
+    """
+    kept = [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(source.schema.fields[:-1])]
+    schema = T.StructType([*kept, T.StructField("block", T.LongType()), T.StructField("codes", T.BinaryType()), T.StructField("piece", T.StringType()), T.StructField("code", T.IntegerType())])
+
+    def run(batches):
+        split, partition, count, chars, numbers, kinds = regex.compile(pattern), TaskContext.get().partitionId(), 0, 0, Numbers(), None
+
+        def listed():
+            listed = list(numbers)
+            for lo in range(0, len(listed), 1 << 16):
+                part = listed[lo : lo + (1 << 16)]
+                n, block = len(part), partition << 32 | count
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, k) for k in kinds], pa.array([block] * n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(part, pa.string()), pa.array(range(lo, lo + n), pa.int32())], schema.names)
+
+        for batch in batches:
+            kinds, lo, held = [c.type for c in batch.columns[:-1]], 0, []
+            for hi, value in enumerate(batch.column(batch.num_columns - 1), 1):
+                text = value.as_py()
+                held.append(numbers.of(text, split))
+                chars += len(text or "")
+                full = chars >= block_chars or len(numbers) >= block_pieces
+                if full or hi == batch.num_rows:
+                    n, block = hi - lo, partition << 32 | count
+                    own = [c.slice(lo, n) for c in batch.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([block] * n, pa.int64()), pa.array(held, pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())], schema.names)
+                    held, lo = [], hi
+                if full:
+                    yield from listed()
+                    chars, numbers, count = 0, Numbers(), count + 1
+        if numbers:
+            yield from listed()
+
+    return storage.map_arrow(source, run, schema)
+
+
+def replayed(words: DataFrame, path: str, replay_chars: int = REPLAY_CHARS) -> DataFrame:
+    """Step 2 over ``words(block, code, piece)``: ``ids`` of every piece, as unsigned 16-bit integers."""
+
+    def run(batches):
+        table, held, chars, known = encoder(path, "").table, [], 0, {}
+
+        def done():
+            # the pieces come in order, so each is in one stretch, or the last of one and the first of the next
+            all_pieces = dict.fromkeys(p for _, own in held for p in own)
+            fresh = [p for p in all_pieces if p not in known]
+            known.update(zip(fresh, table.replay([p.encode() for p in fresh])))
+            for batch, own in held:
+                ids = [np.frombuffer(known[p], ID).astype("<u2").tobytes() for p in own]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["block", "code", "ids"])
+            last = next(reversed(all_pieces))
+            kept = known[last]
+            known.clear()
+            known[last] = kept
+
+        for batch in batches:
+            own = batch.column(2).to_pylist()
+            held.append((batch, own))
+            chars += sum(map(len, own))
+            if chars >= replay_chars:
+                yield from done()
+                held, chars = [], 0
+        if held:
+            yield from done()
+
+    return words.select("block", "code", "piece").repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "block long, code int, ids binary")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("tokens", "n_tokens"), text: str = "text", keep: tuple[str, ...] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Columns of ``docs`` named in ``keep`` (all by default) with the token columns of ``outputs``.
 
     A column of ``docs`` with the name of an output gives way to it.  ``ids_sha256`` is taken over the decimal ids
@@ -216,42 +324,37 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] =
     """
     keep = tuple(c for c in (docs.columns if keep is None else keep) if c not in outputs)
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    fields = [f for f in source.schema.fields if f.name != "__text"] + [T.StructField(o, OUTPUTS[o]) for o in outputs]
+    fields = [T.StructField(f.name, f.dataType) for f in source.schema.fields[:-1]] + [T.StructField(o, OUTPUTS[o]) for o in outputs]
     storage.prepare(docs.sparkSession)
-
-    def blocks(batches):
-        held, chars = [], 0
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lo = 0
-            for hi, t in enumerate(texts, 1):
-                chars += len(t or "")
-                if chars >= block_chars:
-                    held.append((batch.slice(lo, hi - lo), texts[lo:hi]))
-                    yield held
-                    held, chars, lo = [], 0, hi
-            if lo < len(texts):
-                held.append((batch.slice(lo), texts[lo:]))
-        if held:
-            yield held
-
-    def run(batches):
-        enc = encoder(path, pattern)
-        for held in blocks(batches):
-            coded = enc.encode([t for _, texts in held for t in texts])
-            at = 0
-            for batch, texts in held:
-                mine, at = coded[at : at + len(texts)], at + len(texts)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_columns(enc, mine, outputs)], [f.name for f in fields])
-
-    return storage.map_arrow(source, run, T.StructType(fields))
+    cut = storage.materialize(pieces(source, pattern, block_chars), "pieces", compression="zstd")
+    ids = replayed(cut.where("piece is not null"), path)
+    columns = [f"c{k}" for k in range(len(keep))]
+    texts = cut.where("codes is not null").select("block", "codes", *columns)
+
+    def run(own: pa.Table, words: pa.Table) -> pa.Table:
+        enc = encoder(path, "")
+        by_code = words.take(pc.sort_indices(words.column("code")))
+        listed = by_code.column("ids").to_pylist()
+        flat, size = np.frombuffer(b"".join(listed), "<u2"), np.array([len(x) // 2 for x in listed], np.int64)
+        start = np.cumsum(size) - size
+        coded = []
+        for packed in own.column("codes").to_pylist():
+            codes = _codes(packed)
+            n = size[codes]
+            ends = np.cumsum(n)
+            at = np.repeat(start[codes] - (ends - n), n)
+            coded.append(flat[at + np.arange(len(at))].astype(ID).tobytes())
+        return pa.Table.from_arrays([*[own.column(c).combine_chunks() for c in columns], *_columns(enc, coded, outputs)], [f.name for f in fields])
+
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, T.StructType(fields))
 
 
 def _columns(enc: BlockEncoder, coded: list[bytes], outputs: tuple[str, ...]) -> list[pa.Array]:
     made: dict[str, pa.Array] = {}
     if "tokens" in outputs:
         offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
-        made["tokens"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+        kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
+        made["tokens"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")), type=kind)
     if "n_tokens" in outputs:
         made["n_tokens"] = pa.array([len(c) // 4 for c in coded], pa.int64())
     sha = lambda data: hashlib.sha256(data).hexdigest()

@@ -78,3 +78,33 @@ def test_edge_rows_round_trip(edge, empty, library):
     for r in rows:
         assert r.tokens == library.encode_ordinary(r.text or "") and r.n_tokens == len(r.tokens) and bytes(r.decoded) == (r.text or "").encode()
     assert byte_bpe.encode(empty, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_pieces_are_replayed_once_for_all_blocks(spark, library):
+    """Blocks of one or two rows, many partitions, a text that a third of all rows have, a text cut piece by piece."""
+    rows = [(i, "the same words again and again " * 3 if i % 3 else f"row {i} the same " * (i % 7)) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (300, None), (301, "")], "doc_id long, text string").repartition(7)
+    cut = byte_bpe.pieces(docs.select("doc_id", "text"), public_tokenizers.PATTERN, block_chars=100)
+    listed = cut.where("piece is not null")
+    assert cut.where("codes is not null").count() == 302
+    assert listed.count() == listed.select("block", "piece").distinct().count() == listed.select("block", "code").distinct().count()
+    got = {r.doc_id: r.tokens for r in byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, ("tokens",), block_chars=100).collect()}
+    assert got == {i: library.encode_ordinary(t or "") for i, t in docs.collect()}
+
+
+def test_a_very_long_text_is_cut_without_a_list(monkeypatch, library):
+    text = "One two, three!\n\n 12345 é漢字 " * 50
+    pattern = byte_bpe.regex.compile(public_tokenizers.PATTERN)
+    whole, parts = byte_bpe.Numbers(), byte_bpe.Numbers()
+    packed = whole.of(text, pattern)
+    monkeypatch.setattr(byte_bpe, "PIECES_AT_ONCE", 10)
+    assert parts.of(text, pattern) == packed and list(parts) == list(whole)
+    names = list(whole)
+    assert "".join(names[k] for k in byte_bpe._codes(packed)) == text and len(byte_bpe._codes(b"")) == 0
+
+
+def test_a_stretch_of_the_vocabulary_may_end_anywhere(spark, encoder):
+    words = [f" w{i % 40}" for i in range(400)]
+    df = spark.createDataFrame([(i, i, w) for i, w in enumerate(words)], "block long, code int, piece string")
+    got = {r.block: np.frombuffer(r.ids, "<u2").tolist() for r in byte_bpe.replayed(df, PATH, replay_chars=20).collect()}
+    assert got == {i: encoder.table.encode_one(w.encode()) for i, w in enumerate(words)}
