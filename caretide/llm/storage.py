@@ -1,41 +1,20 @@
 """Shared-folder storage and small helpers that every corpus operator uses.
 
 Intermediate tables are written to the folder named by ``spark.checkpoint.dir``, which driver and executors share, so a
-lost executor costs a re-read and never a result.  Only where the setting is missing (tests, a laptop) is one chosen.
+lost executor costs a re-read and never a result.  Where the setting is missing, a local master gets a temporary folder;
+on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caretide.sources.scratch import new_path, remove, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all processes share; set once per session where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="caretide-"))
-        named = jsc.getCheckpointDir().get()
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is removed when the application ends."""
-    path = f"{shared_folder(spark)}/caretide/{uuid.uuid4().hex}-{name}"
-    fs, hadoop_path = _file_system(spark, path)
-    fs.deleteOnExit(hadoop_path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, hadoop_path = _file_system(spark, path)
-    fs.delete(hadoop_path, True)
+__all__ = ["map_arrow", "materialize", "new_path", "prepare", "remove", "shared_folder", "shuffle_partitions", "table"]
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -57,7 +36,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def prepare(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of at most ``rows`` rows, so a batch of long texts fits a Python worker; workers that find this package.
 
-    The second matters where the driver has the package on its own path only; a cluster gets it by ``--py-files`` as ever.
+    The first is a setting of the session and stays lower, as plans read it only when they run; it is never raised.  The second matters where the driver has the package on its own path only; a cluster gets it by ``--py-files`` as ever.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
@@ -73,9 +52,3 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     names = df.columns
     plain = df.toDF(*[f"c{k}" for k in range(len(names))])
     return plain.mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
-
-
-def _file_system(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
