@@ -2,12 +2,15 @@
 
 A payload (the UTF-8 bytes of a text, padded with spaces to a positive multiple of 192) is stored as the samples of an
 8-bit mono WAV file.  Features come from the stored bytes: the samples are resampled 2:3 by a polyphase filter, cut into
-overlapped windows, turned into log-mel energies and averaged into a tensor of fixed shape; hysteresis on the energy of
-the windows gives time spans of activity.  A unit of 192 samples is one hop after resampling, so no part of a payload is
-left over.
+overlapped windows and turned into log-mel energies; hysteresis on the energy of the windows gives time spans of activity.
+A unit of 192 samples is one hop after resampling, so no part of a payload is left over.  All log-mel rows are stored, 16
+windows to a tensor of fixed shape with its begin and end in seconds, beside an overview tensor of the same shape that
+averages them over the text.  The stored tensors are read back in Arrow's fixed-shape type for the digest.
 
 Defined cases: a null or empty text is a payload of 192 spaces; constant samples have no spans; equal texts give equal
-values, as every text is processed alone.
+values, as every text is processed alone, so repeated rows and rows of equal or null ids each have their own; very long
+texts are stored whole and their spectra taken some windows at a time, the last tensor filled up with silence; an
+empty table gives no rows; columns of ``metadata`` keep any name but those of the format, which give way.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +37,8 @@ UP, DOWN, TAPS = 2, 3, 16  #: resampling, and filter taps of each phase
 WINDOW, HOP = 256, 128  #: samples after resampling
 MELS, BINS = 20, 16  #: the tensor's shape is (BINS, MELS)
 SHAPE = (BINS, MELS)
+STEP = 1 / 256  #: of the stored log energies
+SILENCE = -6.0  #: log energy of a window without any
 
 
 def pad(data: bytes) -> bytes:
@@ -112,10 +118,17 @@ def log_mel(payload: bytes, rate: int = RATE) -> np.ndarray:
     bank = _mel_bank(rate * UP / DOWN)
     for lo in range(0, len(windows), 1024):
         spectrum = np.fft.rfft(windows[lo : lo + 1024] * _HANN)
-        out[lo : lo + 1024] = np.log10(1e-6 + (spectrum.real**2 + spectrum.imag**2) @ bank)
+        out[lo : lo + 1024] = np.log10(10**SILENCE + (spectrum.real**2 + spectrum.imag**2) @ bank)
     return out
 
 
+def blocks(mel: np.ndarray) -> np.ndarray:
+    """The rows in steps of ``STEP``, as tensors of ``SHAPE`` one after the other."""
+    rows = np.full((-(-len(mel) // BINS) * BINS, MELS), SILENCE, np.float32)
+    rows[: len(mel)] = np.round(mel / STEP) * STEP
+    return rows.reshape(-1, *SHAPE)
+
+
 def spans(energy: np.ndarray, enter: float = 0.5, leave: float = -0.25) -> list[tuple[int, int]]:
     """Runs of windows that stay above mean + leave * deviation and reach mean + enter * deviation."""
     deviation = float(energy.std())
@@ -127,16 +140,20 @@ def spans(energy: np.ndarray, enter: float = 0.5, leave: float = -0.25) -> list[
     return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()) if reach[b] > reach[a]]
 
 
-def features(payload: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[float, float]]]:
-    """The tensor, and the spans in seconds: a window stands for its hop."""
-    mel = log_mel(payload, rate)
+def second(rate: int = RATE) -> float:
+    """A window stands for its hop."""
+    return HOP * DOWN / UP / rate
+
+
+def features(payload: bytes, rate: int = RATE, mel: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """The overview tensor, and the spans in seconds."""
+    mel = log_mel(payload, rate) if mel is None else mel
     cuts = np.linspace(0, len(mel), BINS + 1)
     lo = np.minimum(np.floor(cuts[:-1]).astype(int), len(mel) - 1)
     hi = np.maximum(np.ceil(cuts[1:]).astype(int), lo + 1)
     sums = np.concatenate((np.zeros((1, MELS)), np.cumsum(mel, axis=0)))
     tensor = ((sums[hi] - sums[lo]) / (hi - lo)[:, None]).astype(np.float32)
-    second = HOP * DOWN / UP / rate
-    return tensor, [(a * second, b * second) for a, b in spans(mel.mean(axis=1))]
+    return tensor, [(a * second(rate), b * second(rate)) for a, b in spans(mel.mean(axis=1))]
 
 
 def store(docs: DataFrame, path: str, text: str = "text", metadata: tuple[str, ...] = ("doc_id",)) -> None:
@@ -154,43 +171,84 @@ def store(docs: DataFrame, path: str, text: str = "text", metadata: tuple[str, .
     storage.map_arrow(source, run, schema).write.options(compression="zstd").parquet(path)
 
 
-def analyse(stored: DataFrame) -> DataFrame:
-    """Adds digests of the stored bytes and of the samples, ``tensor`` (flat, of ``SHAPE``), ``spans`` and ``feature``."""
+SPANS = T.ArrayType(T.StructType([T.StructField("begin_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))
+BLOCKS = T.ArrayType(T.StructType([T.StructField("begin_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("mel", T.ArrayType(T.FloatType()))]))
+DIGESTS = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType())]
+TENSOR = {"shape": list(SHAPE), "axes": ["time", "mel"]}
+
+
+def _lists(tensors: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(tensors) + 1, dtype=np.int32) * math.prod(SHAPE)), pa.array(np.asarray(tensors, np.float32).ravel()))
+
+
+def featurize(stored: DataFrame) -> DataFrame:
+    """Adds digests of the stored bytes and of the samples, ``tensor`` (the overview, flat, of ``SHAPE``), ``spans``, and
+    ``blocks``: every 16 windows as such a tensor ``mel``, with its begin and end."""
     storage.prepare(stored.sparkSession)
-    span = T.ArrayType(T.StructType([T.StructField("begin_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))
     kept = [f for f in stored.schema.fields if f.name != "media"]
-    added = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("tensor", T.ArrayType(T.FloatType())), ("spans", span)]
-    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in added]])
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in DIGESTS], T.StructField("tensor", T.ArrayType(T.FloatType())), T.StructField("spans", SPANS), T.StructField("blocks", BLOCKS)])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     spans_type = pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())]))
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("media")
-            rows, tensors, times = [], [], []
-            for media in batch.column(at).to_pylist():
+            rows, tensors, times, cut, begins, ends = [], [], [], [], [], []
+            for value in batch.column(at):
+                media = value.as_py()
                 payload, rate = from_wav(media)
-                tensor, found = features(payload, rate)
-                feature = f"{math.prod(SHAPE)}:{zlib.crc32(np.round(tensor, 3).tobytes()):08x}:{len(found)}:{sum(b - a for a, b in found):.3f}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-                tensors.append(tensor.ravel())
+                mel = log_mel(payload, rate)
+                tensor, found = features(payload, rate, mel)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()))
+                tensors.append(tensor)
                 times.append([{"begin_s": a, "end_s": b} for a, b in found])
+                cut.append(blocks(mel))
+                first = np.arange(len(cut[-1])) * BINS
+                begins.append(first * second(rate))
+                ends.append(np.minimum(first + BINS, len(mel)) * second(rate))
             columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)]
-            flat = pa.array(np.concatenate(tensors) if tensors else np.zeros(0, np.float32))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tensors) + 1, dtype=np.int32) * math.prod(SHAPE)), flat)
-            yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(batch.columns) if k != at], *columns, lists, pa.array(times, spans_type)], schema.names)
+            items = [np.concatenate(x) if x else np.zeros(0) for x in (begins, ends, cut)]
+            structs = pa.StructArray.from_arrays([pa.array(items[0]), pa.array(items[1]), _lists(items[2])], ["begin_s", "end_s", "mel"])
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in begins]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(batch.columns) if k != at], *columns, _lists(np.array(tensors)), pa.array(times, spans_type), pa.ListArray.from_arrays(pa.array(offsets), structs)], schema.names)
+
+    return _shaped(storage.map_arrow(stored, run, schema))
+
+
+def _shaped(found: DataFrame) -> DataFrame:
+    """The shape goes with the column into Parquet and back."""
+    return found.select(*[F.col("tensor").alias("tensor", metadata=TENSOR) if c == "tensor" else F.col(f"`{c}`") for c in found.columns])
+
+
+def analyse(stored: DataFrame, path: str | None = None) -> DataFrame:
+    """Features of stored media, written to ``path`` (by default in the shared folder) and read back: all columns of
+    ``featurize`` but the blocks, with ``feature``, a digest of the blocks and spans as they were stored."""
+    spark = stored.sparkSession
+    path = path or storage.new_path(spark, "features")
+    made = featurize(stored)
+    made.write.options(compression="zstd").parquet(path)
+    kept = [f for f in made.schema.fields if f.name != "blocks"]
+    schema = T.StructType([*[f for f in kept if f.name not in ("tensor", "spans")], T.StructField("feature", T.StringType()), *[f for f in kept if f.name in ("tensor", "spans")]])
+
+    def run(batches):
+        for batch in batches:
+            column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            tensors = as_tensors(pc.struct_field(column["blocks"].flatten(), "mel")).to_numpy_ndarray() if batch.num_rows else []
+            out, at = [], 0
+            for n, found in zip(pc.list_value_length(column["blocks"]).to_pylist(), column["spans"].to_pylist()):
+                out.append(f"{n}x{BINS}x{MELS}:{zlib.crc32(tensors[at : at + n].tobytes()):08x}:{len(found)}:{sum(s['end_s'] - s['begin_s'] for s in found):.3f}")
+                at += n
+            column["feature"] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([column[n] for n in schema.names], schema.names)
 
-    found = storage.map_arrow(stored, run, schema)
-    # the shape goes with the column into Parquet and back
-    shaped = F.col("tensor").alias("tensor", metadata={"shape": list(SHAPE), "axes": ["time", "mel"]})
-    return found.select(*[shaped if f.name == "tensor" else F.col(f"`{f.name}`") for f in schema.fields])
+    return _shaped(storage.map_arrow(spark.read.schema(made.schema).parquet(path), run, schema))
 
 
 def as_tensors(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    """A ``tensor`` column, as read from Parquet, in Arrow's fixed-shape tensor type."""
+    """A column of flat tensors, as read from Parquet, in Arrow's fixed-shape tensor type."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     size = math.prod(SHAPE)
-    values = column.values.slice(column.offsets[0].as_py(), len(column) * size)
+    values = column.values.slice(column.offsets[0].as_py() if len(column) else 0, len(column) * size)
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), SHAPE), pa.FixedSizeListArray.from_arrays(values, size))
 
 

@@ -88,3 +88,20 @@ def test_edge_rows(spark, edge, empty):
     path = storage.new_path(spark, "media")
     audio.store(empty, path)
     assert audio.analyse(spark.read.parquet(path)).count() == 0
+
+
+def test_all_windows_are_stored_as_tensors_with_times(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(1, "".join(chr(rng.randrange(32, 500)) for _ in range(9000))), (2, "short"), (3, None)], "doc_id long, text string")
+    media, features = storage.new_path(spark, "media"), storage.new_path(spark, "features")
+    audio.store(docs, media)
+    result = {r.doc_id: r for r in audio.analyse(spark.read.parquet(media), features).collect()}
+    table = pq.read_table(features.removeprefix("file://"))
+    for r in table.to_pylist():
+        mel = audio.log_mel(audio.pad((docs.where(docs.doc_id == r["doc_id"]).first().text or "").encode()))
+        got = np.array([b["mel"] for b in r["blocks"]], np.float32).reshape(-1, audio.MELS)
+        assert len(got) == -(-len(mel) // 16) * 16 and np.abs(got[: len(mel)] - mel).max() <= audio.STEP and (got[len(mel) :] == audio.SILENCE).all()
+        times = [(b["begin_s"], b["end_s"]) for b in r["blocks"]]
+        assert all(a[1] == b[0] for a, b in zip(times, times[1:])) and times[0][0] == 0 and abs(times[-1][1] - len(mel) * 0.016) < 1e-9
+        assert result[r["doc_id"]].feature.startswith(f"{len(r['blocks'])}x16x20:{zlib.crc32(got.tobytes()):08x}:")
+    assert "blocks" not in result[1].asDict()
