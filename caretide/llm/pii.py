@@ -5,7 +5,7 @@ model then scores whole candidate spans (a phone number without a country code,
 spelt with "at" and "dot", a national number, an account number) by features of the span: its shape, its checksum, its
 grouping, the words before it.  A dynamic program over bounded spans (``MAX_TOKENS``, ``MAX_CHARS``) chooses boundaries
 and types together; what no candidate covers is no entity and scores 0.  Weights are fitted here by conditional
-likelihood on sentences written by rule.  Added spans never overlap base spans, which always stay.
+likelihood on sentences written by rule, and stored beside this module.  Added spans never overlap base spans, which always stay.
 
 Only stretches that can hold a candidate are looked at: runs of digits and their separators with seven digits or more,
 the letters and digits of an account number, and the neighbourhood of a written-out "at" or "dot".  Every candidate lies
@@ -19,11 +19,14 @@ rows give equal results; columns named as the results give way to them, other co
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
 from bisect import bisect_left
 from functools import lru_cache
+from importlib.resources import files
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +122,9 @@ def groups_of(piece: str) -> str:
     return "-".join(str(len(g)) for g in re.findall(r"[0-9]+", piece))
 
 
+STORED = "pii_weights.json"
+
+
 @lru_cache(maxsize=4096)
 def _shape(piece: str, kind: str) -> tuple[str, ...]:
     digits, out = digits_of(piece), []
@@ -322,9 +328,8 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     return out
 
 
-@lru_cache(maxsize=1)
-def learned(rounds: int = 150, rate: float = 1.0, pull: float = 2e-3) -> dict[str, float]:
-    """Weights by gradient ascent on the conditional likelihood, with a pull to 0."""
+def fitted(rounds: int = 150, rate: float = 1.0, pull: float = 2e-3) -> dict[str, float]:
+    """Weights by gradient ascent on the conditional likelihood of ``sentences()``, with a pull to 0."""
     names: dict[str, int] = {}
     data, flat, sizes, gold = [], [], [], []
     for text, truth in sentences():
@@ -348,6 +353,12 @@ def learned(rounds: int = 150, rate: float = 1.0, pull: float = 2e-3) -> dict[st
     return dict(zip(names, w.tolist()))
 
 
+@lru_cache(maxsize=1)
+def learned() -> dict[str, float]:
+    """The weights that ``fitted()`` gave, as stored beside this module; ``python -m caretide.llm.pii`` writes them anew."""
+    return json.loads((files(__package__) / STORED).read_text())
+
+
 class Finder:
     def __init__(self, weights: dict[str, float]):
         self.weight = weights.get
@@ -432,3 +443,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text of ``documents``."""
     return find(storage.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+if __name__ == "__main__":
+    Path(__file__).with_name(STORED).write_text(json.dumps({n: round(w, 6) for n, w in sorted(fitted().items())}, indent=0) + "\n")

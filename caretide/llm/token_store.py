@@ -6,8 +6,9 @@ document within its file and any metadata columns.  Row groups and pages have se
 column and offset indexes, so a reader fetches only the row groups and pages of the columns and ids that it asks for.
 A place over all files is the file's base plus the place within it; bases come from the counts alone.
 
-Defined cases: a null or empty text holds the end id only.  Null ids come first; rows of one id keep the order of
-the input.  A metadata column named like a column of the format is left out.
+Defined cases: a null or empty text holds the end id only.  Null ids come first; repeated rows, and rows of one id, are all
+kept, in the order of the input.  Very long texts are encoded whole, some hundred texts at a time at most.  An empty table
+gives no rows.  A metadata column named like a column of the format is left out.
 """
 
 from __future__ import annotations

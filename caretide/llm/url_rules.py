@@ -7,8 +7,9 @@ sweep keeps the rules whose interval holds the current key on a stack, innermost
 begins the URL's.  A URL that fills a third of the table is split, as split points carry a salt beside the key.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; of rules with equal host
-and path a block wins; rules with a null host or path fit nothing; extra columns of the input stay, unless named like an
-output.
+and path a block wins; rules with a null host or path fit nothing; repeated rows are judged each, and one URL however
+often it stands; very long URLs are compared whole; an empty table of URLs gives no rows, one of rules the default
+verdict for all; extra columns of the input stay, unless named like an output.
 """
 
 from __future__ import annotations

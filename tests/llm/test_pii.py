@@ -153,3 +153,8 @@ def test_added_cards_pass_their_checksum(spark, finder):
 )
 def test_shapes_of_other_things(finder, text, pieces):
     assert [text[a:b] for a, b, _ in finder.find(text)[1]] == pieces
+
+
+def test_stored_weights_are_those_of_a_fit():
+    stored, fresh = pii.learned(), pii.fitted()
+    assert stored.keys() == fresh.keys() and all(abs(stored[n] - w) < 1e-4 for n, w in fresh.items())
