@@ -34,6 +34,10 @@ def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of any comparable type to ``(node, root)``: the smallest node of each linked node's component.
 
     Null ends and links of a node to itself are ignored; repeated links count once.  An empty table gives no rows.
+
+    Rounds end when a link table has the count and both checksums (64 bits each) of the one before.  A round that changes
+    links moves some to smaller nodes, and such tables would have to agree in all three by chance, about 1 in 2**64 a
+    round, to end too early.
     """
     spark = links.sparkSession
     stars, path = _stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
