@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import wave
 import zlib
@@ -105,3 +106,54 @@ def test_all_windows_are_stored_as_tensors_with_times(spark):
         assert all(a[1] == b[0] for a, b in zip(times, times[1:])) and times[0][0] == 0 and abs(times[-1][1] - len(mel) * 0.016) < 1e-9
         assert result[r["doc_id"]].feature.startswith(f"{len(r['blocks'])}x16x20:{zlib.crc32(got.tobytes()):08x}:")
     assert "blocks" not in result[1].asDict()
+
+
+def plain_log_mel(payload):
+    """Sample by sample: zeros between samples and one filter, a transform of each window by its definition, triangles."""
+    samples = (np.frombuffer(payload, np.uint8) - 128.0) / 128
+    samples = samples - samples.mean()
+    n = audio.TAPS * audio.UP
+    t = np.arange(n) - (n - 1) / 2
+    taps = audio.UP / 3 * np.sinc(t / 3) * np.hamming(n)
+    held = np.concatenate((np.full(audio.TAPS, samples[0]), samples))
+    stuffed = np.zeros(len(held) * audio.UP)
+    stuffed[:: audio.UP] = held
+    out = np.convolve(stuffed, taps)[audio.TAPS * audio.UP :][: len(samples) * audio.UP][:: audio.DOWN]
+    out = np.concatenate((out, np.full(128, out[-1])))
+    k = np.arange(129)
+    turn = np.exp(-2j * np.pi * k[:, None] * np.arange(256) / 256)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(4000) * j / 21 / 2595) - 1) for j in range(22)]
+    rows = []
+    for at in range(0, len(out) - 128, 128):
+        power = np.abs(turn @ (out[at : at + 256] * hann)) ** 2
+        row = []
+        for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+            f = k * 4000 / 128
+            row.append(math.log10(1e-6 + float(power @ np.clip(np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid)), 0, None))))
+        rows.append(row)
+    return np.array(rows)
+
+
+def test_query_against_plain_features(spark, small, texts):
+    """Tensor, spans and digest of documents, from features worked out by their definitions."""
+    rows = {r.doc_id: r for r in audio.query(spark, small).collect()}
+    for i in sorted(texts)[:12]:
+        mel = plain_log_mel(audio.pad((texts[i] or "").encode()))
+        n = len(mel)
+        cuts = [n * k / 16 for k in range(17)]
+        expected = [mel[min(math.floor(a), n - 1) : max(math.ceil(b), min(math.floor(a), n - 1) + 1)].mean(axis=0) for a, b in zip(cuts, cuts[1:])]
+        assert np.allclose(np.array(rows[i].tensor).reshape(16, 20), expected, atol=2e-4)
+        level = mel.mean(axis=1)
+        level = (level - level.mean()) / max(level.std(), 1e-12)
+        spans, k = [], 0
+        while k < n:
+            end = k
+            while end < n and level[end] >= -0.25:
+                end += 1
+            if end > k and max(level[k:end]) >= 0.5:
+                spans.append((k * 0.016, end * 0.016))
+            k = end + 1
+        assert np.allclose([(s.begin_s, s.end_s) for s in rows[i].spans], spans)
+        assert rows[i].feature.split(":")[::2] == [f"{-(-n // 16)}x16x20", str(len(spans))]
