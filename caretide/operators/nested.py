@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,5 +27,15 @@ def matrix(points: DataFrame, ids: list[str], slot: str, slots: list, metrics: l
     return long.groupBy(*ids, "metric").pivot(slot, slots).agg(F.max("value"))
 
 
-def has_any(array: str):
+def built(required: dict[str, Column], optional: dict[str, Column], present: Column) -> Column:
+    """A struct whose optional members are null where ``present`` does not hold."""
+    return F.struct(*[c.alias(n) for n, c in required.items()], *[F.when(present, c).alias(n) for n, c in optional.items()])
+
+
+def by_name(columns: list[str], name: Column) -> Column:
+    """The value of the column that another column names, as text; null for other names."""
+    return F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])[name]
+
+
+def has_any(array: str) -> Column:
     return F.coalesce(F.size(array), F.lit(0)) > 0

@@ -371,6 +371,37 @@ def devices_in_use(spark, sf):
     return flat.select("status", F.explode("devices").alias("device")).groupBy("device", "status").agg(F.count("*").alias("n"))
 
 
+@query(with_roles("beds") + """SELECT bed_id, '{"status":"' || status || '"' || CASE WHEN status <> 'empty' THEN ',"patient_id":' || bed_id * 10 || ',"ward":"' || ward || '"' ELSE '' END || '}' AS body FROM beds""")
+def bed_documents(spark, sf):
+    """Beds as documents; an empty bed has no occupant's members."""
+    bed = nested.built({"status": F.col("status")}, {"patient_id": F.col("bed_id") * 10, "ward": F.col("ward")}, F.col("status") != "empty")
+    return roles.beds(spark, sf).select("bed_id", F.to_json(bed).alias("body"))
+
+
+@query(with_roles("visits") + """SELECT id, CASE id % 4 WHEN 0 THEN 'status' WHEN 1 THEN 'chief_complaint' WHEN 2 THEN 'triage_level' ELSE 'bed' END AS field,
+CASE id % 4 WHEN 0 THEN status WHEN 1 THEN chief_complaint WHEN 2 THEN CAST(triage_level AS VARCHAR) END AS value FROM visits""")
+def column_by_key(spark, sf):
+    k = F.col("id") % 4
+    named = roles.visits(spark, sf).withColumn("field", F.when(k == 0, "status").when(k == 1, "chief_complaint").when(k == 2, "triage_level").otherwise("bed"))
+    return named.select("id", "field", nested.by_name(["status", "chief_complaint", "triage_level"], F.col("field")).alias("value"))
+
+
+@query(with_roles("visits") + """, shown AS (SELECT id, CASE WHEN id % 3 = 0 THEN '/records/' ELSE '/monitoring/' END || id AS path FROM visits)
+SELECT id, starts_with(path, '/records') AS records, starts_with(path, '/monitoring') AS monitoring FROM shown""")
+def active_route(spark, sf):
+    path = F.concat(F.when(F.col("id") % 3 == 0, "/records/").otherwise("/monitoring/"), F.col("id").cast("string"))
+    return roles.visits(spark, sf).select("id", *[F.startswith(path, F.lit(f"/{r}")).alias(r) for r in ("records", "monitoring")])
+
+
+@query(with_roles("predictions") + f""", levels(level, rank, label) AS (VALUES ('critical', 0, 'Critical'), ('rising', 1, 'Rising risk'), ('watch', 2, 'Watch'), ('stable', 3, 'Stable')),
+counted AS (SELECT {TIER_SQL} AS level, count(*) AS n FROM predictions GROUP BY 1)
+SELECT l.level, l.rank, l.label, coalesce(c.n, 0) AS n FROM levels l LEFT JOIN counted c ON l.level = c.level""")
+def risk_levels(spark, sf):
+    """The literal table of levels, each with its predictions, none included."""
+    counted = roles.predictions(spark, sf).groupBy(clinical.tier(F.col("percent")).alias("level")).agg(F.count("*").alias("n"))
+    return dims.risk_meta(spark).join(counted, "level", "left").select("level", "rank", "label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, length(text) AS n_chars FROM conversations""")
 def dialogue_turns(spark, sf):
     turns = tables.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))

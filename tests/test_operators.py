@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caretide import schemas
 from caretide.functions import dims
 from caretide.operators import changes, nested, reads, records
-from caretide.sources import tables
+from caretide.sources import session, tables
 
 
 def rows(df, *columns):
@@ -222,6 +222,27 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     assert scratch.shared_folder(spark)
 
 
+def test_a_scope_keeps_a_running_session(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with session.scope(spark__sql__shuffle__partitions="3") as own:
+        assert own.conf.get("spark.sql.shuffle.partitions") == "3" and own.range(2).count() == 2
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.range(1).count() == 1
+
+
+def test_a_scope_ends_its_own_session(monkeypatch):
+    ended = []
+
+    class Started:
+        def stop(self):
+            ended.append(1)
+
+    monkeypatch.setattr(session.SparkSession, "getActiveSession", staticmethod(lambda: None))
+    monkeypatch.setattr(session, "session", lambda *a, **k: Started())
+    with pytest.raises(KeyError), session.scope():
+        raise KeyError
+    assert ended == [1]
+
+
 def test_deletes(spark):
     state = spark.createDataFrame([(1,), (2,)], "id long")
     kids = spark.createDataFrame([(2,)], "parent long")
