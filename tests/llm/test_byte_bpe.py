@@ -88,7 +88,7 @@ def test_pieces_are_replayed_once_for_all_blocks(spark, library):
     listed = cut.where("piece is not null")
     assert cut.where("codes is not null").count() == 302
     assert listed.count() == listed.select("block", "piece").distinct().count() == listed.select("block", "code").distinct().count()
-    got = {r.doc_id: r.tokens for r in byte_bpe.encode(docs, PATH, public_tokenizers.PATTERN, ("tokens",), block_chars=100).collect()}
+    got = {r.doc_id: r.tokens for r in byte_bpe.encode_by_corpus(docs, PATH, public_tokenizers.PATTERN, ("tokens",), block_chars=100).collect()}
     assert got == {i: library.encode_ordinary(t or "") for i, t in docs.collect()}
 
 
@@ -108,3 +108,11 @@ def test_a_stretch_of_the_vocabulary_may_end_anywhere(spark, encoder):
     df = spark.createDataFrame([(i, i, w) for i, w in enumerate(words)], "block long, code int, piece string")
     got = {r.block: np.frombuffer(r.ids, "<u2").tolist() for r in byte_bpe.replayed(df, PATH, replay_chars=20).collect()}
     assert got == {i: encoder.table.encode_one(w.encode()) for i, w in enumerate(words)}
+
+
+def test_both_ways_give_the_same_rows(edge, empty):
+    named = edge.withColumn("n_tokens", F.lit("clash"))
+    outputs = ("tokens", "n_tokens", "ids_sha256", "decoded_sha256")
+    by_block, by_corpus = (f(named, PATH, public_tokenizers.PATTERN, outputs) for f in (byte_bpe.encode, byte_bpe.encode_by_corpus))
+    assert by_block.columns == by_corpus.columns and sorted(map(str, by_block.collect())) == sorted(map(str, by_corpus.collect()))
+    assert byte_bpe.encode_by_corpus(empty, PATH, public_tokenizers.PATTERN).count() == 0
