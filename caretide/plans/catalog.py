@@ -405,7 +405,7 @@ def risk_levels(spark, sf):
 @query("""SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, length(text) AS n_chars FROM conversations""")
 def dialogue_turns(spark, sf):
     turns = tables.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
-    return reads.ranked_within(turns, ["conv_id"], [F.col("turn")])
+    return reads.positioned(turns, reads.by_id("turn"), [F.col("turn")], within=["conv_id"])
 
 
 @query(with_roles("vitals") + """, axes(metric, axis) AS (VALUES ('heart_rate', 'left'), ('systolic_bp', 'left'), ('spo2', 'left'), ('temperature', 'right'))
@@ -837,13 +837,10 @@ def alerts_newest_first(spark, sf):
 @query("""WITH p AS (SELECT l_orderkey AS visit_id, l_shipdate AS at, max(CAST(round(l_discount * 1000) AS INTEGER)) AS percent FROM lineitem GROUP BY ALL)
 SELECT v.o_orderkey AS id, v.o_orderdate AS arrival_time, (SELECT p.percent FROM p WHERE p.visit_id = v.o_orderkey AND p.at <= v.o_orderdate ORDER BY p.at DESC LIMIT 1) AS percent FROM orders v""")
 def prediction_as_of(spark, sf):
-    """Beyond the reference: the latest prediction at or before a moment, by one window over the union of both sides."""
+    """Beyond the reference: the latest prediction at or before a moment."""
     p = roles.predictions(spark, sf).groupBy("visit_id", F.col("predicted_at").alias("at")).agg(F.max("percent").alias("percent"))
-    v = roles.visits(spark, sf).select(F.col("id").alias("visit_id"), F.col("arrival_time").alias("at"), F.lit(1).alias("asks"))
-    both = p.unionByName(v, allowMissingColumns=True)
-    before = Window.partitionBy("visit_id").orderBy("at", F.asc_nulls_first("asks")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("percent", F.last("percent", ignorenulls=True).over(before))
-    return found.where("asks = 1").select(F.col("visit_id").alias("id"), F.col("at").alias("arrival_time"), "percent")
+    v = roles.visits(spark, sf).select(F.col("id").alias("visit_id"), F.col("arrival_time").alias("at"))
+    return reads.as_of(v, p, "visit_id", "at", "percent").select(F.col("visit_id").alias("id"), F.col("at").alias("arrival_time"), "percent")
 
 
 assert set(schemas.PATCHABLE) < set(schemas.DDL)

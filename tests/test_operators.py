@@ -56,6 +56,19 @@ def test_moments_within_groups(spark, newest_first):
         assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
 
 
+def test_as_of_against_a_search(spark):
+    rng = random.Random(8)
+    moment = lambda: datetime(2024, 1, rng.randint(1, 4), rng.randint(0, 3), rng.choice([0, 30]))
+    known = {(k, moment()): rng.choice([None, *range(9)]) for k in range(3) for _ in range(12)}
+    asked = [*((n, rng.randrange(4), moment()) for n in range(58)), (58, None, moment()), (59, 1, None)]
+    found = reads.as_of(spark.createDataFrame(asked, "n int, k int, at timestamp_ntz"), spark.createDataFrame([(*key, v) for key, v in known.items()], "k int, at timestamp_ntz, v int"), "k", "at", "v")
+    got = {r.n: r.v for r in found.collect()}
+    assert len(got) == 60
+    for n, k, at in asked:
+        before = [t for key, t in known if key == k and at and t <= at]
+        assert got[n] == (known[k, max(before)] if before else None)
+
+
 def test_missing_parent_is_not_an_empty_list(spark):
     parents = spark.createDataFrame([(1,), (2,)], "id long")
     kids = spark.createDataFrame([(10, 1)], "id long, parent long")
