@@ -145,15 +145,23 @@ def second(rate: int = RATE) -> float:
     return HOP * DOWN / UP / rate
 
 
-def features(payload: bytes, rate: int = RATE, mel: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[float, float]]]:
-    """The overview tensor, and the spans in seconds."""
-    mel = log_mel(payload, rate) if mel is None else mel
+def overview(mel: np.ndarray) -> np.ndarray:
+    """The rows averaged into one tensor of ``SHAPE``."""
     cuts = np.linspace(0, len(mel), BINS + 1)
     lo = np.minimum(np.floor(cuts[:-1]).astype(int), len(mel) - 1)
     hi = np.maximum(np.ceil(cuts[1:]).astype(int), lo + 1)
     sums = np.concatenate((np.zeros((1, MELS)), np.cumsum(mel, axis=0)))
-    tensor = ((sums[hi] - sums[lo]) / (hi - lo)[:, None]).astype(np.float32)
-    return tensor, [(a * second(rate), b * second(rate)) for a, b in spans(mel.mean(axis=1))]
+    return ((sums[hi] - sums[lo]) / (hi - lo)[:, None]).astype(np.float32)
+
+
+def timed(mel: np.ndarray, rate: int = RATE) -> list[tuple[float, float]]:
+    """The spans in seconds."""
+    return [(a * second(rate), b * second(rate)) for a, b in spans(mel.mean(axis=1))]
+
+
+def features(payload: bytes, rate: int = RATE) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    mel = log_mel(payload, rate)
+    return overview(mel), timed(mel, rate)
 
 
 def store(docs: DataFrame, path: str, text: str = "text", metadata: tuple[str, ...] = ("doc_id",)) -> None:
@@ -182,26 +190,25 @@ def _lists(tensors: np.ndarray) -> pa.ListArray:
 
 
 def featurize(stored: DataFrame) -> DataFrame:
-    """Adds digests of the stored bytes and of the samples, ``tensor`` (the overview, flat, of ``SHAPE``), ``spans``, and
-    ``blocks``: every 16 windows as such a tensor ``mel``, with its begin and end."""
+    """Adds digests of the stored bytes and of the samples, ``spans``, and ``blocks``: every 16 windows as a flat tensor
+    ``mel`` of ``SHAPE``, with its begin and end."""
     storage.prepare(stored.sparkSession)
-    kept = [f for f in stored.schema.fields if f.name != "media"]
-    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in DIGESTS], T.StructField("tensor", T.ArrayType(T.FloatType())), T.StructField("spans", SPANS), T.StructField("blocks", BLOCKS)])
+    own = {"media", "feature", "tensor", "spans", "blocks", *(n for n, _ in DIGESTS)}
+    kept = [f for f in stored.schema.fields if f.name not in own]
+    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in DIGESTS], T.StructField("spans", SPANS), T.StructField("blocks", BLOCKS)])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
     spans_type = pa.list_(pa.struct([("begin_s", pa.float64()), ("end_s", pa.float64())]))
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("media")
-            rows, tensors, times, cut, begins, ends = [], [], [], [], [], []
+            rows, times, cut, begins, ends = [], [], [], [], []
             for value in batch.column(at):
                 media = value.as_py()
                 payload, rate = from_wav(media)
                 mel = log_mel(payload, rate)
-                tensor, found = features(payload, rate, mel)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()))
-                tensors.append(tensor)
-                times.append([{"begin_s": a, "end_s": b} for a, b in found])
+                times.append([{"begin_s": a, "end_s": b} for a, b in timed(mel, rate)])
                 cut.append(blocks(mel))
                 first = np.arange(len(cut[-1])) * BINS
                 begins.append(first * second(rate))
@@ -210,38 +217,37 @@ def featurize(stored: DataFrame) -> DataFrame:
             items = [np.concatenate(x) if x else np.zeros(0) for x in (begins, ends, cut)]
             structs = pa.StructArray.from_arrays([pa.array(items[0]), pa.array(items[1]), _lists(items[2])], ["begin_s", "end_s", "mel"])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in begins]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(batch.columns) if k != at], *columns, _lists(np.array(tensors)), pa.array(times, spans_type), pa.ListArray.from_arrays(pa.array(offsets), structs)], schema.names)
+            yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.columns) if n not in own], *columns, pa.array(times, spans_type), pa.ListArray.from_arrays(pa.array(offsets), structs)], schema.names)
 
-    return _shaped(storage.map_arrow(stored, run, schema))
-
-
-def _shaped(found: DataFrame) -> DataFrame:
-    """The shape goes with the column into Parquet and back."""
-    return found.select(*[F.col("tensor").alias("tensor", metadata=TENSOR) if c == "tensor" else F.col(f"`{c}`") for c in found.columns])
+    return storage.map_arrow(stored, run, schema)
 
 
 def analyse(stored: DataFrame, path: str | None = None) -> DataFrame:
     """Features of stored media, written to ``path`` (by default in the shared folder) and read back: all columns of
-    ``featurize`` but the blocks, with ``feature``, a digest of the blocks and spans as they were stored."""
+    ``featurize`` but the blocks, with ``feature``, a digest of the blocks and spans as they were stored, and ``tensor``, the
+    overview of the stored rows."""
     spark = stored.sparkSession
     path = path or storage.new_path(spark, "features")
     made = featurize(stored)
     made.write.options(compression="zstd").parquet(path)
-    kept = [f for f in made.schema.fields if f.name != "blocks"]
-    schema = T.StructType([*[f for f in kept if f.name not in ("tensor", "spans")], T.StructField("feature", T.StringType()), *[f for f in kept if f.name in ("tensor", "spans")]])
+    kept = [f for f in made.schema.fields if f.name not in ("spans", "blocks")]
+    schema = T.StructType([*kept, T.StructField("feature", T.StringType()), T.StructField("tensor", T.ArrayType(T.FloatType())), T.StructField("spans", SPANS)])
 
     def run(batches):
         for batch in batches:
             column = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             tensors = as_tensors(pc.struct_field(column["blocks"].flatten(), "mel")).to_numpy_ndarray() if batch.num_rows else []
-            out, at = [], 0
-            for n, found in zip(pc.list_value_length(column["blocks"]).to_pylist(), column["spans"].to_pylist()):
+            out, views, at = [], [], 0
+            for n, payload, found in zip(pc.list_value_length(column["blocks"]).to_pylist(), column["payload_bytes"].to_pylist(), column["spans"].to_pylist()):
                 out.append(f"{n}x{BINS}x{MELS}:{zlib.crc32(tensors[at : at + n].tobytes()):08x}:{len(found)}:{sum(s['end_s'] - s['begin_s'] for s in found):.3f}")
+                views.append(overview(tensors[at : at + n].reshape(-1, MELS)[: payload // UNIT].astype(np.float64)))
                 at += n
-            column["feature"] = pa.array(out, pa.string())
+            column["feature"], column["tensor"] = pa.array(out, pa.string()), _lists(np.array(views))
             yield pa.RecordBatch.from_arrays([column[n] for n in schema.names], schema.names)
 
-    return _shaped(storage.map_arrow(spark.read.schema(made.schema).parquet(path), run, schema))
+    found = storage.map_arrow(spark.read.schema(made.schema).parquet(path), run, schema)
+    # the shape goes with the column into Parquet and back
+    return found.select(*[F.col("tensor").alias("tensor", metadata=TENSOR) if c == "tensor" else F.col(f"`{c}`") for c in found.columns])
 
 
 def as_tensors(column: pa.ChunkedArray | pa.Array) -> pa.Array:

@@ -144,7 +144,7 @@ def test_query_against_plain_features(spark, small, texts):
         n = len(mel)
         cuts = [n * k / 16 for k in range(17)]
         expected = [mel[min(math.floor(a), n - 1) : max(math.ceil(b), min(math.floor(a), n - 1) + 1)].mean(axis=0) for a, b in zip(cuts, cuts[1:])]
-        assert np.allclose(np.array(rows[i].tensor).reshape(16, 20), expected, atol=2e-4)
+        assert np.allclose(np.array(rows[i].tensor).reshape(16, 20), expected, atol=audio.STEP)
         level = mel.mean(axis=1)
         level = (level - level.mean()) / max(level.std(), 1e-12)
         spans, k = [], 0
@@ -157,3 +157,11 @@ def test_query_against_plain_features(spark, small, texts):
             k = end + 1
         assert np.allclose([(s.begin_s, s.end_s) for s in rows[i].spans], spans)
         assert rows[i].feature.split(":")[::2] == [f"{-(-n // 16)}x16x20", str(len(spans))]
+
+
+def test_metadata_named_like_a_result_gives_way(spark, edge):
+    path = storage.new_path(spark, "media")
+    audio.store(edge.withColumn("payload_bytes", F.lit("clash")).withColumn("tensor", F.lit(0)), path, metadata=("doc_id", "payload_bytes", "tensor", "lang"))
+    out = audio.analyse(spark.read.parquet(path))
+    assert out.columns == ["doc_id", "lang", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor", "spans"]
+    assert out.where("payload_bytes >= 192").count() == 9 and len(out.first().tensor) == 320
