@@ -92,17 +92,17 @@ def as_of(asked: DataFrame, known: DataFrame, key: str, at: str, value: str) ->
 
     A null key or moment finds none; of known rows of equal key and moment any one counts.
 
-    Both sides are laid together and ordered within a key's day; what a day begins with comes from the last values of
-    the days before it, of which there is one row each.  So a key may hold any number of rows.
+    Both sides are laid together and ordered within a key's hour; what an hour begins with comes from the last values of
+    the hours before it, of which there is one row each.  So a task sorts a key's hour, never all of a key.
     """
     both = known.select(key, at, value, F.lit(False).alias("__asks")).unionByName(asked.withColumn(value, F.lit(None).cast(known.schema[value].dataType)).withColumn("__asks", F.lit(True)), allowMissingColumns=True)
     held = F.when(~F.col("__asks"), F.struct(F.col(value).alias("v")))  # wrapped: a value may be null itself
-    both = both.withColumn("__day", F.to_date(at)).withColumn("__held", held)
-    daily = both.groupBy(key, "__day").agg(F.max_by("__held", F.when(~F.col("__asks"), F.col(at))).alias("__last"))
-    earlier = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    begins = daily.select(key, "__day", F.last("__last", ignorenulls=True).over(earlier).alias("__begin"))
-    so_far = Window.partitionBy(key, "__day").orderBy(at, "__asks").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__own", F.last("__held", ignorenulls=True).over(so_far)).join(begins, [key, "__day"], "left").where("__asks")
+    both = both.withColumn("__hour", F.unix_date(F.to_date(at)) * 24 + F.hour(at)).withColumn("__held", held)
+    daily = both.groupBy(key, "__hour").agg(F.max_by("__held", F.when(~F.col("__asks"), F.col(at))).alias("__last"))
+    earlier = Window.partitionBy(key).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+    begins = daily.select(key, "__hour", F.last("__last", ignorenulls=True).over(earlier).alias("__begin"))
+    so_far = Window.partitionBy(key, "__hour").orderBy(at, "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__own", F.last("__held", ignorenulls=True).over(so_far)).join(begins, [key, "__hour"], "left").where("__asks")
     latest = F.when(F.col(key).isNotNull() & F.col(at).isNotNull(), F.coalesce("__own", "__begin")["v"])
     return found.select(*[latest.alias(value) if c == value else F.col(c) for c in [*asked.columns, value]])
 
