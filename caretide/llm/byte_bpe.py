@@ -43,6 +43,44 @@ NONE = np.int32(2**31 - 1)
 BOUNDARY = np.int64(65535)
 CACHE_PIECES = 400_000
 ID = np.dtype("<u4")
+IDS_AT_ONCE = 1 << 16  #: ids that are written out in one go
+
+
+class Spelling:
+    """What each id stands for, written out for many ids at once."""
+
+    def __init__(self, of: list[bytes]):
+        self.flat, self.size = np.frombuffer(b"".join(of), np.uint8), np.array([len(x) for x in of], np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+
+    def write(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, and where each ends."""
+        size = self.size[ids]
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.start[ids] - (ends - size), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at].tobytes(), ends
+
+    def hashed(self, coded: list[bytes], trim: int = 0) -> list[str]:
+        """SHA-256 of what each text's ids stand for, less the last ``trim`` bytes; ``IDS_AT_ONCE`` ids in hand at most."""
+        out, lo = [], 0
+        while lo < len(coded):
+            hi, n = lo, 0
+            while hi < len(coded) and (hi == lo or n + len(coded[hi]) // 4 <= IDS_AT_ONCE):
+                n += len(coded[hi]) // 4
+                hi += 1
+            if n > IDS_AT_ONCE:  # one long text
+                sha, ids = hashlib.sha256(), np.frombuffer(coded[lo], ID)
+                for k in range(0, n, IDS_AT_ONCE):
+                    data, _ = self.write(ids[k : k + IDS_AT_ONCE])
+                    sha.update(data[: len(data) - trim] if k + IDS_AT_ONCE >= n else data)
+                out.append(sha.hexdigest())
+            else:
+                data, ends = self.write(np.frombuffer(b"".join(coded[lo:hi]), ID))
+                view, stops = memoryview(data), np.concatenate(([0], ends))[np.cumsum([0, *(len(c) // 4 for c in coded[lo:hi])])].tolist()
+                out += [hashlib.sha256(view[a : max(a, b - trim)]).hexdigest() for a, b in zip(stops, stops[1:])]
+            lo = hi
+        return out
 
 
 class MergeTable:
@@ -58,7 +96,7 @@ class MergeTable:
             self.piece_of[rank] = piece
         if len(self.piece_of) >= BOUNDARY:
             raise ValueError("vocabularies of 65,535 ids or more need wider pair keys")
-        self.decimal = [str(i) for i in range(len(self.piece_of))]
+        self.bytes_of, self.decimal_of = Spelling(self.piece_of), Spelling([b"%d," % i for i in range(len(self.piece_of))])
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for piece, rank in ranks.items():
@@ -203,7 +241,7 @@ class BlockEncoder:
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.table.piece_of.__getitem__, ids.tolist()))
+        return self.table.bytes_of.write(ids)[0]
 
 
 @lru_cache(maxsize=2)
@@ -394,12 +432,10 @@ def _columns(enc: BlockEncoder, coded: list[bytes], outputs: tuple[str, ...]) ->
         made["tokens"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")), type=kind)
     if "n_tokens" in outputs:
         made["n_tokens"] = pa.array([len(c) // 4 for c in coded], pa.int64())
-    sha = lambda data: hashlib.sha256(data).hexdigest()
     if "ids_sha256" in outputs:
-        decimal = enc.table.decimal.__getitem__
-        made["ids_sha256"] = pa.array([sha(",".join(map(decimal, np.frombuffer(c, ID).tolist())).encode()) for c in coded])
+        made["ids_sha256"] = pa.array(enc.table.decimal_of.hashed(coded, trim=1), pa.string())
     if "decoded_sha256" in outputs:
-        made["decoded_sha256"] = pa.array([sha(enc.decode(np.frombuffer(c, ID))) for c in coded])
+        made["decoded_sha256"] = pa.array(enc.table.bytes_of.hashed(coded), pa.string())
     return [made[o] for o in outputs]
 
 

@@ -116,3 +116,14 @@ def test_both_ways_give_the_same_rows(edge, empty):
     by_block, by_corpus = (f(named, PATH, public_tokenizers.PATTERN, outputs) for f in (byte_bpe.encode, byte_bpe.encode_by_corpus))
     assert by_block.columns == by_corpus.columns and sorted(map(str, by_block.collect())) == sorted(map(str, by_corpus.collect()))
     assert byte_bpe.encode_by_corpus(empty, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 16])
+def test_digests_in_any_portions(encoder, monkeypatch, at_once):
+    monkeypatch.setattr(byte_bpe, "IDS_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    lists = [[rng.randrange(50_000) for _ in range(n)] for n in (0, 1, 0, 6, 7, 8, 30, 0, 2)]
+    coded = [np.array(x, byte_bpe.ID).tobytes() for x in lists]
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    assert encoder.table.decimal_of.hashed(coded, trim=1) == [sha(",".join(map(str, x)).encode()) for x in lists]
+    assert encoder.table.bytes_of.hashed(coded) == [sha(b"".join(encoder.table.piece_of[i] for i in x)) for x in lists]
