@@ -76,30 +76,31 @@ class HammingIndex:
     def __init__(self, fingerprints: np.ndarray, radius: int = RADIUS, blocks: int = 7):
         self.fingerprints, self.radius = fingerprints.astype(np.uint64), radius
         cuts = [64 * k // blocks for k in range(blocks + 1)]
-        near = radius // blocks
-        self.blocks = []
+        near, starts, items = radius // blocks, [], []
+        self.low, self.mask, self.at = np.array(cuts[:-1], np.uint64), [], []
         for lo, hi in zip(cuts, cuts[1:]):
             width = hi - lo
             masks = np.array([sum(1 << b for b in c) for n in range(near + 1) for c in combinations(range(width), n)], np.int64)
             own = (self.fingerprints >> np.uint64(lo)).astype(np.int64) & ((1 << width) - 1)
             keys = (own[:, None] ^ masks).ravel()
-            items = np.repeat(np.arange(len(own)), len(masks))
             order = np.argsort(keys, kind="stable")
-            starts = np.searchsorted(keys[order], np.arange((1 << width) + 1))
-            self.blocks.append((lo, (1 << width) - 1, starts, items[order].astype(np.int32)))
+            self.mask.append((1 << width) - 1)
+            self.at.append(sum(map(len, starts)))
+            starts.append(np.searchsorted(keys[order], np.arange((1 << width) + 1)) + sum(map(len, items)))
+            items.append(np.repeat(np.arange(len(own), dtype=np.int32), len(masks))[order])
+        # all blocks end to end, so that a query looks into them in one go
+        self.mask, self.at, self.starts, self.items = np.array(self.mask, np.uint64), np.array(self.at), np.concatenate(starts), np.concatenate(items)
 
     def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a query's and a fingerprint's index, in order."""
-        found = [np.zeros(0, np.int64)]
-        for lo, mask, starts, items in self.blocks:
-            value = (queries >> np.uint64(lo)).astype(np.int64) & mask
-            counts = starts[value + 1] - starts[value]
-            query = np.repeat(np.arange(len(queries)), counts)
-            at = np.arange(len(query)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[value][query]
-            item = items[at]
-            near = np.bitwise_count(self.fingerprints[item] ^ queries[query]) <= self.radius
-            found.append(query[near] * len(self.fingerprints) + item[near])
-        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.fingerprints)))
+        value = (((queries[:, None] >> self.low) & self.mask).astype(np.int64) + self.at).ravel()
+        first = self.starts[value]
+        counts = self.starts[value + 1] - first
+        total = int(counts.sum())
+        query = np.repeat(np.arange(len(value)) // len(self.at), counts)
+        item = self.items[np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(total)]
+        near = np.bitwise_count(self.fingerprints[item] ^ queries[query]) <= self.radius
+        return np.divmod(np.unique(query[near] * len(self.fingerprints) + item[near]), max(1, len(self.fingerprints)))
 
 
 class Benchmark:
