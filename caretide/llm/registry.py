@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import audio, byte_bpe, decontaminate, html_text, pii, sharding, simhash, token_store, toxicity, url_rules
+from caretide.llm import audio, byte_bpe, decontaminate, filter_audit, html_text, merkle, mixing, pii, sharding, simhash, token_store, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.query,
@@ -19,8 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": url_rules.query,
     "op9_toxicity": toxicity.query,
     "op10_audio": audio.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_merkle": merkle.query,
+    "op13_mixing": mixing.query,
 }
 
 ORACLES: dict[str, str] = {
     "op8_url_rules": url_rules.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
+    "op13_mixing": mixing.ORACLE_SQL,
 }
