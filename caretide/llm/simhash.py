@@ -22,6 +22,7 @@ rows; the result has its own columns, so names of others cannot clash.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -225,12 +226,21 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = further
 
 
+def _cut(n: int, varying: int) -> int:
+    """Into how many blocks to cut the varying bits of ``n`` rows: with b of them pairs within the threshold agree on some
+    b - THRESHOLD, for each choice of which a row is compared with those of equal content.  More blocks make more choices
+    and fewer rows of equal content; the number of blocks with the least work follows the number of rows, so that the work
+    of a row hardly does."""
+    work = lambda b: comb(b, THRESHOLD) * (1 + n / 2 ** (varying * (b - THRESHOLD) / b))
+    return min(range(THRESHOLD + 1, THRESHOLD + 9), key=work)
+
+
 def _dense_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A forest of all links among many different fingerprints that meet.
 
     Rows that differ in one bit are joined by lookups.  Of the others, pairs within the threshold agree on some of the
     blocks that the varying bits are cut into; only rows outside the largest group so far are compared, each with
-    those of equal content.
+    those of equal content.  Where very many rows have one content, their other bits are cut in turn.
     """
     order = np.argsort(fps.view(np.uint64), kind="stable")
     rows = fps.view(np.uint64)[order]
@@ -245,7 +255,7 @@ def _dense_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(rows, other), n - 1)
         hit = rows[at] == other
         _merge(root, low[hit], at[hit])
-    blocks = THRESHOLD + 2 if n < 200_000 else THRESHOLD + 3
+    blocks = _cut(n, len(bits))
     masks = [sum(1 << int(b) for b in block) for block in np.array_split(np.array(bits, np.int64), blocks)]
     for chosen in combinations(masks, blocks - THRESHOLD):
         largest = np.bincount(root, minlength=n).argmax()
@@ -254,10 +264,17 @@ def _dense_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         content = rows & np.uint64(sum(chosen))
         by = np.argsort(content, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], content[by][1:] != content[by][:-1], [True])))
-        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        sizes = np.diff(cuts)
+        group = np.repeat(np.arange(len(sizes)), sizes)
         open_ = np.flatnonzero(root[by] != largest)
-        open_ = open_[np.diff(cuts)[group[open_]] > 1]
-        for a, b in _pairs(open_, cuts[group[open_]], np.diff(cuts)[group[open_]]):
+        crowds = np.unique(group[open_[(sizes[group[open_]] > DENSE) & (sizes[group[open_]] < n)]])
+        for g in crowds.tolist():  # the bits chosen are the same in all of them, so fewer vary
+            own = by[cuts[g] : cuts[g + 1]]
+            a, b = _dense_links(rows[own].view(np.int64))
+            _merge(root, own[a], own[b])
+        few = (sizes > 1) & ~np.isin(np.arange(len(sizes)), crowds)
+        open_ = open_[few[group[open_]]]
+        for a, b in _pairs(open_, cuts[group[open_]], sizes[group[open_]]):
             a, b = by[a], by[b]
             near = close(rows[a].view(np.int64), rows[b].view(np.int64))
             _merge(root, a[near], b[near])

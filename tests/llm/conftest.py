@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import sys
+
 import pytest
 
 COLUMNS = "doc_id long, text string, lang string, `a.b` int"
@@ -21,3 +23,29 @@ def empty(spark):
 @pytest.fixture(scope="session")
 def texts(spark, small):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="session")
+def lines_run():
+    """How many lines of this library a call runs: work that a busy machine does not change."""
+
+    def count(f, *args):
+        n = 0
+
+        def within(frame, event, _):
+            nonlocal n
+            n += event == "line"
+            return within
+
+        def entered(frame, event, _):
+            return within if "caretide" in frame.f_code.co_filename else None
+
+        before = sys.gettrace()
+        sys.settrace(entered)
+        try:
+            f(*args)
+        finally:
+            sys.settrace(before)
+        return n
+
+    return count

@@ -3,9 +3,10 @@ from __future__ import annotations
 import itertools
 import random
 import re
-import time
+from math import comb
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -121,15 +122,50 @@ def test_dense_links_of_every_shape():
         assert (simhash.local_stars(len(fps), a, b) == full).all() and len(a) == len(fps) - len(set(full.tolist()))
 
 
-def test_many_fingerprints_that_share_a_triple_are_not_compared_all_with_all():
-    rng = np.random.default_rng(4)
-    took = []
-    for n in (25_000, 200_000):
+@pytest.fixture
+def compared(monkeypatch):
+    """How many comparisons are made, as a list of counts."""
+    counts, pairs = [], simhash._pairs
+
+    def counting(*args):
+        for a, b in pairs(*args):
+            counts.append(len(a))
+            yield a, b
+
+    monkeypatch.setattr(simhash, "_pairs", counting)
+    return counts
+
+
+def test_many_fingerprints_that_share_a_triple_are_not_compared_all_with_all(compared):
+    """Eight times the rows, 20 times the comparisons and sorted rows: all with all would be 64 times as many."""
+    rng, work = np.random.default_rng(4), []
+    for n in (12_500, 100_000):
+        compared.clear()
         fps = (rng.integers(0, 1 << 34, n, dtype=np.uint64) << np.uint64(30)) | np.uint64(12345)
-        began = time.process_time()
         simhash._dense_links(np.unique(fps).view(np.int64))
-        took.append(time.process_time() - began)
-    assert took[1] < 40 * took[0] + 0.5 and took[1] < 30  # all with all would be 64 times the work
+        work.append(sum(compared) + n * comb(simhash._cut(n, 34), simhash.THRESHOLD))
+    assert work[1] < 24 * work[0] and work[1] < 300 * 100_000
+
+
+def test_blocks_follow_the_rows():
+    """By the estimate a row's work, sorting included, stays within a small factor from a thousand rows to a hundred million."""
+    work = [comb(b, 4) * (1 + n / 2 ** (34 * (b - 4) / b)) for n in (10**3, 10**4, 10**5, 10**6, 10**7) for b in (simhash._cut(n, 34),)]
+    assert work == sorted(work) and work[-1] < 120 * work[0]
+
+
+def test_a_crowd_of_equal_content_is_cut_again(compared):
+    """Most rows differ in a few places only of those that vary at all, so that some blocks are the same in nearly all."""
+    rng = np.random.default_rng(7)
+    crowd = rng.integers(0, 1 << 20, 20_000, dtype=np.uint64) << np.uint64(40)
+    stray = rng.integers(0, 1 << 63, 2_000, dtype=np.uint64)
+    fps = np.unique(np.concatenate((crowd, stray))).view(np.int64)
+    a, b = simhash._dense_links(fps)
+    assert sum(compared) < 0.1 * len(fps) ** 2
+    sample = np.concatenate((fps[:3000], fps[-1500:]))
+    got = simhash.local_stars(len(fps), a, b)
+    label = dict(zip(fps.tolist(), got.tolist()))
+    for x, y in zip(*np.nonzero(simhash.close(sample[:, None], sample))):
+        assert label[int(sample[x])] == label[int(sample[y])]
 
 
 def test_hot_anchors_are_split(spark):
