@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from caretide.operators.cells import carried, hour
+
 
 def by_key(df: DataFrame, **key) -> DataFrame:
     """Rows whose columns equal the values; the equalities are pushed to the scan."""
@@ -90,23 +92,13 @@ def positioned(df: DataFrame, cells: Column | list[Column | list[Column]], order
 def as_of(asked: DataFrame, known: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """``asked`` with the ``value`` of the latest row of ``known`` of the same key at or before the moment, null if none.
 
-    A null key or moment finds none; of known rows of equal key and moment any one counts.
-
-    Both sides are laid together and ordered within a key's hour; what an hour begins with comes from the last values of
-    the hours before it, of which there is one row each.  So a task sorts a key's hour, never all of a key.
+    A null key or moment finds none, and does not meet others in one place; of known rows of equal key and moment any one
+    counts.  Both sides are laid together in hours of a key, so a task sorts a key's hour, never all of a key.
     """
-    both = known.select(key, at, value, F.lit(False).alias("__asks")).unionByName(asked.withColumn(value, F.lit(None).cast(known.schema[value].dataType)).withColumn("__asks", F.lit(True)), allowMissingColumns=True)
     held = F.when(~F.col("__asks"), F.struct(F.col(value).alias("v")))  # wrapped: a value may be null itself
-    both = both.withColumn("__hour", F.unix_date(F.to_date(at)) * 24 + F.hour(at)).withColumn("__held", held)
-    daily = both.groupBy(key, "__hour").agg(F.max_by("__held", F.when(~F.col("__asks"), F.col(at))).alias("__last"))
-    earlier = Window.partitionBy(key).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    begins = daily.select(key, "__hour", F.last("__last", ignorenulls=True).over(earlier).alias("__begin"))
-    so_far = Window.partitionBy(key, "__hour").orderBy(at, "__asks").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__own", F.last("__held", ignorenulls=True).over(so_far)).join(begins, [key, "__hour"], "left").where("__asks")
-    latest = F.when(F.col(key).isNotNull() & F.col(at).isNotNull(), F.coalesce("__own", "__begin")["v"])
-    return found.select(*[latest.alias(value) if c == value else F.col(c) for c in [*asked.columns, value]])
-
-
-def ranked_within(df: DataFrame, group: list[str], order: list[Column], into: str = "position") -> DataFrame:
-    """The place in a group that is known to be small; ``positioned`` takes groups of any size."""
-    return df.withColumn(into, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
+    blank = asked.withColumn(value, F.lit(None).cast(known.schema[value].dataType)).withColumn("__asks", F.lit(True))
+    # a known row without a key or a moment is found by none
+    both = known.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, value, F.lit(False).alias("__asks")).unionByName(blank, allowMissingColumns=True)
+    # of one moment the known rows come first
+    found = carried(both, [key], hour(at), [at, "__asks"], held, "__found").where("__asks")
+    return found.select(*[F.col("__found")["v"].alias(value) if c == value else F.col(c) for c in [*asked.columns, value]])

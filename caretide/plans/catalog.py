@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from caretide import schemas
 from caretide.functions import clinical, dims
-from caretide.operators import changes, nested, reads, records
-from caretide.sources import roles, scratch, tables
+from caretide.operators import changes, intervals, nested, reads, records, summaries, trends
+from caretide.sources import roles, scratch, tables, versions
 from caretide.sources.roles import with_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,8 +572,9 @@ def server_defaults(spark, sf):
 @query("""SELECT p_partkey AS code, p_type AS kind, CAST(round(p_retailprice) AS BIGINT) AS fitness, rank FROM
 (SELECT *, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part)""")
 def code_candidates(spark, sf):
-    """Every candidate of its group, best first."""
-    ranked = reads.positioned(tables.table(spark, sf, "part"), -F.floor("p_retailprice"), [F.col("p_retailprice").desc(), F.col("p_partkey")], "rank", within=["p_type", "p_brand"])
+    """Every candidate of its group, best first; prices are whole cents."""
+    cents = F.round(F.col("p_retailprice") * 100)
+    ranked = reads.positioned(tables.table(spark, sf, "part"), [-F.floor("p_retailprice"), [-cents, *reads.by_id("p_partkey")]], [F.col("p_retailprice").desc(), F.col("p_partkey")], "rank", within=["p_type", "p_brand"])
     return ranked.select(F.col("p_partkey").alias("code"), F.col("p_type").alias("kind"), F.round("p_retailprice").cast("long").alias("fitness"), "rank")
 
 
@@ -642,9 +643,9 @@ def constraint_rejects(spark, sf):
     return batch.select("seq", changes.first_code(*changes.constraint_checks("patients", ["name", "gender"])).alias("code"))
 
 
-@query(with_roles("patients") + """, top AS (SELECT max(id) AS t FROM patients) SELECT o_orderkey AS seq, t + row_number() OVER (ORDER BY o_orderkey) AS id FROM orders, top WHERE o_orderstatus = 'P'""")
+@query(with_roles("patients") + """, top AS (SELECT max(id) AS t FROM patients) SELECT o_orderkey AS seq, t + row_number() OVER (ORDER BY o_orderkey) AS id FROM orders, top""")
 def generated_ids(spark, sf):
-    accepted = tables.table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("seq"))
+    accepted = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"))
     return changes.with_ids(roles.patients(spark, sf).select("id"), accepted)
 
 
@@ -755,11 +756,82 @@ SELECT id, arg_max(status, seq) AS status, max(seq) AS last_seq, count(*) AS n_c
 def committed_state(spark, sf):
     """Three batches are committed to a log, one of them twice, and the state is read back from it."""
     log = tables.table(spark, sf, "orders").select((F.col("o_orderkey") % 3).alias("batch"), F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    path = scratch.new_path(spark, "commands")
+    kept = versions.Versions(spark, scratch.new_path(spark, "commands"), log.schema)
     for k in (0, 1, 2, 1):
-        tables.commit(log.where(F.col("batch") == k), path, k)
-    stored = tables.committed(spark, path, log.schema)
-    return stored.groupBy("id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("last_seq"), F.count("*").alias("n_commands"), F.count_distinct("batch").alias("n_batches"))
+        kept.commit(log.where(F.col("batch") == k), k)
+    return kept.tail().groupBy("id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("last_seq"), F.count("*").alias("n_commands"), F.count_distinct("batch").alias("n_batches"))
+
+
+def last_of(before: DataFrame, batches: DataFrame) -> DataFrame:
+    """A snapshot and the batches after it as one row for each key; sums combine before the shuffle."""
+    both = before.unionByName(batches)
+    return both.groupBy("id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"), F.sum("n").alias("n"))
+
+
+@query("""SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) AS seq, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1""")
+def snapshot_and_tail(spark, sf):
+    """Five batches: two are folded into a snapshot, two more follow it, and so does a late first one; the state is snapshot
+    and tail together."""
+    log = tables.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"), F.lit(1).cast("long").alias("n"))
+    kept = versions.Versions(spark, scratch.new_path(spark, "versions"), log.schema)
+    batch = lambda k: log.where(F.col("seq") % 5 == k)
+    for k in (1, 2):
+        kept.commit(batch(k), k)
+    kept.compact(last_of)
+    for k in (3, 4, 0, 3):
+        kept.commit(batch(k), k)
+    return kept.state(last_of)
+
+
+def commands(spark: SparkSession, sf: str) -> DataFrame:
+    """Inserts, patches and deletes of patients in one log; a third of them are of one patient."""
+    k = F.col("o_orderkey")
+    op = F.when((k % 5).isin(0, 1), "insert").when(k % 5 == 2, "delete").otherwise("patch")
+    names = F.when(k % 4 == 1, F.array(F.lit("gender"))).when(k % 4 == 2, F.array(F.lit("name"))).otherwise(F.array(F.lit("name"), F.lit("gender")))
+    name = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, F.repeat(F.col("o_orderpriority"), F.lit(20))).otherwise(F.col("o_orderpriority"))
+    return tables.table(spark, sf, "orders").select(
+        F.when(k % 3 == 0, F.lit(77).cast("long")).otherwise(F.col("o_custkey") + 50).alias("number"), k.alias("seq"), op.alias("op"), names.alias("set_fields"),
+        name.alias("name"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("gender"), (k % 13 == 0).alias("held"),
+    )
+
+
+COMMANDS_SQL = """WITH log AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 77 ELSE o_custkey + 50 END AS number, o_orderkey AS seq, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'insert' WHEN o_orderkey % 5 = 2 THEN 'delete' ELSE 'patch' END AS op,
+  o_orderkey % 4 <> 1 AS n, o_orderkey % 4 <> 2 AS g, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN repeat(o_orderpriority, 20) ELSE o_orderpriority END AS name,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS gender, o_orderkey % 13 = 0 AS held FROM orders),
+e AS (SELECT *, name IS NULL OR length(name) > 100 OR coalesce(length(gender) > 20, false) AS bad, n AND (name IS NULL OR length(name) > 100) OR g AND coalesce(length(gender) > 20, false) AS bad_patch FROM log),
+s AS (SELECT e.*, coalesce(last_value(CASE WHEN op = 'insert' AND NOT bad THEN true WHEN op = 'delete' AND NOT held THEN false END IGNORE NULLS)
+  OVER (PARTITION BY number ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c.c_custkey IS NOT NULL) AS there FROM e LEFT JOIN customer c ON e.number = c.c_custkey),
+judged AS (SELECT *, CASE op WHEN 'insert' THEN CASE WHEN bad THEN 422 WHEN there THEN 409 END WHEN 'patch' THEN CASE WHEN NOT there THEN 404 WHEN bad_patch THEN 422 END
+  ELSE CASE WHEN NOT there THEN 404 WHEN held THEN 409 END END AS code FROM s)
+"""
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    state = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("number"))
+    checks, patches = changes.constraint_checks("patients", ["name", "gender"]), changes.patch_checks("patients", ["name", "gender"])
+    return changes.replayed(state, commands(spark, sf), checks, patches, "number", held=F.col("held"))
+
+
+@query(COMMANDS_SQL + "SELECT number, seq, op, code FROM judged")
+def command_log(spark, sf):
+    """Every command with its code, judged by what those before it have left."""
+    return _judged(spark, sf).select("number", "seq", "op", "code")
+
+
+@query(COMMANDS_SQL + """, f AS (SELECT number, arg_max(op, seq) FILTER (WHERE op <> 'patch') AS last_op, arg_max_null(name, seq) FILTER (WHERE op = 'insert' OR op = 'patch' AND n) AS name, bool_or(op = 'insert' OR op = 'patch' AND n) AS n,
+  arg_max_null(gender, seq) FILTER (WHERE op = 'insert' OR op = 'patch' AND g) AS gender, bool_or(op = 'insert' OR op = 'patch' AND g) AS g FROM judged WHERE code IS NULL GROUP BY 1)
+SELECT coalesce(f.number, c.c_custkey) AS number, CASE WHEN coalesce(f.n, false) THEN f.name ELSE c.c_name END AS name, CASE WHEN coalesce(f.g, false) THEN f.gender ELSE c.c_mktsegment END AS gender
+FROM customer c FULL JOIN f ON c.c_custkey = f.number WHERE coalesce(f.last_op = 'insert', c.c_custkey IS NOT NULL)""")
+def command_log_state(spark, sf):
+    """Patients as the whole log leaves them."""
+    state = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("number"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("gender"))
+    return changes.state_after(state, _judged(spark, sf), ["name", "gender"], "number")
+
+
+@query(COMMANDS_SQL + """SELECT number, count(*) FILTER (WHERE code IS NULL) AS n_accepted, count(code) AS n_refused, min(seq) FILTER (WHERE code IS NOT NULL) AS first_refused, arg_min(code, seq) FILTER (WHERE code IS NOT NULL) AS first_code
+FROM judged GROUP BY 1""")
+def first_refusals(spark, sf):
+    return changes.refusals(_judged(spark, sf), "number")
 
 
 @query("""WITH log AS (SELECT o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 11 = 0 THEN 'delete' ELSE 'patch' END AS op FROM orders),
@@ -769,12 +841,12 @@ def commands_after_delete(spark, sf):
     return changes.after_deletes(tables.table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), op.alias("op")))
 
 
-@query(with_roles("patients", "visits") + """, asked AS (SELECT DISTINCT c_custkey + 20 AS id FROM customer)
-SELECT a.id, CASE WHEN p.id IS NULL THEN 404 WHEN a.id IN (SELECT patient_id FROM visits WHERE status = 'active' AND triage_level = 1) THEN 409 END AS code FROM asked a LEFT JOIN patients p ON a.id = p.id""")
+@query(with_roles("patients", "visits") + """, asked AS (SELECT o_orderkey AS seq, o_custkey + 20 AS id FROM orders)
+SELECT a.seq, a.id, CASE WHEN p.id IS NULL THEN 404 WHEN a.id IN (SELECT patient_id FROM visits) THEN 409 WHEN row_number() OVER (PARTITION BY a.id ORDER BY a.seq) > 1 THEN 404 END AS code FROM asked a LEFT JOIN patients p ON a.id = p.id""")
 def delete_restrict(spark, sf):
-    asked = tables.table(spark, sf, "customer").select((F.col("c_custkey") + 20).alias("id"))
-    urgent = roles.visits(spark, sf).where("status = 'active' AND triage_level = 1")
-    return changes.delete(roles.patients(spark, sf), asked, urgent, "patient_id")
+    """Patients with any visit stay; of others the first delete is accepted and the next ones find no row."""
+    asked = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") + 20).alias("id"))
+    return changes.delete(roles.patients(spark, sf), asked, roles.visits(spark, sf), "patient_id")
 
 
 @query(with_roles("vitals") + "SELECT visit_id, count(*) AS n FROM vitals WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = 'error') GROUP BY 1")
@@ -783,10 +855,10 @@ def delete_apply(spark, sf):
     return changes.surviving(roles.vitals(spark, sf), gone).groupBy("visit_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, count(*) AS n_actions FROM events WHERE event_type = 'click' GROUP BY 1")
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_actions FROM events WHERE event_type = 'click' GROUP BY 1")
 def alert_actions(spark, sf):
     done = tables.table(spark, sf, "events").where(F.col("event_type") == "click").select("user_id", "ts", "event_id")
-    return changes.latest(done, ["user_id"], "ts", ["event_id"])
+    return changes.latest(done, ["user_id"], "ts", ["event_id"], "event_id")
 
 
 # Views ----------------------------------------------------------------------------------------------------------------
@@ -843,4 +915,114 @@ def prediction_as_of(spark, sf):
     return reads.as_of(v, p, "visit_id", "at", "percent").select(F.col("visit_id").alias("id"), F.col("at").alias("arrival_time"), "percent")
 
 
+# Time ----------------------------------------------------------------------------------------------------------------
+
+
+STAYS_SQL = with_roles("vitals") + """, stays AS (SELECT event_id AS stay, user_id AS visit_id, ts AS begins, CASE WHEN event_id % 9 <> 0 THEN ts + to_hours(CAST(floor(value / 3) AS INTEGER)) END AS ends FROM events WHERE event_type = 'signup')
+"""
+
+
+def stays(spark: SparkSession, sf: str) -> DataFrame:
+    """Stays of a visit's key, overlapping ones, empty ones and open ones among them."""
+    hours = F.make_dt_interval(hours=F.floor(F.col("value") / 3).cast("int"))
+    begun = tables.table(spark, sf, "events").where(F.col("event_type") == "signup")
+    return begun.select(F.col("event_id").alias("stay"), F.col("user_id").alias("visit_id"), F.col("ts").alias("begins"), F.when(F.col("event_id") % 9 != 0, F.col("ts") + hours).alias("ends"))
+
+
+@query(STAYS_SQL + "SELECT v.id, v.visit_id, v.metric, s.stay FROM vitals v JOIN stays s ON v.visit_id = s.visit_id AND v.measured_at >= s.begins AND (s.ends IS NULL OR v.measured_at < s.ends)")
+def vitals_within_stays(spark, sf):
+    """Every measurement with each stay that holds it."""
+    measured = roles.vitals(spark, sf).select("id", "visit_id", "metric", "measured_at")
+    return intervals.within(measured, stays(spark, sf), "visit_id", "measured_at", "begins", "ends", ["stay"]).select("id", "visit_id", "metric", "stay")
+
+
+@query(STAYS_SQL + """SELECT s.stay, count(v.id) AS n, min(v.measured_at) AS first_at, max(v.measured_at) AS last_at FROM stays s LEFT JOIN vitals v ON v.visit_id = s.visit_id AND v.measured_at >= s.begins AND (s.ends IS NULL OR v.measured_at < s.ends) GROUP BY 1""")
+def stay_coverage(spark, sf):
+    """How many measurements each stay holds, stays without any included."""
+    held = intervals.within(roles.vitals(spark, sf).select("id", "visit_id", "measured_at"), stays(spark, sf), "visit_id", "measured_at", "begins", "ends", ["stay"])
+    counted = held.groupBy("stay").agg(F.count("*").alias("__n"), F.min("measured_at").alias("first_at"), F.max("measured_at").alias("last_at"))
+    return stays(spark, sf).select("stay").join(counted, "stay", "left").select("stay", F.coalesce("__n", F.lit(0)).cast("long").alias("n"), "first_at", "last_at")
+
+
+def _runs_sql(sign: str) -> str:
+    return with_roles("vitals") + f""", o AS (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS nth FROM vitals WHERE value IS NOT NULL WINDOW w AS (PARTITION BY visit_id, metric ORDER BY measured_at, id)),
+g AS (SELECT *, sum(CASE WHEN value {sign} before THEN 0 ELSE 1 END) OVER (PARTITION BY visit_id, metric ORDER BY nth) AS run FROM o)
+SELECT visit_id, metric, min(measured_at) AS from_time, max(measured_at) AS to_time, count(*) AS n, arg_min(value, nth) AS first_value, arg_max(value, nth) AS last_value FROM g GROUP BY visit_id, metric, run HAVING count(*) >= 3"""
+
+
+@query(_runs_sql(">"))
+def sustained_rises(spark, sf):
+    """Three or more measurements of a kind in turn, each above the one before."""
+    return trends.sustained(roles.vitals(spark, sf), ["visit_id", "metric"], "measured_at", "id", "value")
+
+
+@query(_runs_sql("<"))
+def sustained_falls(spark, sf):
+    return trends.sustained(roles.vitals(spark, sf), ["visit_id", "metric"], "measured_at", "id", "value", rising=False)
+
+
+@query(with_roles("vitals") + """SELECT visit_id, id, measured_at, count(cents) OVER w AS n, CAST(sum(cents) OVER w AS DOUBLE) / nullif(count(cents) OVER w, 0) AS mean, min(cents) OVER w AS lowest, max(cents) OVER w AS highest
+FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM vitals) WINDOW w AS (PARTITION BY visit_id ORDER BY measured_at RANGE BETWEEN INTERVAL 4 HOURS PRECEDING AND CURRENT ROW)""")
+def last_four_hours(spark, sf):
+    """Mean and extremes, in hundredths, of a visit's values in the four hours up to each measurement."""
+    cents = roles.vitals(spark, sf).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    found = trends.recent(cents, "visit_id", "measured_at", "id", "cents")
+    return found.select("visit_id", "id", "measured_at", "n", trends.mean(F.col("total"), F.col("n")).alias("mean"), "lowest", "highest")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 HOURS THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT user_id, min(ts) AS from_time, max(ts) + INTERVAL 3 HOURS AS to_time, count(*) AS n FROM g GROUP BY user_id, s""")
+def activity_sessions(spark, sf):
+    """Events of a user less than three hours apart, as sessions."""
+    return summaries.sessions(tables.table(spark, sf, "events"), ["user_id"], "ts", "3 hours")
+
+
+# Summaries ------------------------------------------------------------------------------------------------------------
+
+
+@query(with_roles("beds") + """, b AS (SELECT zone, CASE WHEN bed_id % 10 > 0 THEN ward END AS ward, status FROM beds)
+SELECT zone, ward, status, CAST(grouping(zone, ward, status) AS INTEGER) AS level, count(*) AS n FROM b GROUP BY GROUPING SETS ((zone, ward, status), (zone, ward), (zone, status), (zone), (status), ())""")
+def bed_subtotals(spark, sf):
+    """Beds with all their subtotals; a bed without a ward is no subtotal over wards."""
+    unassigned = roles.beds(spark, sf).withColumn("ward", F.when(F.col("bed_id") % 10 > 0, F.col("ward")))
+    return summaries.subtotals(unassigned, ["zone", "ward", "status"], [["zone", "ward", "status"], ["zone", "ward"], ["zone", "status"], ["zone"], ["status"], []], F.count("*").alias("n"))
+
+
+@query("""WITH spans(days) AS (VALUES (1), (7), (30)), e AS (SELECT event_type, user_id, CAST(ts AS DATE) AS day, value FROM events), t AS (SELECT max(day) AS today FROM e),
+x AS (SELECT e.event_type, s.days, count(DISTINCT user_id) AS users, count(*) AS n FROM e, t, spans s WHERE day > today - s.days GROUP BY ALL)
+SELECT event_type, CAST(days AS INTEGER) AS days, users, n, true AS users_within, true AS median_within FROM x""")
+def activity_sketches(spark, sf):
+    """Users and median value of the last day, week and month from stored daily sketches, beside the exact counts: whether the
+    error is within what the sketches promise."""
+    events = tables.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
+    daily = summaries.stored_sketches(events, ["event_type", "day"], "user_id", "value")
+    return summaries.compared(events, daily, ["event_type"], "day", "user_id", "value", (1, 7, 30))
+
+
+@query("""WITH a AS (SELECT o_custkey AS id, o_orderstatus AS status, substr(o_orderpriority, 1, 1) AS level, count(*) AS n FROM orders WHERE o_orderkey % 4 > 0 GROUP BY ALL),
+b AS (SELECT o_custkey AS id, CASE WHEN o_orderkey % 10 > 0 THEN o_orderstatus END AS status, substr(o_orderpriority, 1, 1) AS level, count(*) AS n FROM orders WHERE o_orderkey % 4 < 3 GROUP BY ALL)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL THEN a.status ELSE b.status END AS status, CASE WHEN a.id IS NOT NULL THEN a.level ELSE b.level END AS level, coalesce(b.n, 0) - coalesce(a.n, 0) AS n_more
+FROM a FULL JOIN b ON a.id = b.id AND a.status IS NOT DISTINCT FROM b.status AND a.level IS NOT DISTINCT FROM b.level WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def version_difference(spark, sf):
+    """Rows that one version of a table has more or less often than another, repeats counted."""
+    k, own = F.col("o_orderkey"), tables.table(spark, sf, "orders")
+    rows = lambda status: (F.col("o_custkey").alias("id"), status.alias("status"), F.substring("o_orderpriority", 1, 1).alias("level"))
+    before, after = own.where(k % 4 > 0).select(*rows(F.col("o_orderstatus"))), own.where(k % 4 < 3).select(*rows(F.when(k % 10 > 0, F.col("o_orderstatus"))))
+    return summaries.difference(before, after)
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 5 > 0), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 6 > 0)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'gone' ELSE 'changed' END AS kind,
+CASE WHEN a.id IS NULL OR b.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.status IS DISTINCT FROM b.status THEN 'status' END, CASE WHEN a.price IS DISTINCT FROM b.price THEN 'price' END) END AS fields
+FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.status IS DISTINCT FROM b.status OR a.price IS DISTINCT FROM b.price""")
+def changed_rows(spark, sf):
+    """Rows added, gone, and changed with the names of the fields, between two versions with a key."""
+    k, own = F.col("o_orderkey"), tables.table(spark, sf, "orders")
+    before = own.where(k % 5 > 0).select(k.alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    after = own.where(k % 6 > 0).select(k.alias("id"), F.when(k % 3 > 0, F.col("o_orderstatus")).alias("status"), F.when(k % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("price"))
+    changed = summaries.changes_by_key(before, after, ["id"])
+    return changed.select("id", "kind", F.array_join("fields", ",").alias("fields"))
+
+
 assert set(schemas.PATCHABLE) < set(schemas.DDL)

@@ -159,6 +159,9 @@ def test_insert_unique(spark):
     batch = spark.createDataFrame([(1, "p1"), (2, "p2"), (3, "p2"), (4, None)], "seq long, k string")
     judged = changes.insert_unique(state, batch, "k")
     assert {r.seq: r.code for r in judged.collect()} == {1: 409, 2: None, 3: 409, 4: 422}
+    named = spark.createDataFrame([(1, "p5", None), (2, "p5", "x"), (3, "p5", "y"), (4, "p1", None)], "seq long, k string, name string")
+    judged = changes.insert_unique(state, named, "k", (F.col("name").isNull(), changes.MALFORMED))
+    assert {r.seq: r.code for r in judged.collect()} == {1: 422, 2: None, 3: 409, 4: 422}  # a refused insert leaves its key free
 
 
 def test_missing_parent_comes_before_bad_score(spark):
@@ -259,9 +262,9 @@ def test_a_scope_ends_its_own_session(monkeypatch):
 def test_deletes(spark):
     state = spark.createDataFrame([(1,), (2,)], "id long")
     kids = spark.createDataFrame([(2,)], "parent long")
-    commands = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    commands = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 1), (5, None)], "seq long, id long")
     judged = changes.delete(state, commands, kids, "parent")
-    assert {r.id: r.code for r in judged.collect()} == {1: None, 2: 409, 3: 404}
+    assert {r.seq: r.code for r in judged.collect()} == {1: None, 2: 409, 3: 404, 4: 404, 5: 404}
     assert rows(changes.surviving(state, judged.where("code is null")), "id") == [(2,)]
     log = spark.createDataFrame([(1, 1, "patch"), (1, 2, "delete"), (1, 3, "patch"), (1, 4, "delete")], "id long, seq long, op string")
     assert {r.seq: r.code for r in changes.after_deletes(log).collect()} == {1: None, 2: None, 3: 404, 4: 404}
