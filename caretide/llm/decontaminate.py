@@ -9,9 +9,12 @@ number of occurrences, decides.  A document with fewer shingles than an item is
 long and near enough are found exactly by the shingles that they share.  An item of fewer than five words is one shingle
 of its own words, looked for in word windows of its own length.
 
-Equal items are looked for once.  The benchmark is taken in blocks of bounded bytes; only such a block is ever sent to
-tasks.  Where there are several, one pass over the documents first keeps those that can match any item at all, by a filter
-of fixed size over the shingles of the whole benchmark, and the blocks are compared with these alone.
+Equal items are looked for once.  A benchmark of at most ``SENT_BYTES`` of text is sent to the tasks, a size that is measured
+first.  A larger one never passes through the driver.  One pass over the documents keeps those that can match any item at
+all, by a filter of fixed size over the shingles of the whole benchmark.  A match shares so many shingles with its item that it
+has one of any fifth of them; the fifth that the fewest items have names an item, and a join of these shingles with those
+of the documents gives every pair that can match.  Pairs are dealt to tasks by document and a part of the items, and there the
+windows of the document are compared with those items as above.
 
 Defined cases: null and empty texts and items match nothing; a document of fewer than five words matches short items that
 stand in it; items of equal text all match, items of null id too; of an item's windows with equal similarity one stays, always
@@ -36,6 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from caretide.llm import storage
 from caretide.llm.simhash import majority
@@ -43,8 +47,11 @@ from caretide.llm.simhash import majority
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20  #: shingle sets of similarity 0.8 differ in about 10 of 64 bits, with a deviation of 3
-BLOCK_BYTES = 16 << 20  #: benchmark text that is handled at once; one longer item is a block of its own and others
-FILTER_BITS = 30  #: 2 to this power bits (128 MiB) tell which shingles may stand in a benchmark of several blocks
+SENT_BYTES = 16 << 20  #: benchmark text that may be sent to tasks
+FILTER_BITS = 30  #: 2 to this power bits (128 MiB) at most tell which shingles may stand in a larger benchmark
+KEY_BITS = 10  #: 2 to this power bits for each of its shingles, while there is room; each sets two
+MANY_SIZES = 1000  #: above so many sizes of items the filter counts a document's shingles only
+PARTS, ITEMS_AT_ONCE = 64, 256  #: parts of the items that one document is compared with; items that are ready at one time
 WORDS_CACHED = 500_000
 SLAB = 1 << 15  #: shingles whose bits are unpacked at once
 WORDS = re.compile(r"\w+").findall
@@ -104,7 +111,7 @@ class HammingIndex:
 
 
 class Benchmark:
-    """A block of items, ready to be looked for."""
+    """Some items, ready to be looked for."""
 
     #: Odd multipliers of a shingle's word numbers; a clash only costs an exact check.
     FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -257,74 +264,98 @@ def enough(hit: np.ndarray, sizes: list[int]) -> list[tuple[int, np.ndarray]]:
     return windows
 
 
+def grams(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+    """A hash of every run of ``n`` words, five at most."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    if len(known) > WORDS_CACHED:
+        known.clear()
+    known.update((w, xxhash.xxh64_intdigest(w.encode(), 42)) for w in set(words).difference(known))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return (np.lib.stride_tricks.sliding_window_view(hashes, n) * Benchmark.FACTORS[:n]).sum(axis=1, dtype=np.uint64) + np.uint64(SHINGLE - n)
+
+
 class ShingleFilter:
-    """Which documents can match any item of a benchmark of any size: a set of hashed shingles in a fixed number of bits.
+    """Which documents can match any item of a benchmark of any size: a set of hashed shingles in a bounded number of bits.
 
     A clash lets a document pass that the exact comparison turns down; none is lost.
     """
 
-    def __init__(self, bits: np.ndarray, sizes: list[int], short: list[str]):
-        self.bits, self.sizes, self.short = bits, sizes, frozenset(short)
+    def __init__(self, bits: np.ndarray, sizes: list[int], short: list[int]):
+        self.bits, self.sizes, self.short = bits, sizes, short
         self.width = np.uint64(len(bits) * 8 - 1)
         self.known: dict[str, int] = {}
 
-    @staticmethod
-    def keys(words: list[str], known: dict[str, int]) -> np.ndarray:
-        """A hash of every five-word shingle."""
-        if len(known) > WORDS_CACHED:
-            known.clear()
-        known.update((w, xxhash.xxh64_intdigest(w.encode(), 42)) for w in set(words).difference(known))
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        return (np.lib.stride_tricks.sliding_window_view(hashes, SHINGLE) * Benchmark.FACTORS).sum(axis=1, dtype=np.uint64)
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        both = [at & self.width for at in (keys >> np.uint64(20), keys ^ keys >> np.uint64(33))]
+        found = [self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 for at in both]
+        return (found[0] & found[1]).astype(bool)
+
+    def keys(self, text: str | None) -> np.ndarray:
+        """All runs of words of the text that the filter holds, once each."""
+        words = WORDS((text or "").lower())
+        own = np.unique(np.concatenate([grams(words, n, self.known) for n in (*self.short, SHINGLE)]))
+        return own[self.holds(own)]
 
     def may_match(self, text: str | None) -> bool:
         words = WORDS((text or "").lower())
-        if not self.short.isdisjoint(words):
+        if any(self.holds(grams(words, n, self.known)).any() for n in self.short):
             return True
-        if len(words) < SHINGLE:
+        if len(words) < SHINGLE or not self.sizes:
             return False
-        at = (self.keys(words, self.known) >> np.uint64(20)) & self.width
-        hit = self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+        hit = self.holds(grams(words, SHINGLE, self.known))
         if not hit.any():
             return False
+        if len(self.sizes) > MANY_SIZES:
+            return bool(hit.sum() >= min(self.sizes[0], len(hit)) * 2 * SIMILARITY / (1 + SIMILARITY) - 1e-9)
         # a document shorter than an item has to share almost all of its shingles
         longer = bisect_right(self.sizes, len(hit)) < len(self.sizes) and hit.sum() >= 2 * len(hit) * SIMILARITY / (1 + SIMILARITY) - 1e-9
         return bool(longer or enough(hit, self.sizes))
 
 
-def shingle_filter(items: DataFrame, bits: int = FILTER_BITS) -> ShingleFilter:
-    """Of ``items(text)``; the driver gets words of the bit set that are not zero, never more than the set has."""
+def item_keys(items: DataFrame) -> DataFrame:
+    """``(item, key, copies, size, words)``: every shingle of every item, how often it stands there, and the number of the
+    item's shingles; an item of fewer than five words is one run of its own ``words``."""
 
-    def places(batches):
+    def run(batches):
         known: dict[str, int] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for item, text in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
                 words = WORDS((text or "").lower())
                 if not words:
                     continue
-                if len(words) < SHINGLE:
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([words[0]])], ["place", "bit", "size", "word"])
-                    continue
-                at = np.unique((ShingleFilter.keys(words, known) >> np.uint64(20)) & np.uint64((1 << bits) - 1))
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64)), pa.array(np.full(n, len(words) - SHINGLE + 1)), pa.array([None] * n, pa.string())], ["place", "bit", "size", "word"])
+                n = min(SHINGLE, len(words))
+                keys, copies = np.unique(grams(words, n, known), return_counts=True)
+                size = len(words) - n + 1
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(copies.astype(np.int64)), pa.array(np.full(len(keys), size)), pa.array(np.full(len(keys), n))], ["item", "key", "copies", "size", "words"])
 
-    found = storage.materialize(items.select("text").mapInArrow(places, "place long, bit long, size long, word string"), "shingles", compression="zstd")
+    return storage.materialize(items.select("item_id", "text").mapInArrow(run, "item string, key long, copies long, size long, words long"), "shingles", compression="zstd")
+
+
+def shingle_filter(keys: DataFrame, most_bits: int = FILTER_BITS) -> ShingleFilter:
+    """Of ``item_keys``; the driver gets the parts of the bit set that are not zero, never more than the set has."""
+    bits = min(most_bits, max(12, keys.count().bit_length() + KEY_BITS))
+    at = keys.select(F.explode(F.expr("array(shiftrightunsigned(key, 20), key ^ shiftrightunsigned(key, 33))")).alias("at")).select(F.expr(f"at & {(1 << bits) - 1}L AS at"))
+    words = at.select(F.shiftrightunsigned("at", 6).alias("place"), F.expr("shiftleft(1L, int(at & 63))").alias("bit"))
     out = np.zeros((1 << bits) >> 6, np.uint64)
-    for batch in found.where("place is not null").groupBy("place").agg(F.bit_or("bit").alias("bit")).toArrow().to_batches():
+    for batch in words.groupBy("place").agg(F.bit_or("bit").alias("bit")).toArrow().to_batches():
         out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    sizes = sorted(r[0] for r in found.where("size > 0").select("size").distinct().collect())
-    short = [r[0] for r in found.where("word is not null").select("word").distinct().collect()]
+    sizes = [r[0] for r in keys.where(F.col("words") == SHINGLE).select("size").distinct().orderBy("size").limit(MANY_SIZES + 1).collect()]
+    short = sorted(r[0] for r in keys.where(F.col("words") < SHINGLE).select("words").distinct().collect())
     return ShingleFilter(out.view(np.uint8), sizes, short)
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of about ``block_bytes`` each, one fetched after the other by ``iter``."""
-    items = benchmark.select("item_id", "text").where("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // block_bytes))
-    for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id").collect()]
+def telling_keys(keys: DataFrame) -> DataFrame:
+    """``(key, item)``: for each item shingles of which whatever matches it has one.
+
+    A window of the item's size shares 16/18 of its shingles, a whole document that is shorter 4/5 at least.  So one of any
+    fifth, and one more, is shared; those that the fewest items have are taken, repeats counted.
+    """
+    counts = storage.materialize(keys.groupBy("key").agg(F.count("*").alias("__items")).withColumnRenamed("key", "__key"), "item-counts", compression="zstd")
+    counted = keys.join(counts, F.col("key") == F.col("__key"))
+    so_far = F.sum("copies").over(Window.partitionBy("item").orderBy("__items", "key").rowsBetween(Window.unboundedPreceding, -1))
+    take = F.col("size") - F.ceil(F.col("size") * SIMILARITY - F.lit(1e-9)) + 1
+    return counted.withColumn("__before", F.coalesce(so_far, F.lit(0))).where(F.col("__before") < take).select("key", "item")
 
 
 @lru_cache(maxsize=1)
@@ -333,10 +364,15 @@ def _prepared(items: tuple[tuple[object, str], ...]) -> Benchmark:
 
 
 def _distinct(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, text)`` with every text once, named by its digest; copies of an item take no room in a block."""
+    """``(item_id, text)`` with every text once, named by its digest; copies of an item take no room."""
     return storage.materialize(benchmark.where("text is not null").select("text").distinct().select(F.sha2("text", 256).alias("item_id"), "text"), "items", compression="zstd")
 
 
+def _sent(items: DataFrame) -> tuple[tuple[str, str], ...]:
+    """All of a benchmark whose bytes have been found to be few."""
+    return tuple((r.item_id, r.text) for r in items.orderBy("item_id").collect())
+
+
 def _bytes(items: DataFrame) -> int:
     return int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
@@ -352,51 +388,108 @@ def _sifted(docs: DataFrame, sieve: Broadcast, text: str, able: bool) -> DataFra
     return storage.map_arrow(docs, run, docs.schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+class _Sifted:
+    """Documents that can match an item of a large benchmark, numbered, and the pairs of them and items that can match."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, text: str):
+        spark = docs.sparkSession
+        keys = item_keys(items)
+        self.items, self.text, self.sieve = items, text, spark.sparkContext.broadcast(shingle_filter(keys))
+        able = _sifted(docs, self.sieve, text, True).withColumn("__row", F.monotonically_increasing_id())
+        self.able = storage.materialize(able, "able", compression="zstd")
+        sieve = self.sieve
+
+        def run(batches):
+            for batch in batches:
+                for row, text in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                    found = sieve.value.keys(text)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), row)), pa.array(found.view(np.int64))], ["row", "key"])
+
+        own = self.able.select("__row", F.col(f"`{text}`").alias("__text")).mapInArrow(run, "row long, key long")
+        telling = storage.materialize(telling_keys(keys), "telling", compression="zstd")
+        part = F.pmod(F.xxhash64("item"), F.lit(PARTS)).cast("int").alias("part")
+        self.pairs = storage.materialize(own.join(telling, "key").select("row", "item").distinct().select("row", part, "item"), "pairs", compression="zstd")
+
+    def matches(self, first_only: bool) -> DataFrame:
+        """``(row, item, first_word, n_words, similarity)``.  A task has one document's text and some of its items at a time."""
+        texts = self.items.select(F.col("item_id").alias("item"), F.col("text").alias("content"))
+        with_items = self.pairs.join(texts, "item").select("row", "part", F.lit(1).alias("kind"), "item", "content")
+        own = self.able.select(F.col("__row").alias("row"), F.col(f"`{self.text}`").alias("content"))
+        with_text = self.pairs.select("row", "part").distinct().join(own, "row").select("row", "part", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("item"), "content")
+        dealt = with_items.unionByName(with_text).repartition(storage.shuffle_partitions(self.items.sparkSession), "row", "part").sortWithinPartitions("row", "part", "kind")
+
+        def compared(row, text, items):
+            return [(row, *m) for m in Benchmark(items).matches(text, first_only)] if items else []
+
+        def run(batches):
+            row, text, items = None, None, []
+            for batch in batches:
+                out = []
+                for now, kind, item, content in zip(*(batch.column(c).to_pylist() for c in ("row", "kind", "item", "content"))):
+                    if kind == 0:
+                        out += compared(row, text, items)
+                        row, text, items = now, content, []
+                    else:
+                        items.append((item, content))
+                        if len(items) == ITEMS_AT_ONCE:
+                            out += compared(row, text, items)
+                            items = []
+                yield _found(out)
+            yield _found(compared(row, text, items))
+
+        return dealt.mapInArrow(run, "row long, item string, first_word long, n_words long, similarity double")
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"row": pa.int64(), "item": pa.string(), "first_word": pa.int64(), "n_words": pa.int64(), "similarity": pa.float64()}
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``(doc_id, item_id, first_word, n_words, similarity)``: for each document row and item, the best window."""
-    spark, out = docs.sparkSession, None
-    storage.prepare(spark)
+    storage.prepare(docs.sparkSession)
     items = _distinct(benchmark)
     docs = docs.select("doc_id", "text")
-    if _bytes(items) > block_bytes:
-        docs = storage.materialize(_sifted(docs, spark.sparkContext.broadcast(shingle_filter(items)), "text", True), "able", compression="zstd")
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("__item", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    for block in blocks_of(items, block_bytes):
-        ready = tuple(block)
-
-        def run(batches, items=ready):
-            ready = _prepared(items)
+    if _bytes(items) > sent_bytes:
+        sifted = _Sifted(docs, items, "text")
+        own = sifted.able.select("doc_id", F.col("__row").alias("row"))
+        out = sifted.matches(False).join(own, "row").withColumnRenamed("item", "__item")
+    else:
+        ready = _sent(items)
+        schema = T.StructType([docs.schema["doc_id"], T.StructField("__item", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
+
+        def run(batches):
+            block = _prepared(ready)
             for batch in batches:
-                rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in ready.matches(t)]
+                rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in block.matches(t)]
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = (batch.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], schema.names)
 
-        found = docs.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+        out = docs.mapInArrow(run, schema)
     named = benchmark.where("text is not null").select("item_id", F.sha2("text", 256).alias("__item"))
     return out.join(named, "__item").select("doc_id", "item_id", "first_word", "n_words", "similarity")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item.
 
-    With a benchmark of several blocks, the rows that the filter lets through are stored and compared with one block after
-    the other; those that cannot match are read once more and stay.
+    With a large benchmark, the rows that the filter lets through are stored, numbered and compared; those that cannot match
+    are read once more and stay.
     """
     storage.prepare(docs.sparkSession)
     items = _distinct(benchmark)
-    if _bytes(items) <= block_bytes:
-        return _without(docs, next(iter(blocks_of(items, block_bytes))), text)
-    sieve = docs.sparkSession.sparkContext.broadcast(shingle_filter(items))
-    able = storage.materialize(_sifted(docs, sieve, text, True), "able", compression="zstd")
-    for block in blocks_of(items, block_bytes):
-        able = storage.materialize(_without(able, block, text), "able", compression="zstd")
-    return _sifted(docs, sieve, text, False).union(able)
+    if _bytes(items) <= sent_bytes:
+        return _without(docs, _sent(items), text)
+    sifted = _Sifted(docs, items, text)
+    held = storage.materialize(sifted.matches(True).select("row").distinct(), "held", compression="zstd")
+    kept = sifted.able.join(held, F.col("__row") == F.col("row"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _sifted(docs, sifted.sieve, text, False).union(kept)
 
 
-def _without(docs: DataFrame, block: list[tuple[object, str]], text: str) -> DataFrame:
-    at, items = docs.columns.index(text), tuple(block)
+def _without(docs: DataFrame, items: tuple[tuple[str, str], ...], text: str) -> DataFrame:
+    at = docs.columns.index(text)
 
     def run(batches):
         ready = _prepared(items)
