@@ -55,7 +55,8 @@ class Active:
     """The stack of rules whose interval holds the current key."""
 
     def __init__(self):
-        self.frames: list[tuple[str, str, dict[str, str]]] = []  # key, host, verdict by path
+        #: Key, host, verdict by path, and the lengths that paths have in order.
+        self.frames: list[tuple[str, str, dict[str, str], list[int]]] = []
 
     def move_to(self, key: str) -> None:
         while self.frames and not key.startswith(self.frames[-1][0]):
@@ -64,18 +65,25 @@ class Active:
     def add(self, key: str, host: str, path: str, verdict: str) -> None:
         self.move_to(key)
         if not self.frames or self.frames[-1][0] != key:
-            self.frames.append((key, host, {}))
-        if self.frames[-1][2].get(path) != "block":
-            self.frames[-1][2][path] = verdict
+            self.frames.append((key, host, {}, []))
+        _, _, by_path, lengths = self.frames[-1]
+        if by_path.get(path) != "block":
+            by_path[path] = verdict
+        at = bisect_left(lengths, len(path))
+        if at == len(lengths) or lengths[at] != len(path):
+            lengths.insert(at, len(path))
 
     def longest(self, path: str) -> tuple[str, str] | None:
-        """Rule and verdict of the longest rule that fits; of equal lengths the one with the longer host."""
+        """Rule and verdict of the longest rule that fits; of equal lengths the one with the longer host.
+
+        A host's paths are looked up by their lengths, so their number does not matter.
+        """
         best, found = -1, None
-        for _, host, by_path in reversed(self.frames):
+        for _, host, by_path, lengths in reversed(self.frames):
             # no rule of a frame is longer than its host and the whole path
             if len(host) + len(path) <= best:
                 continue
-            for n in sorted({len(p) for p in by_path if len(p) <= len(path)}, reverse=True):
+            for n in reversed(lengths[: bisect_right(lengths, len(path))]):
                 if path[:n] in by_path:
                     if len(host) + n > best:
                         best, found = len(host) + n, (host + path[:n], by_path[path[:n]])

@@ -68,3 +68,18 @@ def test_edge_rows(spark, edge, empty):
     assert len(rows) == 9 and {(r.doc_id, r.rule) for r in rows if r.rule} == {(1, "com/")}
     assert url_rules.judge(empty, rules, url="text").count() == 0
     assert url_rules.judge(urls, rules.limit(0)).where("rule is not null").count() == 0
+
+
+def test_the_number_of_paths_of_a_host_does_not_matter(lines_run):
+    rng, work = random.Random(4), []
+    for n in (500, 5000):
+        active = url_rules.Active()
+        paths = [f"/{rng.randrange(10**6):06d}/{rng.randrange(10**6):06d}" + "x" * rng.randrange(30) for _ in range(n)]
+        for p in paths:
+            active.add("com.", "com", p, "block")
+        asked = [rng.choice(paths) + "/more" for _ in range(50)] + ["/none", ""]
+        for a in asked:
+            longest = max((p for p in paths if a.startswith(p)), key=len, default=None)
+            assert active.longest(a) == (longest and ("com" + longest, "block"))
+        work.append(lines_run(lambda: [active.longest(a) for a in asked]))
+    assert work[1] < 1.5 * work[0]
