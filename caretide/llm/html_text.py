@@ -2,7 +2,8 @@
 
 A page is read once into tags and units; a unit is the text of one block in one box.  Every word of a unit scores the
 learned log-odds of what surrounds it (the article element or its absence, the boxes and their names, the length of the
-block, its share of links), so it is positive in running text and negative in menus, adverts or lists of links; every tag
+block, its share of links), so it is positive in running text, linked paragraphs, items and cells of an article included,
+and negative in menus, adverts or bare links; every tag
 scores the learned, negative log-odds of its name.  One linear scan finds the contiguous region with the largest sum, and
 that region is the main text.  It begins and ends with a unit that scores above 0; units below 0 that it encloses are
 insets and are left out.  A stretch between two positive units of one container costs next to nothing however long it is,
@@ -11,7 +12,7 @@ and one between containers a bounded amount, so an inset does not cut an article
 Where a page has both an article element and text beside it, the scan is done for each of the two as content; the region
 whose words weigh more stays.
 
-The labelled pages are layouts written by rule (``labelled_pages``, ``beside_pages``, ``boxed_pages``), with the main text
+The labelled pages are layouts written by rule (``labelled_pages``, ``beside_pages``, ``boxed_pages``, ``linked_pages``), with the main text
 of each known; a logistic regression over their units gives the weights.
 
 Defined cases: a null or empty page has an empty text, as has a page without positive words, and an empty table gives no
@@ -42,8 +43,9 @@ from caretide.llm import storage
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object select annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("math mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are features of the words inside them.
 BOXED = frozenset("nav header footer aside form button menu dialog head fieldset".split())
@@ -303,6 +305,9 @@ def features(unit: Unit, kinds: frozenset[str]) -> list[str]:
     size = "1-3" if n < 4 else "4-8" if n < 9 else "9-20" if n < 21 else "21-"
     links = "none" if not share else "few" if share <= LINKED else "some" if share <= 0.5 else "half" if share <= 0.75 else "most"
     out = ["any", f"words {size}", f"links {links}", *kinds]
+    if share > 0.5 and not unit.heading and unit.within and unit.where == "main":
+        out.append("linked text")  # a paragraph, item or cell of the article that is a link, unlike links that stand bare
+        out += [f"linked text {k}" for k in kinds]
     if unit.where == "main":
         out.append("main")
     if unit.heading:
@@ -449,6 +454,28 @@ def beside_pages(n: int = 200, seed: int = 8) -> list[tuple[str, list[str]]]:
     return out
 
 
+def linked_pages(n: int = 200, seed: int = 10) -> list[tuple[str, list[str]]]:
+    """Like ``labelled_pages``: articles with paragraphs, items and cells that are links, and the same in boxes that are not text."""
+    words, out = _Words(seed), []
+    rng, keep = words.rng, words.keep
+    sure = sorted(MARKS - EVERYDAY - {"header", "masthead"})
+    for _ in range(n):
+        a = lambda of, lo, hi: f"<a href='/l'>{of(lo, hi)}</a>"
+        listed = lambda of, tag: f"<{tag}>" + "".join(f"<li>{a(of, 1, 12)}</li>" for _ in range(rng.randint(1, 6))) + f"</{tag}>"
+        shapes = [lambda of: f"<p>{a(of, 1, 14)}</p>", lambda of: listed(of, "ul"), lambda of: listed(of, "ol"), lambda of: f"<table><tr><td>{a(of, 1, 5)}</td><td>{of(1, 6)}</td></tr></table>", lambda of: f"<dl><dt>{a(of, 1, 4)}</dt><dd>{of(3, 12)}</dd></dl>", lambda of: f"<blockquote>{a(of, 2, 9)}</blockquote>"]
+        boxes = [lambda inner: f"<nav>{inner}</nav>", lambda inner: f"<aside>{inner}</aside>", lambda inner: f"<footer>{inner}</footer>", lambda inner: f"<div class='{rng.choice(sure)}'>{inner}</div>", lambda inner: f"<section class='related-posts'>{inner}</section>", lambda inner: f"<div class='{rng.choice(sure)}-{rng.choice(sorted(BOXES))}'>{inner}</div>"]
+        around = rng.choice(["article", "main", "article class='post'"])
+        body = [f"<h1>{keep(2, 9)}</h1>"] if rng.random() < 0.8 else []
+        for _ in range(rng.randint(1, 7)):
+            body.append(f"<p>{keep(6, 50)}</p>" if rng.random() < 0.5 else rng.choice(shapes)(keep))
+            if rng.random() < 0.4:
+                body.append(rng.choice(boxes)(rng.choice(shapes)(words)))
+        before = f"<header>{words(1, 5)}</header><nav>{listed(words, 'ul')}</nav>" + f"<div>{' '.join(a(words, 1, 3) for _ in range(rng.randint(2, 9)))}</div>" * rng.randint(0, 1)
+        after = f"<div class='{rng.choice(sure)}'>{rng.choice(shapes)(words)}</div>" * rng.randint(0, 1) + f"<ul>{listed(words, 'ul')}</ul>" * rng.randint(0, 1) + f"<footer>{listed(words, 'ul')}</footer>"
+        out.append((f"<body>{before}<{around}>{''.join(body)}</{around.split()[0]}>{after}</body>", words.taken()))
+    return out
+
+
 def boxed_pages(n: int = 300, seed: int = 9) -> list[tuple[str, list[str]]]:
     """Like ``labelled_pages``: boxes of every kind of name among the text, some of them part of it."""
     words, out = _Words(seed), []
@@ -498,7 +525,7 @@ def learned() -> Weights:
     inside, outside, sides = Counter(), Counter(), Counter()
     names: dict[str, int] = {}
     rows, wanted = [], []
-    for page, kept in labelled_pages() + beside_pages() + boxed_pages():
+    for page, kept in labelled_pages() + beside_pages() + boxed_pages() + linked_pages():
         main = set(kept)
         items, pieces, boxes = parts(page)
         kinds = _kinds(boxes)
