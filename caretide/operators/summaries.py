@@ -14,7 +14,7 @@ RANK_ERROR = 0.04
 
 
 def sessions(rows: DataFrame, key: list[str], at: str, gap: str) -> DataFrame:
-    """``(key, from_time, to_time, n)``: rows of a key each less than ``gap`` after the one before; a session ends a gap after
+    """``(key, from_time, to_time, n)``: rows of a key each at most ``gap`` after the one before; a session ends a gap after
     its last row.
 
     The row before, and the beginning of the session, are carried over hour cells, as a key may hold very many rows; a
@@ -26,7 +26,7 @@ def sessions(rows: DataFrame, key: list[str], at: str, gap: str) -> DataFrame:
     # rows of one moment are together in any case, so one row a moment decides
     moments = known.groupBy(*key, "__at").agg(F.count("*").alias("__rows"))
     before = carried(moments, key, hour("__at"), ["__at"], F.col("__at"), "__before")
-    apart = F.coalesce(F.col("__at") >= F.col("__before") + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    apart = F.coalesce(F.col("__at") > F.col("__before") + F.expr(f"INTERVAL {gap}"), F.lit(True))
     begins = before.withColumn("__begins", F.when(apart, F.col("__at"))).drop("__before")
     placed = carried(begins, key, hour("__at"), ["__at"], F.col("__begins"), "__since")
     counted = placed.groupBy(*key, F.coalesce("__begins", "__since").alias("from_time")).agg(F.max("__at").alias("__last"), F.sum("__rows").alias("n"))

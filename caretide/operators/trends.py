@@ -29,6 +29,14 @@ def sustained(rows: DataFrame, key: list[str], at: str, id: str, value: str, lea
     return runs.where(F.col("n") >= least).select(*key, F.col("__run.at").alias("from_time"), "to_time", "n", "first_value", "last_value")
 
 
+def transitions(rows: DataFrame, key: str, at: str, id: str, state: str) -> DataFrame:
+    """``(key, at, id, state, state_before)`` of the rows whose state is another than that of the key's row before; the first
+    has null before it.  Null states count as no row; of one moment the smaller id comes first."""
+    known = rows.where(F.col(state).isNotNull()).select(key, at, id, state)
+    seen = carried(known, [key], hour(at), [at, id], F.col(state), f"{state}_before")
+    return seen.where(F.col(key).isNotNull() & F.col(at).isNotNull() & ~F.col(state).eqNullSafe(F.col(f"{state}_before")))
+
+
 def recent(rows: DataFrame, key: str, at: str, id: str, value: str, hours: int = 4) -> DataFrame:
     """``(key, id, at, n, total, lowest, highest)`` of the values in the ``hours`` up to each measurement, both ends included.
 

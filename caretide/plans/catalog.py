@@ -950,6 +950,14 @@ g AS (SELECT *, sum(CASE WHEN value {sign} before THEN 0 ELSE 1 END) OVER (PARTI
 SELECT visit_id, metric, min(measured_at) AS from_time, max(measured_at) AS to_time, count(*) AS n, arg_min(value, nth) AS first_value, arg_max(value, nth) AS last_value FROM g GROUP BY visit_id, metric, run HAVING count(*) >= 3"""
 
 
+@query("""WITH t AS (SELECT user_id AS visit_id, event_id AS id, ts AS scored_at, CASE WHEN value >= 80 THEN 'critical' WHEN value >= 60 THEN 'rising' WHEN value >= 30 THEN 'watch' ELSE 'stable' END AS tier FROM events WHERE value IS NOT NULL),
+o AS (SELECT *, lag(tier) OVER (PARTITION BY visit_id ORDER BY scored_at, id) AS tier_before FROM t) SELECT visit_id, id, scored_at, tier, tier_before FROM o WHERE tier IS DISTINCT FROM tier_before""")
+def tier_transitions(spark, sf):
+    """Every score of a visit that puts it into another tier than the score before."""
+    scored = tables.table(spark, sf, "events").select(F.col("user_id").alias("visit_id"), F.col("event_id").alias("id"), F.col("ts").alias("scored_at"), clinical.tier(F.col("value")).alias("tier"))
+    return trends.transitions(scored, "visit_id", "scored_at", "id", "tier")
+
+
 @query(_runs_sql(">"))
 def sustained_rises(spark, sf):
     """Three or more measurements of a kind in turn, each above the one before."""
@@ -970,11 +978,11 @@ def last_four_hours(spark, sf):
     return found.select("visit_id", "id", "measured_at", "n", trends.mean(F.col("total"), F.col("n")).alias("mean"), "lowest", "highest")
 
 
-@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 3 HOURS THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 3 HOURS THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
 SELECT user_id, min(ts) AS from_time, max(ts) + INTERVAL 3 HOURS AS to_time, count(*) AS n FROM g GROUP BY user_id, s""")
 def activity_sessions(spark, sf):
-    """Events of a user less than three hours apart, as sessions."""
+    """Events of a user at most three hours apart, as sessions."""
     return summaries.sessions(tables.table(spark, sf, "events"), ["user_id"], "ts", "3 hours")
 
 

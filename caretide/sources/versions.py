@@ -33,9 +33,24 @@ class Taken(RuntimeError):
 class Manifest:
     version: int = 0
     snapshot: str | None = None
-    folded: tuple[int, ...] = ()  #: batches in the snapshot since the one before it
+    folded: tuple[tuple[int, int], ...] = ()  #: numbers of the batches in the snapshot, as first and last of ranges
     batches: dict[int, str] = field(default_factory=dict)
 
+    def holds(self, number: int) -> bool:
+        """Whether the batch has gone into the snapshot."""
+        return any(lo <= number <= hi for lo, hi in self.folded)
+
+
+def ranges(numbers: set[int], more: tuple[tuple[int, int], ...] = ()) -> tuple[tuple[int, int], ...]:
+    """Numbers and ranges as few ranges; numbers that follow one another, as those of a stream do, make one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted([*more, *((n, n) for n in numbers)]):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return tuple(out)
+
 
 class Versions:
     """Versions of one log in a folder that driver and executors share."""
@@ -67,7 +82,7 @@ class Versions:
             return None
         if not found.pop(END, False):
             return None
-        return Manifest(found["version"], found["snapshot"], tuple(found["folded"]), {int(k): v for k, v in found["batches"].items()})
+        return Manifest(found["version"], found["snapshot"], tuple(map(tuple, found["folded"])), {int(k): v for k, v in found["batches"].items()})
 
     def _name(self, number: int) -> str:
         return f"{self.path}/manifests/{number:020d}.json"
@@ -106,12 +121,13 @@ class Versions:
 
     def commit(self, batch: DataFrame, number: int, tries: int = 5) -> Manifest:
         """Make ``batch`` the log's batch ``number``.  A batch that has already gone into a snapshot is left as it is there."""
-        if number in self.newest().folded:
-            return self.newest()
+        now = self.newest()
+        if now.holds(number):
+            return now
         name = self._write(batch, f"batch-{number}")
         for left in reversed(range(tries)):
             now = self.newest()
-            if number in now.folded:
+            if now.holds(number):
                 return now
             try:
                 return self._publish(replace(now, version=self._next(), batches={**now.batches, number: name}))
@@ -129,7 +145,7 @@ class Versions:
         if now.snapshot != base.snapshot or any(now.batches.get(k) != v for k, v in base.batches.items()):
             raise Taken("the versions that were folded have changed")
         rest = {k: v for k, v in now.batches.items() if k not in base.batches}
-        return self._publish(Manifest(self._next(), name, tuple(sorted({*now.folded, *base.batches})), rest))
+        return self._publish(Manifest(self._next(), name, ranges(set(base.batches), now.folded), rest))
 
     def clean(self, keep: int = 2) -> list[str]:
         """Remove folders that none of the ``keep`` newest whole versions names; not while a commit is under way."""

@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
+import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
 
 from caretide import schemas
-from caretide.streaming import monitor
+from caretide.functions import clinical
+from caretide.operators import summaries, trends
+from caretide.sources.versions import Versions
+from caretide.streaming import monitor, state
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -34,3 +43,76 @@ def test_tier_changes(spark):
     known = spark.createDataFrame([(1, "critical"), (2, "critical")], "visit_id long, tier string")
     got = {r.visit_id: (r.tier_before, r.tier) for r in monitor.tier_changes(predictions, known).collect()}
     assert got == {1: ("critical", "stable"), 3: (None, "watch")}
+
+
+def arrive(spark, folder, schema, batches):
+    """One file for each batch, in order."""
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
+        newest = max((p for p in Path(folder).glob("part-*")), key=lambda p: p.stat().st_mtime_ns)
+        os.utime(newest, (1_700_000_000 + k * 10,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+SCORES = "visit_id long, id long, at timestamp_ntz, percent int"
+
+
+def scores(rng, n=160):
+    return [(rng.choice([1, 1, 2, 3]), k, DAY + dt.timedelta(minutes=3 * k), rng.randrange(100)) for k in range(n)]
+
+
+def run(stream, folder, name):
+    query = monitor.follow(stream, f"{folder}/{name}", f"{folder}/{name}-state", once=True)
+    query.awaitTermination(180)
+    return query
+
+
+def test_tier_changes_on_the_stream_equal_the_batch(spark, tmp_path):
+    data = scores(random.Random(2))
+    batches = [random.Random(k).sample(data[k : k + 40], 40) for k in range(0, 160, 40)]  # out of order within a batch
+    changes = state.tier_changes(arrive(spark, str(tmp_path / "in"), SCORES, batches), patience_minutes=100_000)
+    run(changes, tmp_path, "out")
+    got = {(r.visit_id, r.id, r.tier, r.tier_before) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.what == "changed"}
+    table = spark.createDataFrame(data, SCORES).withColumn("tier", clinical.tier(F.col("percent")))
+    assert got == {(r.visit_id, r.id, r.tier, r.tier_before) for r in trends.transitions(table, "visit_id", "at", "id", "tier").collect()} and len(got) > 50
+
+
+def test_late_and_silent_visits(spark, tmp_path):
+    m = lambda minutes: DAY + dt.timedelta(minutes=minutes)
+    batches = [[(1, 1, m(0), 90), (2, 2, m(1), 90)], [(1, 3, m(8), 10), (1, 4, m(5), 50)], [(1, 5, m(7), 20)], [(3, 6, m(600), 50)], [(3, 8, m(601), 50)], [(1, 7, m(2), 99)], [(3, 9, m(602), 50)]]
+    query = run(state.tier_changes(arrive(spark, str(tmp_path / "in"), SCORES, batches)), tmp_path, "out")
+    got = sorted((r.what, r.visit_id, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("changed", 1, 1), ("changed", 1, 3), ("changed", 1, 4), ("changed", 2, 2), ("changed", 3, 6), ("late", 1, 5), ("silent", 1, 3), ("silent", 2, 2)]
+    assert state.dropped(query) == 1  # the score of minute 2, ten hours later
+
+
+def test_sessions_on_the_stream_equal_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    data = [(rng.choice([1, 1, 1, 2, 3]), k, DAY + dt.timedelta(minutes=rng.randrange(900)), 0) for k in range(200)]
+    data.sort(key=lambda r: r[2])
+    end = [(9, 999, DAY + dt.timedelta(days=9), 0)]
+    stream = arrive(spark, str(tmp_path / "in"), SCORES, [data[:70], data[70:140], data[140:], end, [(9, 1000, DAY + dt.timedelta(days=9, hours=1), 0)]])
+    run(state.sessions(stream, "visit_id", "at", "10 minutes", "16 hours"), tmp_path, "out")
+    got = sorted((r.visit_id, r.from_time.replace(tzinfo=None), r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    batch = summaries.sessions(spark.createDataFrame(data, SCORES), ["visit_id"], "at", "10 minutes")
+    assert got == sorted((r.visit_id, r.from_time, r.n) for r in batch.collect())
+
+
+def test_a_batch_that_failed_after_its_commit_counts_once(spark, tmp_path, monkeypatch):
+    data = scores(random.Random(3), 60)
+    stream = arrive(spark, str(tmp_path / "in"), SCORES, [data[:20], data[20:40], data[40:]])
+    log = Versions(spark, str(tmp_path / "log"), SCORES)
+    commit, tried = Versions.commit, []
+
+    def failing(self, batch, number, *more):
+        made = commit(self, batch, number, *more)
+        tried.append(number)
+        if tried == [0, 1]:
+            raise RuntimeError("killed after the commit")
+        return made
+
+    monkeypatch.setattr(Versions, "commit", failing)
+    with pytest.raises(Exception, match="killed"):
+        state.into_log(stream, log, str(tmp_path / "state"), once=True).awaitTermination(120)
+    state.into_log(stream, log, str(tmp_path / "state"), once=True).awaitTermination(120)
+    assert tried == [0, 1, 1, 2] and sorted(r.id for r in log.tail().collect()) == list(range(60))

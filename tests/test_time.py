@@ -86,7 +86,7 @@ def test_sessions(spark):
     expected, gap = [], dt.timedelta(minutes=40)
     for k in {d[1] for d in data} - {None}:
         times = sorted(d[2] for d in data if d[1] == k and d[2])
-        cuts = [0, *[i for i in range(1, len(times)) if times[i] >= times[i - 1] + gap], len(times)]
+        cuts = [0, *[i for i in range(1, len(times)) if times[i] > times[i - 1] + gap], len(times)]
         expected += [(k, times[a], times[b - 1] + gap, b - a) for a, b in zip(cuts, cuts[1:])]
     assert got == sorted(expected)
     built_in = spark.createDataFrame(data, SCHEMA).where("k IS NOT NULL AND at IS NOT NULL").groupBy("k", F.session_window(F.col("at").cast("timestamp"), "40 minutes")).count()

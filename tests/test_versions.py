@@ -142,3 +142,13 @@ def test_old_readers_go_on_until_cleaned(spark, log):
     log.compact(fold)
     assert content(log.tail(manifest=old)) == [(1, 1)]
     assert log.clean(keep=1) and content(log.state(fold)) == [(1, 1)]
+
+
+def test_numbers_of_folded_batches_stay_few(spark, log):
+    for k in range(6):
+        log.commit(batch(spark, (k, 1)), k)
+        if k % 2:
+            log.compact(fold)
+    assert log.newest().folded == ((0, 5),) and log.newest().holds(3) and not log.newest().holds(6)
+    assert versions.ranges({1, 2, 9, 4}, ((5, 7),)) == ((1, 2), (4, 7), (9, 9))
+    assert content(log.state(fold)) == [(k, 1) for k in range(6)]
