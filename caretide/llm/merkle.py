@@ -202,6 +202,49 @@ class Manifest:
         """``(tree, n, digest)`` of every source, to be kept beside the root."""
         return self.sources.roots
 
+    def save(self, path: str) -> None:
+        """Store all nodes as Parquet; the root is written last, so a manifest without one is not whole."""
+        frames = {"leaves": self.leaves, "links": self.sources.links, "roots": self.sources.roots, "top_leaves": self.top_leaves, "top_links": self.top.links, "top_roots": self.top.roots}
+        for name, frame in frames.items():
+            frame.write.option("compression", "zstd").parquet(f"{path}/{name}")
+        self.leaves.sparkSession.createDataFrame([(self.root,)], "root string").coalesce(1).write.parquet(f"{path}/root")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Manifest:
+        root = spark.read.schema("root string").parquet(f"{path}/root").first()[0]
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(read("leaves"), Trees(read("links"), read("roots")), read("top_leaves"), Trees(read("top_links"), read("top_roots")), root)
+
+    def changed_sources(self, later: Manifest) -> DataFrame:
+        """``(tree, n_before, n_after)`` of the sources whose digests differ; a source that one of the two lacks has null there.
+        Equal roots need no look at the sources."""
+        if self.root == later.root:
+            return self.summary().where(F.lit(False)).select("tree", F.col("n").alias("n_before"), F.col("n").alias("n_after"))
+        before = self.summary().select("tree", F.col("n").alias("n_before"), F.col("digest").alias("__before"))
+        after = later.summary().select("tree", F.col("n").alias("n_after"), F.col("digest").alias("__after"))
+        both = before.join(after, "tree", "full").where(~F.col("__before").eqNullSafe(F.col("__after")))
+        return both.select("tree", "n_before", "n_after")
+
+    def _runs(self, changed: DataFrame, name: str) -> DataFrame:
+        """Runs of leaves of some sources."""
+        many = self.sources.links.where("level = 1").select("tree", "index", "digest", "children")
+        alone = self.leaves.where("n = 1").select("tree", "index", "digest", F.array("digest").alias("children"))
+        return many.unionByName(alone).join(changed, "tree", "left_semi").select("tree", "index", F.col("digest").alias(f"__{name}_run"), F.col("children").alias(name))
+
+    def changed_leaves(self, later: Manifest) -> DataFrame:
+        """``(tree, index, before, after)`` of the places whose leaves differ, null where one of the two has no such place.
+
+        Of sources that differ the digests of runs are compared, a sixteenth of the leaves, and only runs that differ are
+        looked into.  A row that comes in moves the places after it.
+        """
+        changed = self.changed_sources(later).select("tree")
+        both = self._runs(changed, "before").join(later._runs(changed, "after"), ["tree", "index"], "full").where(~F.col("__before_run").eqNullSafe(F.col("__after_run")))
+        none = F.array().cast("array<string>")
+        pairs = both.select("tree", "index", F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
+        spread = pairs.select("tree", "index", F.posexplode(F.arrays_zip("before", "after")).alias("__nth", "__pair"))
+        differ = spread.where(~F.col("__pair.before").eqNullSafe(F.col("__pair.after")))
+        return differ.select("tree", (F.col("index") * ARITY + F.col("__nth")).alias("index"), F.col("__pair.before").alias("before"), F.col("__pair.after").alias("after"))
+
 
 def manifest(leaves: DataFrame, order: Sequence[str], keep: Sequence[str] = ()) -> Manifest:
     """Of ``leaves(tree, digest)``, in each tree in the order of some columns; ``keep`` names columns that stay with a leaf."""

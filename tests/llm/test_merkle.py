@@ -125,3 +125,22 @@ def test_edges(spark, tmp_path, edge):
     docs = [(1, "s", "en", 1, "One"), (1, "s", "en", 1, "One"), (2, None, None, None, None), (None, "s", "en", None, ""), (5, "t", "en", 5, long)]
     spark.createDataFrame([(*d, "x", 1) for d in docs], COLUMNS + ", tree string, digest int").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert found(spark, f"{tmp_path}/b") == plain(docs)
+
+
+def made_of(docs, columns=("id", "source", "text")):
+    return merkle.manifest(docs.select(merkle.tree_name(F.col("source")).alias("tree"), merkle.leaf(columns).alias("digest"), "id"), ["id"], ["id"])
+
+
+def test_two_versions_are_compared_from_the_top(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"s{k % 4}", f"text {k}") for k in range(400)] + [(900, "lone", "x"), (901, "gone", "y")], "id long, source string, text string")
+    later = docs.where("source <> 'gone'").withColumn("text", F.when(F.col("id").isin(5, 77, 900), F.lit("changed")).otherwise(F.col("text")))
+    later = later.unionByName(spark.createDataFrame([(500, "s2", "one more"), (501, "new", "z")], later.schema))
+    before, after = made_of(docs), made_of(later)
+    before.save(str(tmp_path / "before"))
+    stored = merkle.Manifest.load(spark, str(tmp_path / "before"))
+    assert stored.root == before.root and sorted(map(tuple, stored.summary().collect())) == sorted(map(tuple, before.summary().collect()))
+    assert {tuple(r) for r in stored.changed_sources(after).collect()} == {("ss1", 100, 100), ("slone", 1, 1), ("sgone", 1, None), ("ss2", 100, 101), ("snew", None, 1)}
+    got = {(r.tree, r["index"], r.before is None, r.after is None) for r in stored.changed_leaves(after).collect()}
+    assert got == {("ss1", 1, False, False), ("ss1", 19, False, False), ("slone", 0, False, False), ("sgone", 0, False, True), ("ss2", 100, True, False), ("snew", 0, True, False)}
+    assert before.changed_sources(stored).count() == 0 and before.changed_leaves(stored).count() == 0
+    assert merkle.verified(stored.proofs().withColumn("now", F.col("digest")), "now", before.root).where("NOT verified").count() == 0
