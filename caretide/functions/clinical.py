@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Thresholds, labels and words of the rules.
 TIERS = (("critical", 80), ("rising", 60), ("watch", 30))
 LOWEST_TIER = "stable"
-RISK_RANK = {"critical": 0, "rising": 1, "watch": 2, "stable": 3}
 UNCONFIRMED, NEEDS_CONFIRMATION = "미확인", "확인 필요"
 MISSING_PENALTY, REVIEW_PENALTY = 5.0, 3.5
 #: Every kind of white space, the ideographic and no-break spaces and the byte order mark included.
@@ -44,10 +43,6 @@ def mapped(column: Column, values: dict, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def risk_rank(level: Column) -> Column:
-    return mapped(level, RISK_RANK)
-
-
 def trimmed(value: Column) -> Column:
     return F.regexp_replace(value, f"^{SPACE}+|{SPACE}+$", "")
 

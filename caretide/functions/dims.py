@@ -10,7 +10,6 @@ FIELDS = ["chiefComplaint", "painAssessment", "presentIllness", "pastHistory", "
 OPTIONAL_FIELDS = ("impression",)
 METRICS = [("probability", 1, "right"), ("hr", 2, "left"), ("sbp", 3, "left"), ("dbp", 4, "left"), ("spo2", 5, "left"), ("bt", 6, "right")]
 BED_STATES = [("critical", "Critical"), ("moderate", "Moderate"), ("low", "Low"), ("empty", "Empty")]
-RECORD_STATES = ["not written", "in progress", "awaiting review", "certified"]
 
 
 def risk_meta(spark: SparkSession) -> DataFrame:

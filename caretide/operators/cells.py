@@ -20,30 +20,45 @@ def hour(at: str) -> Column:
     return (F.unix_date(F.to_date(at)).cast("long") * 24 + F.hour(at)).cast("long")
 
 
+def minute(at: str) -> Column:
+    """Cells within an hour."""
+    return F.minute(at).cast("long")
+
+
 def block(number: str, bits: int) -> Column:
     """Cells for an order by number."""
     return F.shiftright(F.col(number).cast("long"), bits)
 
 
-def carried(df: DataFrame, key: Sequence[str], cell: Column, order: Sequence[str], value: Column, into: str, initial: DataFrame | None = None) -> DataFrame:
+def carried(df: DataFrame, key: Sequence[str], cells: Column | Sequence[Column], order: Sequence[str], value: Column, into: str, initial: DataFrame | None = None) -> DataFrame:
     """Adds ``into``: the last ``value`` that is not null of the key's earlier rows, by ascending ``order``.
 
-    ``initial`` has the key's columns and ``value``, what holds before a key's first row, for a key once at most.  Rows with
-    a null in the key or without a cell get null, and stay out of the shuffle.
+    ``cells`` are one level or several, each within the one before, as minutes within hours: a task orders the rows of a cell of
+    the last level, or the cells of one cell above.  ``initial`` has the key's columns and ``value``, what holds before a key's
+    first row, for a key once at most.  Rows with a null in the key or without a cell get null, and stay out of the shuffle.
     """
-    marked = df.withColumn("__cell", cell).withColumn("__value", value)
-    whole = F.col("__cell").isNotNull()
-    for k in key:
+    levels = {f"__cell{k}": c for k, c in enumerate([cells] if isinstance(cells, Column) else cells)}
+    marked = df.withColumns({**levels, "__value": value})
+    whole = F.lit(True)
+    for k in [*key, *levels]:
         whole = whole & F.col(k).isNotNull()
     placed, none = marked.where(whole), marked.where(~whole)
-    at = F.when(F.col("__value").isNotNull(), F.struct(*order))
-    ends = placed.groupBy(*key, "__cell").agg(F.max_by("__value", at).alias("__end"))
+    names = list(levels)
+    ends = {len(names): placed.groupBy(*key, *names).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*order))).alias("__end"))}
+    for n in range(len(names) - 1, 0, -1):  # the last value of a cell is that of its last cell that has one
+        ends[n] = ends[n + 1].groupBy(*key, *names[:n]).agg(F.max_by("__end", F.when(F.col("__end").isNotNull(), F.col(names[n]))).alias("__end"))
     if initial is not None:
-        ends = ends.unionByName(initial.select(*key, F.lit(BEFORE_ALL).alias("__cell"), F.col("value").alias("__end")))
-    cells = Window.partitionBy(*key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    begins = ends.select(*key, "__cell", F.last("__end", ignorenulls=True).over(cells).alias("__begin"))
-    rows = Window.partitionBy(*key, "__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        ends[1] = ends[1].unionByName(initial.select(*key, F.lit(BEFORE_ALL).alias(names[0]), F.col("value").alias("__end")), allowMissingColumns=True)
+    begins = None
+    for n in range(1, len(names) + 1):
+        earlier = Window.partitionBy(*key, *names[: n - 1]).orderBy(names[n - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        here = ends[n].select(*key, *names[:n], F.last("__end", ignorenulls=True).over(earlier).alias("__begin"))
+        if begins is not None:
+            above = begins.withColumnRenamed("__begin", "__above")
+            here = here.join(above, [*key, *names[: n - 1]]).select(*key, *names[:n], F.coalesce("__begin", "__above").alias("__begin"))
+        begins = here
+    rows = Window.partitionBy(*key, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = placed.withColumn("__own", F.last("__value", ignorenulls=True).over(rows))
-    found = own.join(begins, [*key, "__cell"], "left").withColumn(into, F.coalesce("__own", "__begin"))
+    found = own.join(begins, [*key, *names], "left").withColumn(into, F.coalesce("__own", "__begin"))
     empty = F.lit(None).cast(marked.schema["__value"].dataType)
     return found.select(*df.columns, into).unionByName(none.select(*df.columns, empty.alias(into)))

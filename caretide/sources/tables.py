@@ -29,21 +29,6 @@ def create_missing(spark: SparkSession, database: str | None = None) -> list[str
     return names
 
 
-def commit(batch: DataFrame, log: str, batch_id: int) -> None:
-    """Append a batch of commands to a log of Parquet files, as the folder ``batch=<id>``.
-
-    A commit that is run again, after a failure or twice, replaces its own folder and no other.
-    """
-    batch.drop("batch").write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-
-
-def committed(spark: SparkSession, log: str, schema: T.StructType | str) -> DataFrame:
-    """The log as it stands, every batch with its number; a filter on ``batch`` reads the folders of those alone."""
-    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    known = T.StructType([f for f in schema.fields if f.name != "batch"] + [T.StructField("batch", T.LongType())])
-    return spark.read.schema(known).option("basePath", log).parquet(log)
-
-
 def over_jdbc(spark: SparkSession, url: str, name: str, key: str = "id", bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
     """A database table, read in ``parts`` key ranges when bounds are given; fails at once without a URL."""
     if not url:

@@ -196,17 +196,6 @@ def test_confirming_tells_false_from_absent(spark):
     assert {r.id: (r.content, r.confirmed_at and r.confirmed_at.year) for r in after.collect()} == {1: ("old", 2024), 2: ("old", None), 3: ("old", None), 4: ("new", 2020), 5: ("new", 2024)}
 
 
-def test_a_commit_that_is_repeated_replaces_itself(spark, tmp_path):
-    path = f"file://{tmp_path}/log"
-    first, second = (spark.createDataFrame(rows_, "id long, op string") for rows_ in ([(1, "patch"), (2, "patch")], [(3, "delete")]))
-    tables.commit(first, path, 1)
-    tables.commit(second, path, 2)
-    tables.commit(first, path, 1)
-    stored = tables.committed(spark, path, first.schema)
-    assert sorted(tuple(r) for r in stored.collect()) == [(1, "patch", 1), (2, "patch", 1), (3, "delete", 2)]
-    assert "PartitionFilters: [isnotnull(batch" in stored.where("batch = 2")._jdf.queryExecution().toString()
-
-
 def test_a_database_is_read_in_key_ranges(spark):
     url, rows_ = "jdbc:derby:memory:caretide;create=true", spark.range(100).select("id", (F.col("id") % 7).alias("visit_id"))
     rows_.write.format("jdbc").options(url=url, dbtable="vitals", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
