@@ -6,7 +6,7 @@ a cell carries one row, its last value, to the cells after it.  A key may hold a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +21,8 @@ def hour(at: str) -> Column:
 
 
 def minute(at: str) -> Column:
-    """Cells within an hour."""
-    return F.minute(at).cast("long")
+    """Finer cells for the same; a key has half a million of them a year at most."""
+    return hour(at) * 60 + F.minute(at)
 
 
 def block(number: str, bits: int) -> Column:
@@ -33,7 +33,7 @@ def block(number: str, bits: int) -> Column:
 def carried(df: DataFrame, key: Sequence[str], cells: Column | Sequence[Column], order: Sequence[str], value: Column, into: str, initial: DataFrame | None = None) -> DataFrame:
     """Adds ``into``: the last ``value`` that is not null of the key's earlier rows, by ascending ``order``.
 
-    ``cells`` are one level or several, each within the one before, as minutes within hours: a task orders the rows of a cell of
+    ``cells`` are one level or several, each within the one before, as a day and its minutes: a task orders the rows of a cell of
     the last level, or the cells of one cell above.  ``initial`` has the key's columns and ``value``, what holds before a key's
     first row, for a key once at most.  Rows with a null in the key or without a cell get null, and stay out of the shuffle.
     """
@@ -62,3 +62,25 @@ def carried(df: DataFrame, key: Sequence[str], cells: Column | Sequence[Column],
     found = own.join(begins, [*key, *names], "left").withColumn(into, F.coalesce("__own", "__begin"))
     empty = F.lit(None).cast(marked.schema["__value"].dataType)
     return found.select(*df.columns, into).unionByName(none.select(*df.columns, empty.alias(into)))
+
+
+def runs(df: DataFrame, key: Sequence[str], cell: Column, order: Sequence[str], value: str, goes_on: Callable[[Column, Column], Column], into: str) -> DataFrame:
+    """Adds ``into``: the ``order`` columns of the row that began the run that a row is in, by ascending ``order``.
+
+    ``goes_on(value, before)`` tells whether a value goes on with the run of the one before; the first of a key does not.  Key,
+    cell and value are not null.  Runs are found within cells; a cell's first and last value and its last beginning are
+    joined over the cells of a key, and one row a cell says which run its first row is in.
+    """
+    begins_at = F.struct(*order)
+    rows = Window.partitionBy(*key, "__cell").orderBy(*order)
+    placed = df.withColumn("__cell", cell)
+    seen = placed.withColumns({"__before": F.lag(value).over(rows), "__nth": F.row_number().over(rows)})
+    inner = seen.withColumn("__begins", F.when((F.col("__nth") > 1) & ~F.coalesce(goes_on(F.col(value), F.col("__before")), F.lit(False)), begins_at))
+    own = inner.withColumn("__own", F.last("__begins", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = inner.groupBy(*key, "__cell").agg(F.min(begins_at).alias("__first_at"), F.min_by(value, begins_at).alias("__first"), F.max_by(value, begins_at).alias("__last"), F.max("__begins").alias("__inner"))
+    cells = Window.partitionBy(*key).orderBy("__cell")
+    opens = F.when(~F.coalesce(goes_on(F.col("__first"), F.col("__previous")), F.lit(False)), F.col("__first_at"))
+    joined = ends.withColumn("__previous", F.lag("__last").over(cells)).withColumn("__opens", opens)
+    carry = F.last(F.coalesce("__inner", "__opens"), ignorenulls=True).over(cells.rowsBetween(Window.unboundedPreceding, -1))
+    starts = joined.select(*key, "__cell", F.coalesce("__opens", carry).alias("__start"))
+    return own.join(starts, [*key, "__cell"]).select(*df.columns, F.coalesce("__own", "__start").alias(into))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from caretide.operators.cells import carried, hour, minute
+from caretide.operators.cells import carried, minute
 
 
 def by_key(df: DataFrame, **key) -> DataFrame:
@@ -93,12 +93,12 @@ def as_of(asked: DataFrame, known: DataFrame, key: str, at: str, value: str) ->
     """``asked`` with the ``value`` of the latest row of ``known`` of the same key at or before the moment, null if none.
 
     A null key or moment finds none, and does not meet others in one place; of known rows of equal key and moment any one
-    counts.  Both sides are laid together in hours and minutes of a key, so a task sorts a key's minute, never all of a key.
+    counts.  Both sides are laid together in minutes of a key, so a task sorts a key's minute, never all of a key.
     """
     held = F.when(~F.col("__asks"), F.struct(F.col(value).alias("v")))  # wrapped: a value may be null itself
     blank = asked.withColumn(value, F.lit(None).cast(known.schema[value].dataType)).withColumn("__asks", F.lit(True))
     # a known row without a key or a moment is found by none
     both = known.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, value, F.lit(False).alias("__asks")).unionByName(blank, allowMissingColumns=True)
     # of one moment the known rows come first
-    found = carried(both, [key], [hour(at), minute(at)], [at, "__asks"], held, "__found").where("__asks")
+    found = carried(both, [key], minute(at), [at, "__asks"], held, "__found").where("__asks")
     return found.select(*[F.col("__found")["v"].alias(value) if c == value else F.col(c) for c in [*asked.columns, value]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretide.operators.cells import carried, hour
+from caretide.operators.cells import hour, runs
 
 HLL_BITS = 12  #: a sketch of at most 4 KB counts within some 1.6 % (one deviation)
 HLL_ERROR = 0.08  #: five deviations
@@ -17,19 +17,17 @@ def sessions(rows: DataFrame, key: list[str], at: str, gap: str) -> DataFrame:
     """``(key, from_time, to_time, n)``: rows of a key each at most ``gap`` after the one before; a session ends a gap after
     its last row.
 
-    The row before, and the beginning of the session, are carried over hour cells, as a key may hold very many rows; a
-    session is summed before it is shuffled.  Rows without key or moment are in none.
+    Sessions are found within hour cells and joined over them, as a key may hold very many rows; a session is summed before
+    it is shuffled.  Rows without key or moment are in none.
     """
     known = rows.select(*key, F.col(at).alias("__at")).where(F.col("__at").isNotNull())
     for k in key:
         known = known.where(F.col(k).isNotNull())
     # rows of one moment are together in any case, so one row a moment decides
     moments = known.groupBy(*key, "__at").agg(F.count("*").alias("__rows"))
-    before = carried(moments, key, hour("__at"), ["__at"], F.col("__at"), "__before")
-    apart = F.coalesce(F.col("__at") > F.col("__before") + F.expr(f"INTERVAL {gap}"), F.lit(True))
-    begins = before.withColumn("__begins", F.when(apart, F.col("__at"))).drop("__before")
-    placed = carried(begins, key, hour("__at"), ["__at"], F.col("__begins"), "__since")
-    counted = placed.groupBy(*key, F.coalesce("__begins", "__since").alias("from_time")).agg(F.max("__at").alias("__last"), F.sum("__rows").alias("n"))
+    near = lambda now, before: now <= before + F.expr(f"INTERVAL {gap}")
+    placed = runs(moments, key, hour("__at"), ["__at"], "__at", near, "__run")
+    counted = placed.groupBy(*key, F.col("__run.__at").alias("from_time")).agg(F.max("__at").alias("__last"), F.sum("__rows").alias("n"))
     return counted.select(*key, "from_time", (F.col("__last") + F.expr(f"INTERVAL {gap}")).alias("to_time"), "n")
 
 
@@ -40,7 +38,7 @@ def subtotals(rows: DataFrame, columns: list[str], sets: list[list[str]], *sums:
     return grouped.agg(F.grouping_id(*columns).cast("int").alias("level"), *sums)
 
 
-def stored_sketches(rows: DataFrame, key: list[str], counted: str, value: str) -> DataFrame:
+def daily_sketches(rows: DataFrame, key: list[str], counted: str, value: str) -> DataFrame:
     """For each key a sketch of the different values of ``counted`` and one of the ranks of ``value``; both merge, and null
     counts for nothing in either."""
     return rows.groupBy(*key).agg(F.hll_sketch_agg(counted, HLL_BITS).alias("counted_sketch"), F.kll_sketch_agg_double(F.col(value).cast("double"), KLL_SIZE).alias("value_sketch"))
@@ -53,22 +51,25 @@ def merged(sketches: DataFrame, key: list[str]) -> DataFrame:
 
 
 def compared(rows: DataFrame, daily: DataFrame, key: list[str], day: str, counted: str, value: str, spans: tuple[int, ...]) -> DataFrame:
-    """For the last days of each span: the exact numbers, and whether the merged sketches are within their bounds."""
+    """For the last days of each span the exact numbers beside those of the merged sketches: ``users`` and ``n_counted``, ``n``,
+    ``median`` and ``rank_error`` (how far the estimate's ranks are from one half), and whether both are within their bounds.
+
+    Spans are a few numbers, by which rows are repeated; the estimates are one row for each key and span.
+    """
     today = rows.agg(F.max(day)).scalar()
     span = lambda df: df.withColumn("days", F.explode(F.array(*[F.lit(s) for s in spans]))).where(F.col(day) > F.date_sub(today, F.col("days")))
-    guessed = merged(span(daily), [*key, "days"]).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("days").alias("__days"), "n_counted", "median")
-    exact = span(rows).groupBy(*key, "days").agg(F.count_distinct(counted).alias("users"), F.count("*").alias("n"))
-    same = (exact["days"] == F.col("__days"))
-    for k in key:
-        same = same & exact[k].eqNullSafe(F.col(f"__{k}"))
-    both = exact.join(guessed, same)
-    # the rank of the estimated median, counted exactly
-    below = span(rows).join(both.select(*[F.col(k).alias(f"__of_{k}") for k in key], F.col("days").alias("__of_days"), "median"), [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in key] + [F.col("days") == F.col("__of_days")])
-    ranks = below.groupBy(*[F.col(f"__of_{k}").alias(f"__at_{k}") for k in key], F.col("__of_days").alias("__at_days")).agg((F.count_if(F.col(value) < F.col("median")) / F.count(value)).alias("__low"), (F.count_if(F.col(value) <= F.col("median")) / F.count(value)).alias("__high"))
-    found = both.join(ranks, [F.col(k).eqNullSafe(F.col(f"__at_{k}")) for k in key] + [F.col("days") == F.col("__at_days")])
+    as_one = F.struct(*key, "days").alias("__of")  # a null key is a key
+    guessed = merged(span(daily), [*key, "days"]).select(as_one, "n_counted", "median")
+    asked = span(rows).select("*", as_one)
+    exact = asked.groupBy("__of").agg(F.count_distinct(counted).alias("users"), F.count("*").alias("n"))
+    below = asked.join(guessed.select("__of", F.col("median").alias("__median")), "__of")
+    share = lambda holds: F.count_if(holds) / F.count(value)
+    # a merged sketch of ranks draws by chance, so the median is told beside the ranks that were counted for it
+    ranks = below.groupBy("__of").agg(F.max("__median").alias("median"), share(F.col(value) < F.col("__median")).alias("__low"), share(F.col(value) <= F.col("__median")).alias("__high"))
+    found = exact.join(guessed.select("__of", "n_counted"), "__of").join(ranks, "__of")
+    error = F.greatest(F.lit(0.0), F.col("__low") - 0.5, F.lit(0.5) - F.col("__high"))
     near = F.abs(F.col("n_counted") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * HLL_ERROR)
-    middle = (F.col("__low") <= 0.5 + RANK_ERROR) & (F.col("__high") >= 0.5 - RANK_ERROR)
-    return found.select(*key, "days", "users", "n", near.alias("users_within"), middle.alias("median_within"))
+    return found.select("__of.*", "users", "n_counted", "n", "median", error.alias("rank_error"), near.alias("users_within"), (error <= RANK_ERROR).alias("median_within"))
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:

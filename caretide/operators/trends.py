@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from caretide.operators import cells
 from caretide.operators.cells import carried, hour
 
 
@@ -13,20 +14,18 @@ def sustained(rows: DataFrame, key: list[str], at: str, id: str, value: str, lea
     """Runs of at least ``least`` measurements in turn, each above (below) the one before: key, ``from_time``, ``to_time``,
     ``n``, ``first_value`` and ``last_value``.
 
-    A measurement that does not go on begins a run.  The value before a row, and the beginning of the run that it is in, are
-    carried over hour cells, so no task orders all rows of a key; a run is summed before it is shuffled.  Null values, keys
+    A measurement that does not go on begins a run.  Runs are found within hour cells and joined over them, so no task orders
+    all rows of a key; a run is summed before it is shuffled.  Null values, keys
     and moments are no measurements; of one moment the smaller id comes first.
     """
     known = rows.where(F.col(value).isNotNull() & F.col(at).isNotNull()).select(*key, at, id, value)
     for k in key:
         known = known.where(F.col(k).isNotNull())
-    before = carried(known, key, hour(at), [at, id], F.col(value), "__before")
-    goes_on = F.col(value) > F.col("__before") if rising else F.col(value) < F.col("__before")
-    begins = before.withColumn("__begins", F.when(~F.coalesce(goes_on, F.lit(False)), F.struct(F.col(at).alias("at"), F.col(id).alias("id")))).drop("__before")
-    placed = carried(begins, key, hour(at), [at, id], F.col("__begins"), "__since").withColumn("__run", F.coalesce("__begins", "__since"))
+    goes_on = (lambda now, before: now > before) if rising else (lambda now, before: now < before)
+    placed = cells.runs(known, key, hour(at), [at, id], value, goes_on, "__run")
     order = F.struct(at, id)
-    runs = placed.groupBy(*key, "__run").agg(F.max(at).alias("to_time"), F.count("*").alias("n"), F.min_by(value, order).alias("first_value"), F.max_by(value, order).alias("last_value"))
-    return runs.where(F.col("n") >= least).select(*key, F.col("__run.at").alias("from_time"), "to_time", "n", "first_value", "last_value")
+    found = placed.groupBy(*key, "__run").agg(F.max(at).alias("to_time"), F.count("*").alias("n"), F.min_by(value, order).alias("first_value"), F.max_by(value, order).alias("last_value"))
+    return found.where(F.col("n") >= least).select(*key, F.col("__run")[at].alias("from_time"), "to_time", "n", "first_value", "last_value")
 
 
 def transitions(rows: DataFrame, key: str, at: str, id: str, state: str) -> DataFrame:

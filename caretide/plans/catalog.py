@@ -1004,8 +1004,10 @@ def activity_sketches(spark, sf):
     """Users and median value of the last day, week and month from stored daily sketches, beside the exact counts: whether the
     error is within what the sketches promise."""
     events = tables.table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "value")
-    daily = summaries.stored_sketches(events, ["event_type", "day"], "user_id", "value")
-    return summaries.compared(events, daily, ["event_type"], "day", "user_id", "value", (1, 7, 30))
+    path = scratch.new_path(spark, "sketches")
+    summaries.daily_sketches(events, ["event_type", "day"], "user_id", "value").write.parquet(path)
+    found = summaries.compared(events, spark.read.parquet(path), ["event_type"], "day", "user_id", "value", (1, 7, 30))
+    return found.select("event_type", "days", "users", "n", "users_within", "median_within")
 
 
 @query("""WITH a AS (SELECT o_custkey AS id, o_orderstatus AS status, substr(o_orderpriority, 1, 1) AS level, count(*) AS n FROM orders WHERE o_orderkey % 4 > 0 GROUP BY ALL),

@@ -112,14 +112,29 @@ def test_subtotals_keep_null_groups_apart(spark):
 
 def test_sketches_merge_like_sets(spark):
     rows = spark.range(20_000).select((F.col("id") % 5).alias("day"), F.when(F.col("id") % 50 != 0, F.pmod(F.hash("id"), F.lit(3000))).alias("who"), (F.col("id") % 1000).cast("double").alias("v"))
-    daily = summaries.stored_sketches(rows, ["day"], "who", "v")
+    daily = summaries.daily_sketches(rows, ["day"], "who", "v")
     got = summaries.merged(daily.withColumn("all", F.lit(1)), ["all"]).first()
     exact = rows.agg(F.count_distinct("who")).first()[0]
     assert abs(got.n_counted - exact) <= summaries.HLL_ERROR * exact and abs(got.median - 500) <= 1000 * summaries.RANK_ERROR
-    at_once = summaries.merged(summaries.stored_sketches(rows.withColumn("all", F.lit(1)), ["all"], "who", "v"), ["all"]).first()
+    at_once = summaries.merged(summaries.daily_sketches(rows.withColumn("all", F.lit(1)), ["all"], "who", "v"), ["all"]).first()
     assert at_once.n_counted == got.n_counted
 
 
+def test_spans_are_compared_with_exact_numbers(spark):
+    rng = random.Random(4)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=d) for d in range(10)]
+    data = [(rng.choice(["a", None]), rng.choice(days), rng.randrange(700), float(rng.randrange(300))) for _ in range(4000)] + [("a", days[-1], None, None)]
+    rows = spark.createDataFrame(data, "k string, day date, who int, v double")
+    found = summaries.compared(rows, summaries.daily_sketches(rows, ["k", "day"], "who", "v"), ["k"], "day", "who", "v", (1, 4, 10)).collect()
+    assert len(found) == 6
+    for r in found:
+        own = [d for d in data if d[0] == r.k and d[1] > days[-1] - dt.timedelta(days=r.days)]
+        values = [d[3] for d in own if d[3] is not None]
+        assert (r.users, r.n) == (len({d[2] for d in own} - {None}), len(own)) and r.users_within and r.median_within
+        low, high = sum(v < r.median for v in values) / len(values), sum(v <= r.median for v in values) / len(values)
+        assert r.rank_error == pytest.approx(max(0.0, low - 0.5, 0.5 - high))
+
+
 def test_differences_count_repeats_and_nulls(spark):
     schema = "id long, v string"
     before = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "x"), (None, None)], schema)
