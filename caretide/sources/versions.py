@@ -6,12 +6,14 @@ commit that dies before its rename leaves the old version as it was, and what it
 committed again takes the place of the one before it, so a commit may be repeated.  Compaction folds snapshot and batches
 into a new snapshot; older manifests go on naming the old folders until ``clean`` removes what no kept version names.
 
-The manifest has a line for each batch since the last snapshot and no row of data.
+The manifest has a line for each batch since the last snapshot and no row of data.  Committers in several processes need a
+file system whose rename fails where the target exists, as that of a cluster does; within one process a lock sees to it.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 
 from caretide.sources.scratch import file_system
 
+_PUBLISHING = threading.Lock()
 END = "whole"  #: the last key of a manifest; a file cut short has none
 
 
@@ -103,7 +106,9 @@ class Versions:
             stream.write(bytearray(json.dumps(asdict(manifest) | {END: True}).encode()))
         finally:
             stream.close()
-        if fs.exists(target) or not fs.rename(beside, target):
+        with _PUBLISHING:
+            published = not fs.exists(target) and fs.rename(beside, target)
+        if not published:
             fs.delete(beside, False)
             raise Taken(f"version {manifest.version} is taken")
         return manifest
