@@ -20,7 +20,7 @@ rows; markup that is never closed ends where the page or its parent does; white
 spaces and line breaks included, becomes one space; rows stand on their own, so repeated rows give equal results; of
 regions with equal sums the longest and then the first stays; columns named as the result give way to it, other columns
 of any name stay.  Very long pages are read in linear time and memory: a closing tag without an open element costs
-nothing, and an opening tag looks for elements that it closes among the innermost ``NEAR`` only.
+nothing, and an opening tag finds the element that it closes, at any depth, by the depths of the open elements of each name.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import html
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -63,7 +63,6 @@ BOXES = frozenset("list lists box block section area wrap wrapper container item
 #: First words of an article element's class that make it a reader's comment or a teaser.
 NOT_MAIN = ("comment", "reply", "replies", "respon", "related", "recommend", "teaser", "promo", "sponsor", "advert", "ad-")
 LONG, LINKED = 40, 0.25  #: a box is long from so many words, if at most that share of them is in links
-NEAR = 64  #: innermost open elements among which an opening tag closes
 #: What a stretch between two positive units costs at most, in full word scores: within a container, and between two.
 GAP_WITHIN, GAP = 0.2, 10.0
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>")
@@ -153,7 +152,7 @@ def parts(page: str) -> tuple[list[str | Unit], dict[int, list[tuple[Unit | None
         lower = page
     has_main = any(_main("main", m[1]) for m in re.finditer(r"<(?:article|main)\b([^>]*+)>", page, re.I))
     stack: list[tuple] = []  # name, the surroundings outside it, its own box
-    still_open: Counter[str] = Counter()
+    open_at: defaultdict[str, list[int]] = defaultdict(list)  # depths of the open elements of each name
     box: Box | None = None
     holder = (0, 0)
     holders = 0
@@ -169,8 +168,8 @@ def parts(page: str) -> tuple[list[str | Unit], dict[int, list[tuple[Unit | None
         nonlocal box, main, heading, link, within, holder
         if depth < len(stack):
             box, main, heading, link, within, holder = stack[depth][1]
-            for name, _, own in stack[depth:]:
-                still_open[name] -= 1
+            for name, _, own in reversed(stack[depth:]):
+                open_at[name].pop()
                 if own is not None:
                     own.words += words
                     own.linked += linked
@@ -227,11 +226,8 @@ def parts(page: str) -> tuple[list[str | Unit], dict[int, list[tuple[Unit | None
             block += 1
         items.append(name)
         if closing:
-            if still_open[name]:
-                depth = len(stack) - 1
-                while stack[depth][0] != name:
-                    depth -= 1
-                cut(depth)
+            if open_at[name]:
+                cut(open_at[name][-1])
             continue
         if name == "br":
             pieces.setdefault(block, []).append((None, " "))
@@ -246,20 +242,16 @@ def parts(page: str) -> tuple[list[str | Unit], dict[int, list[tuple[Unit | None
         if not begun and (is_main or name == "h1"):
             begun = True
             # what was never closed ends where the article begins, and a class such as "with-sidebar" was a wrapper's
-            never = {n for n in BOXED if still_open[n] > 0 and lower.find(f"</{n}", at) < 0}
+            never = {n for n in BOXED if open_at[n] and lower.find(f"</{n}", at) < 0}
             cut(next((k for k, entry in enumerate(stack) if entry[0] in never), len(stack)))
             for _, _, own in stack:
                 if own is not None and own.tagged is not own and own.kind != "hidden":
                     own.kind = ""
         closes = CLOSES.get(name, {"p"} if name in CLOSE_P else None)
-        if closes and any(still_open[c] > 0 for c in closes):
-            limits = LIMITS.get(name, CONTAINERS)
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 1 - NEAR), -1):
-                if stack[depth][0] in closes:
-                    cut(depth)
-                    break
-                if stack[depth][0] in limits:
-                    break
+        if closes:
+            innermost = max((open_at[c][-1] for c in closes if open_at[c]), default=-1)
+            if innermost > max((open_at[c][-1] for c in LIMITS.get(name, CONTAINERS) if open_at[c]), default=-1):
+                cut(innermost)
         outside = (box, main, heading, link, within, holder)
         own = None
         if is_main:
@@ -281,8 +273,8 @@ def parts(page: str) -> tuple[list[str | Unit], dict[int, list[tuple[Unit | None
         if name in HOLDERS and own is None and not (main and not is_main):  # an article element is one container
             holders += 1
             holder = (holders, holder[0])
+        open_at[name].append(len(stack))
         stack.append((name, outside, own))
-        still_open[name] += 1
     cut(0)
     return items, pieces, boxes
 

@@ -166,3 +166,15 @@ def test_held_out_pages_with_linked_text():
         got, wanted = set(html_text.main_text(page).split()), set(kept)
         right, wrong, kept_in_all = right + len(got & wanted), wrong + len(got - wanted), kept_in_all + len(wanted)
     assert right >= 0.99 * kept_in_all and wrong <= 0.01 * kept_in_all
+
+
+def test_an_item_closes_the_one_before_at_any_depth():
+    """However many elements stand open in the first item, the next one ends it, and what its names said ends with it."""
+    for depth in (3, 63, 64, 500):
+        page = f"<article><h1>Sources</h1><p>Here is the list of what was read for this text.</p><ul><li class=advert>{'<span>' * depth}Buy one now<li>The first of the reports.<li>The second of them.</ul></article>"
+        assert html_text.main_text(page) == "Sources\n\nHere is the list of what was read for this text.\n\nThe first of the reports.\n\nThe second of them."
+
+
+def test_a_list_within_an_open_item_keeps_it_open():
+    page = f"<article><h1>Sources</h1><ul><li>The first of the reports, {'<b>' * 100}in full<ul><li>its appendix to read</ul> and the index of it</ul><p>The end of the list.</article>"
+    assert html_text.main_text(page).split() == "Sources The first of the reports, in full its appendix to read and the index of it The end of the list.".split()
