@@ -110,6 +110,10 @@ CUES = {
 }
 #: Words before numbers that are none of a person.
 OTHER_CUES = frozenset("version v release build part item order invoice ref reference serial model lot batch article sku isbn bestellung rechnung artikel commande facture pedido factura".split())
+#: Words of measures and counts, whose numbers are no one's either.
+OTHER_CUES |= frozenset("ratio rate score total sum count amount weight size length distance page pages line lines row rows step steps year years population budget revenue sales units".split())
+#: Words before a spelt-out "at" that say where something is and name no one.
+PLACED = frozenset("meet meets met meeting look looked looking see seen find found visit buy order sold arrive arrived stay stayed work works worked live start starts end ends begin shop read sign register online available now today us me you him her them it we they everyone all one open page site news more".split())
 
 
 def mod97(account: str) -> bool:
@@ -146,6 +150,8 @@ def _shape(piece: str, kind: str) -> tuple[str, ...]:
         out.append("iban checked" if mod97(piece) else "iban unchecked")
     elif kind == "email":
         out.append("email bracket" if re.search(r"[\[({<]", piece) else "email words")
+        if not piece[0].isdigit() and re.split(r"[^A-Za-z0-9._+-]", piece, maxsplit=1)[0].lower() in PLACED:
+            out.append("email placed")
         out.append("email top" if re.split(r"[^A-Za-z0-9-]+", piece)[-1].lower() in TOP_LEVEL else "email no top")
     return tuple(out)
 
@@ -304,7 +310,7 @@ def sentences(n: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     nothing = [
         lambda: f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", lambda: f"1{d(1)}.0{rng.randint(1, 9)}.20{d(2)}", lambda: d(rng.randint(7, 11)), lambda: unchecked(rng.randint(12, 19)), lambda: unchecked(16), lambda: f"{d(4)}-{d(4)}", lambda: f"{d(1)}.{d(7)}",
         lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"20{d(2)}-1{d(1)}-0{rng.randint(1, 9)} 1{d(1)} 2{d(1)}", lambda: f"{d(4)} {d(4)} {d(4)}", lambda: f"19{d(2)}-20{d(2)}", lambda: f"978-{d(1)}-{d(3)}-{d(5)}-{d(1)}",
-        lambda: f"{d(5)}-{d(5)}", lambda: f"{d(3)}/{d(4)}/{d(3)}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"AB{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(2)}-{d(2)}-{d(4)}-{d(3)}", lambda: f"{d(1)}-{d(3)}-{d(3)}", lambda: ".".join(d(rng.randint(1, 4)) for _ in range(rng.randint(3, 5))), lambda: "-".join(d(rng.randint(2, 5)) for _ in range(4)),
+        lambda: f"{d(5)}-{d(5)}", lambda: f"{d(3)}/{d(4)}/{d(3)}", lambda: f"{word()} at {word()} dot {word()}", lambda: f"{rng.choice(sorted(PLACED))} at {word()} dot {rng.choice(['com', 'org', 'net', 'de'])}", lambda: f"AB{d(2)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(2)}-{d(2)}-{d(4)}-{d(3)}", lambda: f"{d(1)}-{d(3)}-{d(3)}", lambda: ".".join(d(rng.randint(1, 4)) for _ in range(rng.randint(3, 5))), lambda: "-".join(d(rng.randint(2, 5)) for _ in range(4)),
     ]
     make = {"phone": lambda: rng.choice(phones)(), "card": lambda: rng.choice([card, card, odd_card])(), "iban": account, "email": address, "national_id": lambda: f"{d(3)}-{d(2)}-{d(4)}"}
     for _ in range(n):

@@ -149,6 +149,8 @@ def test_added_cards_pass_their_checksum(spark, finder):
         ("order 1234567812345678 came", []), ("version 555.123.4567 is out", []), ("part no 123-456-7890 is gone", []), ("at noon dot. at 5 dot com", []),
         ("john [AT] example [DOT] com", ["john [AT] example [DOT] com"]), ("from john At example Dot com", ["john At example Dot com"]),
         ("jo.m.smith99 [at] mail [dot] example [dot] com", ["jo.m.smith99 [at] mail [dot] example [dot] com"]), ("my number is 415 555 0134", ["415 555 0134"]),
+        ("meet at example dot com", []), ("you can find us at example dot com", []), ("the ratio 555 123 4567 was measured", []), ("a total of 555 123 4567", []),
+        ("write to meet.jones at example dot com", ["meet.jones at example dot com"]), ("call 555 123 4567", ["555 123 4567"]), ("meet [at] example [dot] com", ["meet [at] example [dot] com"]),
     ],
 )
 def test_shapes_of_other_things(finder, text, pieces):
