@@ -250,7 +250,7 @@ def parts(page: str) -> tuple[list[str | Unit], dict[int, list[tuple[Unit | None
         closes = CLOSES.get(name, {"p"} if name in CLOSE_P else None)
         if closes:
             innermost = max((open_at[c][-1] for c in closes if open_at[c]), default=-1)
-            if innermost > max((open_at[c][-1] for c in LIMITS.get(name, CONTAINERS) if open_at[c]), default=-1):
+            if innermost >= 0 and innermost > max((open_at[c][-1] for c in LIMITS.get(name, CONTAINERS) if open_at[c]), default=-1):
                 cut(innermost)
         outside = (box, main, heading, link, within, holder)
         own = None
